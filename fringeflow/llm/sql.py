@@ -18,3 +18,33 @@ reach(a, b) AS (SELECT a, b FROM ways UNION SELECT r.a, e.b FROM reach r JOIN wa
 SELECT g.doc_id, CAST(len(g.sh) AS BIGINT) AS n_shingles, least(g.doc_id, coalesce(min(r.b), g.doc_id)) AS component_id
 FROM g LEFT JOIN reach r ON r.a = g.doc_id GROUP BY g.doc_id, len(g.sh)
 """
+
+MIXING = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 8) AS BIGINT) AS u
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight
+  FROM d GROUP BY source),
+f AS (
+  SELECT *, source_size * 2.0::DOUBLE AS cap, (sum(source_size) OVER ()) * 150.0::DOUBLE / 100 AS budget FROM s),
+o AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+    sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM f),
+l AS (
+  SELECT *, (budget - filled) / open AS level FROM o),
+t AS (
+  SELECT source, source_size, least(cap, weight * coalesce(
+    arg_min(CASE WHEN level * weight <= cap THEN level END, CASE WHEN level * weight <= cap THEN cap / weight END) OVER (), 1e300)) AS target FROM l),
+w AS (
+  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS whole,
+    CAST(floor(target) AS BIGINT) AS want FROM t),
+r AS (
+  SELECT d.*, w.source_size, w.target, w.whole, w.want - w.whole * w.source_size AS rest,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source)
+SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM r
+"""
