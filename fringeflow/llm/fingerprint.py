@@ -6,71 +6,50 @@ For each term of weight w and each of SLOTS samples, hashes of the term give r a
 
 A slot keeps the (term, t) of least a. Two texts keep the same one with a probability equal to the generalised Jaccard
 similarity of their term weights, sum of minima over sum of maxima, so the share of equal slots estimates it. Terms
-are the words of the text and weights their numbers. The Gamma variates are read from a table of quantiles at a
-random place, which costs an array access instead of logarithms; a slot is the least of one long per sample, whose
-upper half orders by ln a and whose lower half names (term, t), so a plain grouped minimum over numbers does the work.
+are the words of the text and weights their numbers. A slot is the least of one long per sample, whose upper bits
+order by ln a and whose lower bits name (term, t), so a plain grouped minimum over numbers does the work.
 """
 
 from __future__ import annotations
 
-import json
-import math
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOTS = 64
-LEVELS = 4096  # quantiles of the Gamma(2, 1) distribution
+from ..session import Scratch
+
+SLOTS = 32
 TAG = 16  # bits of a slot
+TOGETHER = 4  # slots of which one row takes care
 BLANK = r"[\x20\x09-\x0D]+"
 
 
-@lru_cache(maxsize=1)
-def gamma_quantiles() -> list[float]:
-    """Quantiles of Gamma(2, 1) at the middles of LEVELS equal steps: the root of 1 - (1 + x) e**-x = p."""
-    out, x = [], 0.01
-    for i in range(LEVELS):
-        p = (i + 0.5) / LEVELS
-        for _ in range(60):
-            step = (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
-            x = max(x - step, x / 8)
-            if abs(step) < 1e-13 * x:
-                break
-        out.append(x)
-    return out
-
+def _packed(j: int) -> str:
+    """SQL of sample (g, j) of a row (h, lnw, g): ln a in the upper bits, the name of (term, t) in the lower TAG ones.
 
-def _table(values: list[float]) -> str:
-    return "from_json('" + json.dumps(values) + "', 'array<double>')"
+    A Gamma(2, 1) variate is minus the logarithm of a product of two uniform numbers, here of 13 bits each.
+    """
+    x = f"xxhash64(h, {j}, g)"
 
+    def pair(at: int) -> str:
+        u, v = (f"((shiftright({x}, {s}) & 8191) * 2 + 1)" for s in (at, at + 13))
+        return f"(-ln({u} * {v} * {2.0**-28!r}D))"
 
-def _sample(i: int, r: str, lnc: str) -> str:
-    """SQL of sample i of a row (h, lnw): ln a in the upper bits, the name of (term, t) in the lower TAG ones."""
-    x = f"xxhash64(h, {i})"
-    gr = f"{r}[cast({x} & {LEVELS - 1} as int)]"
-    gc = f"{lnc}[cast(shiftright({x}, 12) & {LEVELS - 1} as int)]"
-    b = f"(shiftright({x}, 24) & 1048575) * {1 / 1048576!r}D"
-    return gr, gc, b
+    r, c, b = pair(0), pair(26), f"((shiftright({x}, 52) & 4095) * {1 / 4096!r}D)"
+    t = f"floor(lnw / {r} + {b})"
+    return f"shiftleft(cast((ln({c}) - {r} * ({t} + 1 - {b}) + 512) * {float(1 << 34)!r}D AS bigint), {TAG}) | ((shiftright(h, 20) + {t} * 40503) & {(1 << TAG) - 1})"
 
 
 def signatures(terms: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, sig (array of SLOTS ints) from rows (keys, h long, lnw double), one row per term."""
-    q = gamma_quantiles()
-    r, lnc = F.expr(_table(q)), F.expr(_table([math.log(x) for x in q]))
-    aggs = []
-    for i in range(SLOTS):
-        x = F.xxhash64("h", F.lit(i))
-        gr = F.get(r, x.bitwiseAND(F.lit(LEVELS - 1)).cast("int"))
-        gc = F.get(lnc, F.shiftright(x, 12).bitwiseAND(F.lit(LEVELS - 1)).cast("int"))
-        b = F.shiftright(x, 24).bitwiseAND(F.lit(1048575)) * F.lit(1 / 1048576)
-        t = F.floor(F.col("lnw") / gr + b)
-        lna = gc - gr * (t + 1 - b)
-        name = (F.shiftright("h", 20).bitwiseAND(F.lit(0xFFFFFFFF)) + t * 40503).bitwiseAND(F.lit((1 << TAG) - 1))
-        order = ((lna + 512) * F.lit(float(1 << 34))).cast("long")
-        aggs.append(F.min(F.shiftleft(order, TAG).bitwiseOR(name)).alias(f"m{i}"))
+    """keys, sig (array of SLOTS ints) from rows (keys, h long, lnw double), one row per term.
+
+    A row is repeated once for each TOGETHER slots, whose minima are kept side by side: the expressions of all slots
+    at once would be too large a method to be compiled.
+    """
+    rows = terms.select(*keys, "h", "lnw", F.explode(F.sequence(F.lit(0), F.lit(SLOTS // TOGETHER - 1))).alias("g"))
+    least = rows.groupBy(*keys, "g").agg(*(F.expr(f"min({_packed(j)})").alias(f"m{j}") for j in range(TOGETHER)))
     low = F.lit((1 << TAG) - 1)
-    return terms.groupBy(*keys).agg(*aggs).select(*keys, F.array(*(F.col(f"m{i}").bitwiseAND(low).cast("int") for i in range(SLOTS))).alias("sig"))
+    part = F.struct("g", F.array(*(F.col(f"m{j}").bitwiseAND(low).cast("int") for j in range(TOGETHER))).alias("s"))
+    return least.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["s"])).alias("sig"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -126,6 +105,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     parts = both.select("doc_id", F.posexplode(F.array("text", "edited")).alias("kind", "t"))
     sig = signatures(term_rows(parts, ["doc_id", "kind"], "t"), ["doc_id", "kind"])
     pair = sig.groupBy("doc_id").agg(F.max(F.when(F.col("kind") == 0, F.col("sig"))).alias("own"), F.max(F.when(F.col("kind") == 1, F.col("sig"))).alias("edit"))
+    pair = Scratch(docs.sparkSession, "fingerprints").save(pair)  # read twice: for a document and for the one before it
     rows = told.join(pair, "doc_id", "left")
     following = pair.select(F.col("doc_id").alias("next_id"), F.col("own").alias("following"))
     return rows.join(following, "next_id", "left").select(
