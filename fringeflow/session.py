@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -58,6 +59,11 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
+    def tidy(self) -> None:
+        """Lets Spark remove the shuffle files of steps whose results have been saved and whose plans are gone."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             path = self.paths.pop(id(df), None)
