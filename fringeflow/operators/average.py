@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .stats import window_median
+
 
 def with_time_bin(df: DataFrame, time_col: str, bounds: list[str], width: float, name: str = "bin") -> DataFrame:
     """Bins that start anew at each boundary group's first time."""
@@ -124,7 +126,7 @@ def smooth_time(df: DataFrame, keys: list[str], tick: str, value: str, width: in
     w = Window.partitionBy(*keys).orderBy(tick).rangeBetween(-half + 1, half)
     whole = Window.partitionBy(*keys)
     v = F.when(~F.col(flag), F.col(value)) if flag else F.col(value)
-    s = (F.avg(v) if how == "mean" else F.median(v)).over(w)
+    s = F.avg(v).over(w) if how == "mean" else window_median(v, w)
     return df.withColumn("smoothed", F.when(F.count("*").over(whole) > 1, s).otherwise(F.col(value)))
 
 

@@ -110,16 +110,16 @@ def solve_gains(vis: DataFrame, keys: list[str], a: str, b: str, refant: int = 0
 
     kinds = dict(vis.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", ant long, g_re double, g_im double, snr double, g_flag boolean"
-    mean = vis.where(F.col(a) != F.col(b)).groupBy(*keys, a, b).agg(F.sum(F.col("re") * F.col("weight")).alias("r"), F.sum(F.col("im") * F.col("weight")).alias("i"), F.sum("weight").alias("w"))
+    mean = vis.where(F.col(a) != F.col(b)).groupBy(*keys, a, b).agg(F.sum(F.col("re") * F.col("weight")).alias("_r"), F.sum(F.col("im") * F.col("weight")).alias("_i"), F.sum("weight").alias("_w"))
 
     def solve(p: pd.DataFrame) -> pd.DataFrame:
         ants = np.unique(p[[a, b]].to_numpy())
         n = len(ants)
         v, w = np.zeros((n, n), complex), np.zeros((n, n))
         x, y = np.searchsorted(ants, p[a]), np.searchsorted(ants, p[b])
-        good = p["w"].to_numpy() > 0
-        z = np.where(good, (p["r"] + 1j * p["i"]) / np.where(good, p["w"], 1), 0)
-        v[x, y], v[y, x], w[x, y], w[y, x] = z, z.conj(), p["w"], p["w"]
+        good = p["_w"].to_numpy() > 0
+        z = np.where(good, (p["_r"] + 1j * p["_i"]) / np.where(good, p["_w"], 1), 0)
+        v[x, y], v[y, x], w[x, y], w[y, x] = z, z.conj(), p["_w"], p["_w"]
         g = np.ones(n, complex)
         for _ in range(rounds):
             new = (w * v) @ g / np.maximum((w * np.abs(g) ** 2).sum(1), 1e-30)

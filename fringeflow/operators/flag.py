@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .stats import window_median
+
 
 def manual(selected: Column) -> Column:
     return F.coalesce(selected, F.lit(False))
@@ -72,7 +74,7 @@ def antenna_integrations(df: DataFrame, flag: str, time_keys: list[str], baselin
 def median_clip(df: DataFrame, value: str, keys: list[str], order: str, half: int, cut: float) -> DataFrame:
     """|value - sliding median| against cut times the median of such deviations in the group."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-half, half)
-    d = df.withColumn("_d", F.abs(F.col(value) - F.median(value).over(w)))
+    d = df.withColumn("_d", F.abs(F.col(value) - window_median(F.col(value), w)))
     s = d.groupBy(*keys).agg(F.median("_d").alias("_s"))
     return d.join(s, keys).withColumn("clipped", F.col("_d") > cut * F.col("_s")).drop("_d", "_s")
 

@@ -34,6 +34,13 @@ def deviation_median(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return df.join(med, keys).groupBy(*keys).agg(F.first("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("medabsdevmed"))
 
 
+def window_median(value: Column, window) -> Column:
+    """Median over an ordered frame, which the aggregate itself does not take: the frame's sorted values' middle."""
+    a = F.sort_array(F.collect_list(value).over(window))
+    n = F.size(a)
+    return (F.get(a, ((n - 1) / 2).cast("int")) + F.get(a, (n / 2).cast("int"))) / 2
+
+
 def weighted_mean(value: Column, weight: Column) -> Column:
     return F.sum(value * weight) / F.sum(weight)
 

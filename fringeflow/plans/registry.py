@@ -34,7 +34,7 @@ def oracle_sql() -> dict[str, str]:
 
 def rounded(df: DataFrame, *keep: str, digits: int = 6) -> DataFrame:
     """All double columns but those to keep, rounded."""
-    return df.select(*(F.round(c, digits).alias(c) if t in ("double", "float") and c not in keep else F.col(c) for c, t in df.dtypes))
+    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t in ("double", "float") and c not in keep else F.col(c) for c, t in df.dtypes))
 
 
 def r(expr: str, name: str, digits: int = 6) -> str:
@@ -43,13 +43,13 @@ def r(expr: str, name: str, digits: int = 6) -> str:
 
 # --- statistics -------------------------------------------------------------------------------------------------
 _STATS = ", ".join(
-    [r("min(v)", "min"), r("max(v)", "max"), r("sum(v)", "sum", 4), r("sum(v * v)", "sumsq", 2), r("avg(v)", "mean"), r("var_samp(v)", "variance"), r("stddev_samp(v)", "stddev"), r("sqrt(avg(v * v))", "rms")]
+    [r("min(v)", "min"), r("max(v)", "max"), r("sum(v)", "sum", 4), r("sum(v * v)", "sumsq", 5), r("avg(v)", "mean"), r("var_samp(v)", "variance"), r("stddev_samp(v)", "stddev"), r("sqrt(avg(v * v))", "rms")]
     + [r("quantile_cont(v, 0.5)", "median"), r("quantile_cont(v, 0.25)", "firstquartile"), r("quantile_cont(v, 0.75)", "thirdquartile")]
 )
 
 
 def _stats(df: DataFrame) -> DataFrame:
-    return rounded(df.withColumn("sum", F.round("sum", 4)).withColumn("sumsq", F.round("sumsq", 2)))
+    return rounded(df.withColumn("sum", F.round("sum", 4)).withColumn("sumsq", F.round("sumsq", 5)))
 
 
 add("visstat_by_user_type", lambda s, d: _stats(stats.statistics(vis(s, d), F.col("value"), ["ant", "spw"])), f"SELECT ant, spw, count(v) AS npts, {_STATS} FROM (SELECT ant, spw, value AS v FROM {VIS}) GROUP BY ant, spw")
@@ -87,10 +87,10 @@ _COLLAPSE = {
 for _how, _sql in _COLLAPSE.items():
     add(f"collapse_{_how}", lambda s, d, h=_how: rounded(stats.collapse(cube(s, d), h, "value", ["x", "chan"], 4.0), digits=4), f"SELECT x, chan, {r(_sql, 'value', 4)} FROM {CUBE} GROUP BY x, chan")
 for _how, _f in (("madm", 1.0), ("xmadm", C.XMADM)):
-    add(f"collapse_{_how}", lambda s, d, h=_how: rounded(stats.collapse(cube(s, d), h, "value", ["x", "chan"]), digits=4),
-        f"WITH c AS (SELECT * FROM {CUBE}), m AS (SELECT x, chan, median(value) AS m FROM c GROUP BY x, chan) SELECT x, chan, round(median(abs(value - m)) * {_f!r}::DOUBLE, 4) AS value FROM c JOIN m USING (x, chan) GROUP BY x, chan")
-add("moments", lambda s, d: rounded(stats.moments(cube(s, d), "value", "chan", ["x", "y"], [-1, 0, 1, 2, 3, 6, 8, 9, 10, 11]), digits=4),
-    f"SELECT x, y, round(avg(value), 4) AS moment_m1, round(sum(value), 4) AS moment_0, round(sum(value * chan) / sum(value), 4) AS moment_1, round(sqrt(abs(sum(value * chan * chan) / sum(value) - pow(sum(value * chan) / sum(value), 2))), 4) AS moment_2, round(median(value), 4) AS moment_3, round(sqrt(avg(value * value)), 4) AS moment_6, round(max(value), 4) AS moment_8, arg_max(chan, (value, -chan)) AS moment_9, round(min(value), 4) AS moment_10, arg_min(chan, (value, chan)) AS moment_11 FROM {CUBE} GROUP BY x, y")
+    add(f"collapse_{_how}", lambda s, d, h=_how: rounded(stats.collapse(cube(s, d), h, "value", ["x", "chan"]), digits=7),
+        f"WITH c AS (SELECT * FROM {CUBE}), m AS (SELECT x, chan, median(value) AS m FROM c GROUP BY x, chan) SELECT x, chan, round(median(abs(value - m)) * {_f!r}::DOUBLE, 7) AS value FROM c JOIN m USING (x, chan) GROUP BY x, chan")
+add("moments", lambda s, d: rounded(stats.moments(cube(s, d), "value", "chan", ["x", "y"], [-1, 0, 1, 2, 3, 6, 8, 9, 10, 11]), digits=7),
+    f"SELECT x, y, round(avg(value), 7) AS moment_m1, round(sum(value), 7) AS moment_0, round(sum(value * chan) / sum(value), 7) AS moment_1, round(sqrt(abs(sum(value * chan * chan) / sum(value) - pow(sum(value * chan) / sum(value), 2))), 7) AS moment_2, round(median(value), 7) AS moment_3, round(sqrt(avg(value * value)), 7) AS moment_6, round(max(value), 7) AS moment_8, arg_max(chan, (value, -chan)) AS moment_9, round(min(value), 7) AS moment_10, arg_min(chan, (value, chan)) AS moment_11 FROM {CUBE} GROUP BY x, y")
 add("image_stats_minpos_maxpos", lambda s, d: rounded(stats.positions(cube(s, d), "value", ["x", "y"], ["chan"])),
     f"SELECT chan, round(min(value), 6) AS min, round(max(value), 6) AS max, arg_min(x, (value, x, y)) AS min_x, arg_min(y, (value, x, y)) AS min_y, arg_max(x, (value, -x, -y)) AS max_x, arg_max(y, (value, -x, -y)) AS max_y FROM {CUBE} GROUP BY chan")
 add("flag_summary", lambda s, d: stats.flag_summary(fact(s, d).withColumn("year", F.floor(F.col("t") / 31557600).cast("int")), "flag", [["spw"], ["ant"], ["ant", "year"], []]),
@@ -106,10 +106,10 @@ add("select_keyed", lambda s, d: select.select(vis(s, d), {"time": "t", "spw": "
     f"SELECT row_id FROM {VIS} WHERE t BETWEEN 1704240000 AND 1704801600 AND (spw LIKE 'c%' OR spw = 'view') AND NOT (((ant = 3 AND k = 7) OR (k = 3 AND ant = 7)) AND ant <> k)")
 add("select_uv_range", lambda s, d: fact(s, d).where(select.uv_range("ant", "weight", "10~60")).groupBy("spw").agg(F.count("*").alias("n")), f"SELECT spw, count(*) AS n FROM {FACT} WHERE sqrt(ant * ant + weight * weight) BETWEEN 10 AND 60 GROUP BY spw")
 add("select_crosscorr", lambda s, d: vis(s, d).where("ant <> k").groupBy("spw").agg(F.count("*").alias("n")), f"SELECT spw, count(*) AS n FROM {VIS} WHERE ant <> k GROUP BY spw")
-add("select_unflagged_rows", lambda s, d: spectra(s, d).withColumn("flag", F.transform("v", lambda x: x < 0.2)).where(select.unflagged("bad", "flag")) if False else spectra(s, d).select("vec_id", F.transform("v", lambda x: x < 0.2).alias("flag"), (F.col("label") == 3).alias("bad")).where(select.unflagged("bad", "flag")).select("vec_id"),
+add("select_unflagged_rows", lambda s, d: spectra(s, d).select("vec_id", F.transform("v", lambda x: x < 0.2).alias("flag"), (F.col("label") == 3).alias("bad")).where(select.unflagged("bad", "flag")).select("vec_id"),
     f"SELECT vec_id FROM {SPECTRA} WHERE NOT (label = 3 OR list_bool_and(list_transform(v, lambda x: x < 0.2)))")
 add("query_dialect", lambda s, d: sqlshim.query(vis(s, d), "SELECT row_id, ant, value FROM t WHERE ant == 7 && spw IN ['click', 'view'] && !(value < 10) ORDERBY value DESC, row_id LIMIT 50"), f"SELECT row_id, ant, value FROM {VIS} WHERE ant = 7 AND spw IN ('click', 'view') AND NOT value < 10 ORDER BY value DESC, row_id LIMIT 50")
-add("query_dialect_offset", lambda s, d: sqlshim.query(catalog(s, d), "SELECT DISTINCT species FROM t ORDERBY species LIMIT 5 OFFSET 3") if False else sqlshim.query(catalog(s, d), "SELECT line_id, frequency FROM t ORDERBY frequency, line_id LIMIT 10 OFFSET 20"), f"SELECT line_id, frequency FROM {CATALOG} ORDER BY frequency, line_id LIMIT 10 OFFSET 20")
+add("query_dialect_offset", lambda s, d: sqlshim.query(catalog(s, d), "SELECT line_id, frequency FROM t ORDERBY frequency, line_id LIMIT 10 OFFSET 20"), f"SELECT line_id, frequency FROM {CATALOG} ORDER BY frequency, line_id LIMIT 10 OFFSET 20")
 add("strided_cells", lambda s, d: select.strided(vis(s, d), "row_id", 5, 100, 7).select("row_id", "value"), f"SELECT row_id, value FROM {VIS} WHERE row_id >= 5 AND (row_id - 5) % 7 = 0 AND row_id < 705")
 add("filter_rules", lambda s, d: select.sorted_rules(catalog(s, d), [("el", ">", 20, False), ("species", "contains", "#1", False), ("chemname", "=", "STANDARD", True)]).select("line_id"), f"SELECT line_id FROM {CATALOG} WHERE el > 20 AND species LIKE '%#1%' AND chemname <> 'STANDARD'")
 add("key_index_unique", lambda s, d: vis(s, d).agg((F.count("*") == F.count_distinct("row_id")).alias("by_row"), (F.count("*") == F.count_distinct("ant", "spw")).alias("by_pair")), f"SELECT count(*) = count(DISTINCT row_id) AS by_row, count(*) = count(DISTINCT (ant, spw)) AS by_pair FROM {VIS}")
@@ -196,7 +196,7 @@ for _how, _fn in (("mean", "avg"), ("median", "median")):
         f"WITH v AS (SELECT *, count(*) OVER (PARTITION BY ant, spw) AS n FROM {VIS}) SELECT row_id, round(CASE WHEN n > 1 THEN {_fn}(value) OVER (PARTITION BY ant, spw ORDER BY tick RANGE BETWEEN 86399999999 PRECEDING AND 86400000000 FOLLOWING) ELSE value END, 6) AS smoothed FROM v")
 add("phase_unwrap", lambda s, d: rounded(average.unwrap(vis(s, d).withColumn("phase", F.col("value") % 6.0 - 3.0), ["ant"], "row_id", "phase").select("row_id", "unwrapped")),
     f"WITH p AS (SELECT row_id, ant, value % 6.0 - 3.0 AS phase FROM {VIS}), q AS (SELECT *, coalesce(-round((phase - lag(phase) OVER (PARTITION BY ant ORDER BY row_id)) / (2 * pi())), 0) AS k FROM p) SELECT row_id, round(phase + 2 * pi() * sum(k) OVER (PARTITION BY ant ORDER BY row_id ROWS UNBOUNDED PRECEDING), 6) AS unwrapped FROM q")
-add("session_reindex", lambda s, d: average.gap_sessions(vis(s, d), "tick", ["ant"], "spw", 86_400_000_000, "array").select("row_id", "scan") if False else average.gap_sessions(vis(s, d).withColumn("array", F.lit(0)), "tick", ["ant"], "spw", 86_400_000_000, "array").select("row_id", "scan"),
+add("session_reindex", lambda s, d: average.gap_sessions(vis(s, d).withColumn("array", F.lit(0)), "tick", ["ant"], "spw", 86_400_000_000, "array").select("row_id", "scan"),
     f"WITH a AS (SELECT row_id, ant, spw, tick, lag(tick) OVER (PARTITION BY ant, spw ORDER BY tick) AS p FROM {VIS}), b AS (SELECT *, (p IS NULL OR tick - p > 86400000000)::INT AS n FROM a), c AS (SELECT *, sum(n) OVER (PARTITION BY ant ORDER BY tick, spw ROWS UNBOUNDED PRECEDING) AS g FROM b) SELECT row_id, CAST(last_value(CASE WHEN n = 1 THEN g END IGNORE NULLS) OVER (PARTITION BY ant, spw ORDER BY tick ROWS UNBOUNDED PRECEDING) AS BIGINT) AS scan FROM c")
 add("baseline_dependent_average", lambda s, d: average.baseline_average(vis(s, d), ["ant", "spw"], "t", "value", "k", "value", 30.0, 864000.0).groupBy("ant", "spw").agg(F.count("*").alias("runs"), F.sum("n").alias("rows")))
 
@@ -212,7 +212,7 @@ add("hanning", _per_channel(spectral.hanning), f"SELECT vec_id, CAST(chan AS INT
 add("boxcar", _per_channel(lambda v: spectral.boxcar(v, 5)), f"SELECT vec_id, CAST(chan AS INTEGER) AS chan, round(m, 6) AS value FROM (SELECT vec_id, chan, avg(value) OVER (PARTITION BY vec_id ORDER BY chan ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS m FROM {LONG}) WHERE chan <= 59")
 add("decimate_copy", _per_channel(lambda v: spectral.decimate(v, 5)), f"SELECT vec_id, CAST(chan // 5 AS INTEGER) AS chan, round(value, 6) AS value FROM {LONG} WHERE chan % 5 = 0")
 add("decimate_mean", _per_channel(lambda v: spectral.decimate(v, 5, "mean")), f"SELECT vec_id, CAST(chan // 5 AS INTEGER) AS chan, round(avg(value), 6) AS value FROM {LONG} WHERE chan < 60 GROUP BY 1, 2")
-add("convolve_triangle", _per_channel(lambda v: spectral.convolve(v, [0.2, 0.6, 0.2])), f"SELECT vec_id, CAST(chan AS INTEGER) AS chan, round(0.2 * coalesce(p, value) + 0.6 * value + 0.2 * coalesce(q, value), 6) AS value FROM ({_LAGS})")
+add("convolve_triangle", _per_channel(lambda v: spectral.convolve(v, [0.2, 0.6, 0.2])), f"SELECT vec_id, CAST(chan AS INTEGER) AS chan, round(0.2 * coalesce(p, value) + 0.6 * value + 0.2 * coalesce(q, value), 6) + 0.0 AS value FROM ({_LAGS})")
 
 
 def _free():
@@ -251,7 +251,7 @@ add("image_pbcor", lambda s, d: rounded(image.primary_beam_correct(cube(s, d), c
     f"SELECT x, y, chan, round(CASE WHEN b >= 0.2 THEN value / b END, 3) AS value FROM (SELECT *, exp(-4 * ln(2) * (pow(x - 32, 2) + pow(y - 32, 2)) / 900.0) AS b FROM {CUBE})")
 add("image_statistic_grid", lambda s, d: rounded(image.statistic_image(cube(s, d), 8, 5, ["chan"], F.stddev_samp("value")), digits=4), f"SELECT chan, CAST(gx * 8 AS INTEGER) AS x, CAST(gy * 8 AS INTEGER) AS y, round(stddev_samp(value), 4) AS statistic, count(*) AS npts FROM {CUBE}, range(9) a(gx), range(9) b(gy) WHERE abs(x - gx * 8) <= 5 AND abs(y - gy * 8) <= 5 GROUP BY 1, 2, 3")
 add("image_sources", lambda s, d: rounded(image.sources(cube(s, d), ["chan"], 60000.0, 20)), f"WITH c AS (SELECT * FROM {CUBE}) SELECT chan, x, y, round(value, 6) AS value FROM c WHERE value > 60000 AND NOT EXISTS (SELECT 1 FROM c o WHERE o.chan = c.chan AND abs(o.x - c.x) <= 1 AND abs(o.y - c.y) <= 1 AND o.value > c.value) ORDER BY c.value DESC, chan, x, y LIMIT 20")
-add("image_smooth", lambda s, d: rounded(image.smooth(cube(s, d), {(i, j): 1 / 9 for i in (-1, 0, 1) for j in (-1, 0, 1)}, ["chan"]), digits=3), f"SELECT chan, CAST(x + i AS INTEGER) AS x, CAST(y + j AS INTEGER) AS y, round(sum(value * (1.0::DOUBLE / 9)), 3) AS value FROM {CUBE}, range(-1, 2) a(i), range(-1, 2) b(j) GROUP BY 1, 2, 3")
+add("image_smooth", lambda s, d: rounded(image.smooth(cube(s, d), {(i, j): 1 / 9 for i in (-1, 0, 1) for j in (-1, 0, 1)}, ["chan"]), digits=6), f"SELECT chan, CAST(x + i AS INTEGER) AS x, CAST(y + j AS INTEGER) AS y, round(sum(value * (1.0::DOUBLE / 9)), 6) AS value FROM {CUBE}, range(-1, 2) a(i), range(-1, 2) b(j) GROUP BY 1, 2, 3")
 add("image_two_point", lambda s, d: rounded(image.two_point(cube(s, d), ["chan"], "value", 2), digits=0), f"WITH c AS (SELECT * FROM {CUBE}) SELECT a.chan, CAST(b.x - a.x AS INTEGER) AS lx, CAST(b.y - a.y AS INTEGER) AS ly, round(avg(a.value * b.value), 0) AS corr, count(*) AS npairs FROM c a JOIN c b ON a.chan = b.chan AND b.x - a.x BETWEEN 0 AND 2 AND b.y - a.y BETWEEN 0 AND 2 GROUP BY 1, 2, 3")
 add("image_mosaic", lambda s, d: rounded(image.mosaic([cube(s, d).select("x", "y", "chan", "value", F.lit(2.0).alias("weight")), cube(s, d).select((F.col("x") + 1).alias("x"), "y", "chan", "value", F.lit(1.0).alias("weight"))], ["x", "y", "chan"]), digits=4),
     f"SELECT x, y, chan, round(sum(value * w) / sum(w), 4) AS value, sum(w) AS weight FROM (SELECT x, y, chan, value, 2.0::DOUBLE AS w FROM {CUBE} UNION ALL SELECT x + 1, y, chan, value, 1.0::DOUBLE FROM {CUBE}) GROUP BY x, y, chan")
@@ -299,7 +299,7 @@ def _gain(s: SparkSession, d: str) -> DataFrame:
 add("applycal", lambda s, d: rounded(calibrate.apply_gains(vis(s, d).select("row_id", "spw", F.col("k").alias("a1"), ((F.col("k") + 1) % 10).cast("int").alias("a2"), F.col("value").alias("re"), F.lit(1.0).alias("im")), _gain(s, d), ["spw"], "a1", "a2").select("row_id", (F.col("c_re") * 1000).alias("re"), (F.col("c_im") * 1000).alias("im"), "c_flag"), digits=4),
     f"WITH g AS (SELECT * FROM {_GAIN}), j AS (SELECT v.row_id, v.value AS a, 1.0 AS b, p.g_re * q.g_re + p.g_im * q.g_im AS c, p.g_im * q.g_re - p.g_re * q.g_im AS d, coalesce(p.g_flag OR q.g_flag, true) AS f FROM {VIS} v LEFT JOIN g p ON p.spw = v.spw AND p.ant = v.k LEFT JOIN g q ON q.spw = v.spw AND q.ant = (v.k + 1) % 10) SELECT row_id, round((a * c + b * d) / (c * c + d * d) * 1000, 4) AS re, round((b * c - a * d) / (c * c + d * d) * 1000, 4) AS im, f AS c_flag FROM j")
 add("rereference", lambda s, d: rounded(calibrate.rereference(_gain(s, d), ["spw"], [4, 2, 7]).select("spw", "ant", "g_re", "g_im", "g_flag"), digits=4),
-    f"WITH g AS (SELECT * FROM {_GAIN}), f AS (SELECT spw, arg_min((g_re, g_im), CASE ant WHEN 4 THEN 1 WHEN 2 THEN 2 ELSE 3 END) AS p FROM g WHERE ant IN (4, 2, 7) AND NOT g_flag GROUP BY spw), h AS (SELECT spw, p[1] / sqrt(p[1] * p[1] + p[2] * p[2]) AS a, p[2] / sqrt(p[1] * p[1] + p[2] * p[2]) AS b FROM f) SELECT g.spw, ant, round(coalesce(g_re * a + g_im * b, g_re), 4) AS g_re, round(coalesce(g_im * a - g_re * b, g_im), 4) AS g_im, g_flag FROM g LEFT JOIN h ON h.spw = g.spw")
+    f"WITH g AS (SELECT * FROM {_GAIN}), f AS (SELECT spw, arg_min((g_re, g_im), CASE ant WHEN 4 THEN 1 WHEN 2 THEN 2 ELSE 3 END) AS p FROM g WHERE ant IN (4, 2, 7) AND NOT g_flag GROUP BY spw), h AS (SELECT spw, p[1] / sqrt(p[1] * p[1] + p[2] * p[2]) AS a, p[2] / sqrt(p[1] * p[1] + p[2] * p[2]) AS b FROM f) SELECT g.spw, ant, round(coalesce(g_re * a + g_im * b, g_re), 4) + 0.0 AS g_re, round(coalesce(g_im * a - g_re * b, g_im), 4) + 0.0 AS g_im, g_flag FROM g LEFT JOIN h ON h.spw = g.spw")
 add("gaincal", lambda s, d: calibrate.solve_gains(fact(s, d).select((F.col("scan") % 4).alias("interval"), (F.col("ant") % 7).alias("a1"), (F.col("part") % 7).alias("a2"), (F.col("value") / 50000).alias("re"), F.lit(0.0).alias("im"), "weight"), ["interval"], "a1", "a2").select("interval", "ant", "g_flag"))
 add("solve_counts", lambda s, d: calibrate.counts(fact(s, d), ["spw"], "ant", "flag"), f"SELECT spw, count(DISTINCT ant) AS expected, count(*) AS attempted, CAST(sum((NOT flag)::INT) AS BIGINT) AS succeeded FROM {FACT} GROUP BY spw")
 add("doppler", lambda s, d: rounded(catalog(s, d).select("line_id", *(C.velocity(F.col("frequency"), 1000.0, k).alias(k) for k in ("radio", "optical", "relativistic", "z"))), digits=3),

@@ -16,10 +16,10 @@ _CLAUSES = re.compile(
 
 def expression(text: str) -> str:
     """==, &&, ||, !, IN [..], all() and any() in Spark's words; strings stay as they are."""
+    text = re.sub(r"\bIN\s*\[([^\]]*)\]", r"IN (\1)", text, flags=re.I)
     out = []
     for i, part in enumerate(re.split(r"('(?:[^']|'')*'|\"[^\"]*\")", text)):
         if i % 2 == 0:
-            part = re.sub(r"\bIN\s*\[([^\]]*)\]", r"IN (\1)", part, flags=re.I)
             part = part.replace("&&", " AND ").replace("||", " OR ")
             part = re.sub(r"!(?!=)", " NOT ", part)
             part = re.sub(r"\ball\s*\(\s*(\w+)\s*\)", r"forall(\1, _x -> _x)", part, flags=re.I)
