@@ -105,9 +105,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     parts = both.select("doc_id", F.posexplode(F.array("text", "edited")).alias("kind", "t"))
     sig = signatures(term_rows(parts, ["doc_id", "kind"], "t"), ["doc_id", "kind"])
     pair = sig.groupBy("doc_id").agg(F.max(F.when(F.col("kind") == 0, F.col("sig"))).alias("own"), F.max(F.when(F.col("kind") == 1, F.col("sig"))).alias("edit"))
-    pair = Scratch(docs.sparkSession, "fingerprints").save(pair)  # read twice: for a document and for the one before it
-    rows = told.join(pair, "doc_id", "left")
-    following = pair.select(F.col("doc_id").alias("next_id"), F.col("own").alias("following"))
+    # saved once, with what the texts are still needed for: it is read for a document and for the one before it
+    rows = Scratch(docs.sparkSession, "fingerprints").save(told.join(pair, "doc_id", "left"))
+    following = rows.select(F.col("doc_id").alias("next_id"), F.col("own").alias("following"))
     return rows.join(following, "next_id", "left").select(
         "doc_id", "n_chars", "edited_sha256", _hex(F.col("own")).alias("fingerprint"), _hex(F.col("edit")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edit")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),
