@@ -14,7 +14,9 @@ How it stays linear under hot groups:
   few pivots; verified links merge classes into components, and only texts that are still in different components
   meet more pivots. The last round has no limit, so no link between components can be missed; inside a component
   further links change nothing.
-- Pairs are verified exactly on whole sets; a pivot's set is sent once for some thousand members.
+- A pair whose parity bitmaps (512 bits, or one for each token) differ in more places than the sets of a link can have
+  tokens apart is dropped unread. The others are verified exactly on whole sets, which only the texts in such pairs send; a pivot's
+  set is sent once for some thousand members.
 """
 
 from __future__ import annotations
@@ -33,13 +35,15 @@ from . import text as T
 from .components import components
 
 U = np.uint64
-SKETCH = 20  # log2 of the counters of the frequency sketch: 4 MB, whatever the input
-BLOCKS = 16
-BITS = 26  # log2 of the bits of the filter of texts that have candidates: 8 MB, whatever the input
+SKETCH = 22  # log2 of the counters of the frequency sketch: 16 MB, and 4 MB as classes, whatever the input
+BLOCKS = 64
+BITS = 26  # log2 of the bits of the filter of texts to compare: 8 MB, whatever the input
 SMALL = 8  # a bucket of so many texts yields all pairs at once
 ROUNDS = (8, 128)  # members of a large bucket that the others meet before the unlimited round
 PER_PIVOT = 2000
 LANES = 8  # 64-bit words of a set's parity bitmap
+LANE_NAMES = [f"s{j}" for j in range(LANES)]
+UNSEEN = 0.1  # further texts expected to hold a token whose frequency does not stand out
 
 
 def _need(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -48,10 +52,9 @@ def _need(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def _digest(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH, np.int64)
+        counts = np.zeros(1 << SKETCH, np.uint32)
         seen = np.zeros(0, U)
-        names = ["doc_id", "n", "key", "blk", "blob"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["doc_id", "n", "key", *LANE_NAMES, "fine", "blk", "blob"]
         for batch in batches:
             ids, col = batch.column(0), batch.column(1)
             for lo, hi, data, offs in T.pieces(col):
@@ -59,19 +62,49 @@ def _digest(shingle: int):
                 tok, n = T.sets(*T.grams(h, c, shingle))
                 key = T.set_key(tok, n)
                 new = _fresh(key, seen)
-                counts += np.bincount((tok[np.repeat(new, n)] >> U(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH)
+                np.add.at(counts, (tok[np.repeat(new, n)] >> U(64 - SKETCH)).astype(np.int64), 1)
                 seen = _remember(seen, key[new])
-                rows = [ids.slice(lo, hi - lo), pa.array(n), pa.array(key.view(np.int64)), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())]
+                marks = (pa.array(x) for x in _parity(tok, n))
+                rows = [ids.slice(lo, hi - lo), pa.array(n), pa.array(key.view(np.int64)), *marks, pa.array(_fine(tok, n), pa.binary()), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())]
                 yield pa.RecordBatch.from_arrays(rows, names)
         if counts.any():
-            parts = counts.astype(np.uint32).reshape(BLOCKS, -1)
             none = pa.nulls(BLOCKS, pa.int64())
-            blobs = pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(BLOCKS), kinds[3]), blobs], names)
+            blobs = pa.array([zlib.compress(p.tobytes(), 1) for p in counts.reshape(BLOCKS, -1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([none] * (3 + LANES) + [pa.nulls(BLOCKS, pa.binary()), pa.array(range(BLOCKS), pa.int32()), blobs], names)
 
     return run
 
 
+def _parity(tok: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """LANES rows of 64-bit words: per set, the parities of its tokens' numbers in 64 * LANES hashed places."""
+    width = 64 * LANES
+    out = np.zeros((len(n), LANES), np.int64)
+    ends = np.cumsum(n)
+    for lo in range(0, len(n), 256):
+        hi = min(lo + 256, len(n))
+        t = tok[ends[lo] - n[lo] : ends[hi - 1]]
+        odd = np.bincount(T.owner(n[lo:hi]) * width + (t >> U(11)).astype(np.int64) % width, minlength=(hi - lo) * width) & 1
+        out[lo:hi] = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, LANES)
+    return out.T.copy()
+
+
+def _fine(tok: np.ndarray, n: np.ndarray) -> list[bytes | None]:
+    """For sets beyond 512 tokens a parity bitmap of as many bits, up to a power of two; shorter ones fold out of it."""
+    out: list[bytes | None] = [None] * len(n)
+    ends = np.cumsum(n)
+    for i in np.flatnonzero(n > 64 * LANES):
+        width = 1 << int(n[i] - 1).bit_length()
+        odd = np.bincount((tok[ends[i] - n[i] : ends[i]] >> U(11)).astype(np.int64) & (width - 1), minlength=width) & 1
+        out[i] = np.packbits(odd.astype(np.uint8)).tobytes()
+    return out
+
+
+def _fold(bits: np.ndarray, size: int) -> np.ndarray:
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def _fresh(key: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """Of each key the first, unless this task has met it before."""
     new = np.zeros(len(key), bool)
@@ -100,27 +133,29 @@ def frequency_classes(counts: np.ndarray) -> np.ndarray:
     return np.where(sure, np.log2(np.maximum(extra, 1.0)).astype(np.int64) + 1, 0).astype(np.uint8)
 
 
-def choose_length(df: np.ndarray, n: int, c: int, most: int) -> int:
-    """The l of least estimated cost: scanning the prefix's postings, then comparing whole sets.
+def choose_length(met: np.ndarray, n: int, c: int) -> int:
+    """The l of least estimated cost: posting the prefix, then comparing whole sets.
 
-    df: estimated document frequencies of the tokens in prefix order. Texts that share l of the prefix's tokens
-    are at most the sum of their frequencies divided by l.
+    met: running sum of the further texts that are expected to hold the tokens, in prefix order. Texts that share l
+    of the prefix's tokens are at most that sum divided by l.
     """
     base = n - c
-    run = np.cumsum(df)
     best, least = 1, None
-    for el in range(1, min(most, c) + 1):
-        met = run[base + el - 1]
-        cost = met + met / el * (0.05 * n + 5)
+    el, most = 1, min(c, 4 + n // 64)
+    while el <= most:
+        many = met[base + el - 1]
+        cost = base + el + many + many / el * (0.05 * n + 5)
         if least is None or cost < least:
             best, least = el, cost
+        el += 1 + el // 4
     return best
 
 
-def _postings(shingle: int, num: int, den: int, parts: int, most: int, classes):
+def _postings(shingle: int, num: int, den: int, parts: int, classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls = classes.value
         seen = np.zeros(0, U)
+        usual: dict[int, int] = {}  # by size, where no token's frequency stands out
         held: list[np.ndarray] = []
         size = 0
 
@@ -150,16 +185,20 @@ def _postings(shingle: int, num: int, den: int, parts: int, most: int, classes):
                 need = _need(n, num, den)
                 take = np.zeros(len(tok), bool)
                 place = np.zeros(len(tok), np.uint32)
-                el = np.ones(len(n), np.uint8)
+                el = np.ones(len(n), np.uint16)
                 for i in np.flatnonzero(new):
                     a, b = int(ends[i] - n[i]), int(ends[i])
                     s = code[a:b]
                     s.sort()
                     size_i, c = b - a, int(need[i])
                     base = size_i - c
-                    high = int(s[min(size_i, base + most) - 1] >> U(58))
-                    if high:
-                        el[i] = choose_length(np.exp2((s >> U(58)).astype(np.float64)) - 1, size_i, c, most)
+                    reach = s[: min(size_i, base + 4 + size_i // 64)]
+                    if int(reach[-1] >> U(58)):
+                        el[i] = choose_length(np.cumsum(np.maximum(np.exp2((reach >> U(58)).astype(np.float64)) - 1, UNSEEN)), size_i, c)
+                    else:
+                        if size_i not in usual:
+                            usual[size_i] = choose_length(UNSEEN * np.arange(1, size_i + 1), size_i, c)
+                        el[i] = usual[size_i]
                     p = base + int(el[i])
                     take[a : a + p] = True
                     place[a : a + p] = np.arange(p)
@@ -167,14 +206,14 @@ def _postings(shingle: int, num: int, den: int, parts: int, most: int, classes):
                 got = code[take] & U((1 << 58) - 1)
                 held.append((got, key[own], np.minimum(n[own], 2**32 - 1).astype(np.uint32), place[take], el[own]))
                 size += len(got)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield from flush()
         yield from flush()
 
     return run
 
 
-KINDS = (np.uint32, U, np.uint32, np.uint32, np.uint8)  # token, class, set size, place of the token, l
+KINDS = (np.uint32, U, np.uint32, np.uint32, np.uint16)  # token, class, set size, place of the token, l
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -255,7 +294,7 @@ def _buckets(num: int, den: int):
             rank = np.empty(m, np.int64)
             rank[np.argsort(order_key[lo:hi])] = np.arange(m)
             bucket = (int(tok[lo]) * 2_000_003 + part) & 0x7FFFFFFFFFFFFFFF
-            out.append((np.ones(m), np.full(m, bucket, U), key[lo:hi], np.full(m, m), n[lo:hi], at[lo:hi].astype(np.int64) * 16 + el[lo:hi], rank))
+            out.append((np.ones(m), np.full(m, bucket, U), key[lo:hi], np.full(m, m), n[lo:hi], at[lo:hi].astype(np.int64) * 65536 + el[lo:hi], rank))
         if not out:
             return pd.DataFrame({c: np.zeros(0, np.int64) for c in schema})
         kind, x, y, nx, ny, c, need = (np.concatenate([o[j] for o in out]).astype(U if j in (1, 2) else np.int64) for j in range(7))
@@ -271,7 +310,7 @@ def _buckets(num: int, den: int):
 
 
 def _members(shingle: int, bits):
-    """(key, packed sorted tokens, parity bitmap) of the texts that may have candidates."""
+    """(key, packed sorted tokens) of the texts whose key's bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
@@ -287,15 +326,8 @@ def _members(shingle: int, bits):
                 seen = _remember(seen, key[new])
                 ends = np.cumsum(n)
                 rows = np.flatnonzero(new)
-                own = np.full(len(n), -1)
-                own[rows] = np.arange(len(rows))
-                own = own[T.owner(n)]
-                kept = tok[own >= 0]
-                parity = np.bincount(own[own >= 0] * (64 * LANES) + (kept >> U(11)).astype(np.int64) % (64 * LANES), minlength=len(rows) * 64 * LANES) & 1
-                lanes = np.packbits(parity.astype(np.uint8)).view(np.int64).reshape(-1, LANES)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[rows].view(np.int64)), pa.array([tok[ends[i] - n[i] : ends[i]].tobytes() for i in rows], pa.binary()), *(pa.array(lanes[:, j]) for j in range(LANES))],
-                    ["key", "toks", *(f"s{j}" for j in range(LANES))],
+                    [pa.array(key[rows].view(np.int64)), pa.array([tok[ends[i] - n[i] : ends[i]].tobytes() for i in rows], pa.binary())], ["key", "toks"]
                 )
 
     return run
@@ -326,21 +358,69 @@ def _verify_run(num: int, den: int):
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The linked of the candidate pairs (x, y). A pivot with many partners is dealt over several groups."""
-    many = pairs.groupBy("x").agg(F.ceil(F.count("*") / PER_PIVOT).alias("k"))
-    dealt = pairs.join(many, "x").select(F.col("x").alias("a"), F.col("y").alias("b"), F.pmod(F.xxhash64("y"), F.col("k")).alias("s"))
-    members = dealt.join(sets, dealt["b"] == sets["key"]).select("a", "s", F.lit(1).alias("role"), "b", "toks")
-    pivots = dealt.select("a", "s").distinct().join(sets, F.col("a") == sets["key"]).select("a", "s", F.lit(0).alias("role"), F.col("a").alias("b"), "toks")
-    both = members.unionByName(pivots).repartition("a", "s").sortWithinPartitions("a", "s", "role", "b")
-    return both.mapInArrow(_verify_run(num, den), "u long, v long")
+def _apart(a: str, b: str) -> str:
+    return " + ".join(f"bit_count({a}{c} ^ {b}{c})" for c in LANE_NAMES)
+
+
+def _close_run(num: int, den: int):
+    """Drops pairs whose fine bitmaps, folded to the shorter one's size, differ too much."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            keep = np.ones(batch.num_rows, bool)
+            for i in np.flatnonzero(np.asarray(batch.column(4).is_valid()) & np.asarray(batch.column(5).is_valid())):
+                a, b = (np.frombuffer(batch.column(j)[i].as_buffer(), np.uint8) for j in (4, 5))
+                size = min(len(a), len(b))
+                apart = int(np.bitwise_count(_fold(a, size) ^ _fold(b, size)).sum())
+                keep[i] = (int(n[i] + m[i]) - apart) * (num + den) >= 2 * num * int(n[i] + m[i])
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return run
+
+
+class Verifier:
+    """Tells which candidate pairs link: first by bitmaps, then exactly, on the sets of the texts that are left."""
+
+    def __init__(self, scratch: Scratch, texts: DataFrame, classes: DataFrame, shingle: int, num: int, den: int):
+        self.scratch, self.texts, self.classes, self.shingle, self.num, self.den = scratch, texts, classes, shingle, num, den
+
+    def links(self, pairs: DataFrame) -> DataFrame | None:
+        """The linked of the pairs (x, y), as (u, v); None where no pair is left to compare."""
+        num, den = self.num, self.den
+        one = {
+            p: self.classes.select(F.col("key").alias(k), F.col("n").alias(p + "n"), *(F.col(c).alias(p + c) for c in (*LANE_NAMES, "fine")))
+            for p, k in (("a_", "x"), ("b_", "y"))
+        }
+        close = f"(a_n + b_n - ({_apart('a_', 'b_')})) * {num + den} >= {2 * num} * (a_n + b_n)"
+        left = pairs.distinct().join(one["a_"], "x").join(one["b_"], "y").where(close)
+        left = self.scratch.save(left.select("x", "y", "a_n", "b_n", "a_fine", "b_fine").mapInArrow(_close_run(num, den), "x long, y long"))
+        keys = left.select(F.col("x").alias("key")).union(left.select(F.col("y").alias("key")))
+        bit = keys.select(F.expr(f"key & {(1 << BITS) - 1}").alias("b"))
+        filled = bit.groupBy(F.expr("shiftright(b, 6)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("m")).toArrow()
+        if not filled.num_rows:
+            return None
+        table = np.zeros(1 << (BITS - 6), U)
+        table[filled["w"].to_numpy()] = filled["m"].to_numpy().view(U)
+        bits = self.texts.sparkSession.sparkContext.broadcast(table)
+        sets = self.texts.mapInArrow(_members(self.shingle, bits), "key long, toks binary")
+        # a pivot with many partners is dealt over several groups
+        many = left.groupBy("x").agg(F.ceil(F.count("*") / PER_PIVOT).alias("k"))
+        dealt = left.join(many, "x").select(F.col("x").alias("a"), F.col("y").alias("b"), F.pmod(F.xxhash64("y"), F.col("k")).alias("s"))
+        members = dealt.select("a", "s", F.lit(1).alias("role"), "b", F.col("b").alias("key"))
+        pivots = dealt.select("a", "s").distinct().select("a", "s", F.lit(0).alias("role"), F.col("a").alias("b"), F.col("a").alias("key"))
+        both = members.union(pivots).join(sets, "key").select("a", "s", "role", "b", "toks")
+        both = both.repartition("a", "s").sortWithinPartitions("a", "s", "role", "b")
+        found = self.scratch.save(both.mapInArrow(_verify_run(num, den), "u long, v long"))
+        self.scratch.drop(left)
+        self.scratch.tidy()
+        return found
 
 
 def similar_groups(
     docs: DataFrame,
     shingle: int = 5,
     threshold: tuple[int, int] = (75, 100),
-    longest: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -356,62 +436,55 @@ def similar_groups(
     scratch = Scratch(spark, "jaccard")
     only = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    base = scratch.save(only.mapInArrow(_digest(shingle), "doc_id long, n long, key long, blk int, blob binary"))
+    base = scratch.save(only.mapInArrow(_digest(shingle), "doc_id long, n long, key long, " + "".join(f"{c} long, " for c in LANE_NAMES) + "fine binary, blk int, blob binary"))
     digest = base.where("blk is null").select("doc_id", "n", "key")
     blocks = base.where("blk is not null").select("blk", "blob").groupBy("blk").applyInPandas(_sum_blocks, "blk int, blob binary").collect()
     counts = np.zeros((BLOCKS, (1 << SKETCH) // BLOCKS), np.uint32)
     for r in blocks:
         counts[r["blk"]] = np.frombuffer(r["blob"], np.uint32)
     tokens = int(counts.sum(dtype=np.int64))
+    known = scratch.save(
+        base.where("blk is null and n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("own"), *(F.first(c).alias(c) for c in (*LANE_NAMES, "fine")))
+    )
+    verifier = Verifier(scratch, only.select("text"), known.drop("own"), shingle, num, den)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(2 * least, 1 + tokens // 2_000_000)
     classes = spark.sparkContext.broadcast(frequency_classes(counts.reshape(-1).astype(np.int64)))
 
-    posted = only.select("text").mapInArrow(_postings(shingle, num, den, parts, longest, classes), "part long, blob binary")
+    posted = only.select("text").mapInArrow(_postings(shingle, num, den, parts, classes), "part long, blob binary")
     found = scratch.save(posted.groupBy("part").applyInPandas(_buckets(num, den), "kind long, x long, y long, nx long, ny long, c long, need long"))
-    keys = found.where("kind = 0").select(F.col("x").alias("key")).union(found.select(F.col("y").alias("key")))
-    bit = keys.select(F.expr(f"key & {(1 << BITS) - 1}").alias("b"))
-    filled = bit.groupBy(F.expr("shiftright(b, 6)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("m")).toPandas()
-    table = np.zeros(1 << (BITS - 6), U)
-    table[filled["w"].to_numpy(np.int64)] = filled["m"].to_numpy(np.int64).view(U)
-    bits = spark.sparkContext.broadcast(table)
-    lanes = [f"s{j}" for j in range(LANES)]
-    full = scratch.save(
-        only.select("text").mapInArrow(_members(shingle, bits), "key long, toks binary, " + ", ".join(f"{c} long" for c in lanes))
-        .groupBy("key").agg(*(F.first(c).alias(c) for c in ("toks", *lanes)))
-    )
-    sets, bitmaps = full.select("key", "toks"), full.select("key", *lanes)
-
     counted = found.where("kind = 0").groupBy("x", "y", "need").agg(F.sum("c").alias("c"))
     short = counted.where("c < need")
     large = found.where("kind = 1").selectExpr(
-        "x as bucket", "y as key", "nx as size", "ny as n", "shiftright(c, 4) as p", "c & 15 as l", "need as rank", "y as label"
+        "x as bucket", "y as key", "nx as size", "ny as n", "shiftright(c, 16) as p", "c & 65535 as l", "need as rank", "y as label"
     )
     met = counted.where("c >= need").select("x", "y").union(_meet(large, num, den, ROUNDS[0]))
-    roots = None
+    roots = spark.createDataFrame([], "u long, v long")
+
+    def merge(roots: DataFrame, links: DataFrame | None) -> DataFrame:
+        if links is None:
+            return roots
+        out = components(scratch, roots.union(links))
+        scratch.drop(links, roots)
+        return out
+
     for width in (*ROUNDS[1:], None):
-        links = scratch.save(verify(met.distinct(), sets, num, den))
-        merged = components(scratch, links if roots is None else roots.union(links))
-        scratch.drop(links, *([] if roots is None else [roots]))
-        roots = merged
+        roots = merge(roots, verifier.links(met))
         open_ = _label(large.drop("label"), roots, "key", "label")
         split = open_.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.min_by("label", "rank").alias("lead")).where("a <> z")
         large = scratch.save(open_.join(split.select("bucket", "lead"), "bucket"))
-        met = _meet(large.join(bitmaps, "key"), num, den, width)
+        met = _meet(large.join(known.select("key", *LANE_NAMES), "key"), num, den, width)
         large = large.drop("lead")
         if width is None:
             left = _label(_label(short, roots, "x", "lx"), roots, "y", "ly").where("lx <> ly").select("x", "y", "need", "c")
             met = met.union(left).groupBy("x", "y").agg(F.sum("c").alias("c"), F.min("need").alias("need")).where("c >= need").select("x", "y")
-    met = scratch.save(met)
-    if met.head(1):
-        roots = components(scratch, roots.union(verify(met, sets, num, den)))
+    roots = merge(roots, verifier.links(met))
 
-    classes_of = digest.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("own"))
-    lab = _label(classes_of, roots, "key", "root")
+    lab = _label(known.select("key", "own"), roots, "key", "root")
     comp = lab.groupBy("root").agg(F.min("own").alias("component"))
-    known = lab.join(comp, "root").select("key", "component")
+    named = lab.join(comp, "root").select("key", "component")
     plain = digest.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return digest.where("n > 0").join(known, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).union(plain)
+    return digest.where("n > 0").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).union(plain)
 
 
 def _label(df: DataFrame, roots: DataFrame, key: str, label: str) -> DataFrame:
@@ -430,11 +503,23 @@ def _meet(large: DataFrame, num: int, den: int, width: int | None) -> DataFrame:
     p = large.select(*(F.col(c).alias("p_" + c) for c in large.columns))
     on = (F.col("bucket") == F.col("p_bucket")) & (F.col("label") != F.col("p_label")) & F.expr(_may_link_sql("", "p_", num, den))
     if "s0" in large.columns:
-        apart = " + ".join(f"bit_count(s{j} ^ p_s{j})" for j in range(LANES))
-        on = on & F.expr(f"(n + p_n - ({apart})) * {num + den} >= {2 * num} * (n + p_n)")
+        on = on & F.expr(f"(n + p_n - ({_apart('', 'p_')})) * {num + den} >= {2 * num} * (n + p_n)")
     pair = [F.least("key", "p_key").alias("x"), F.greatest("key", "p_key").alias("y")]
     if width is None:
         on = on & ((F.col("p_label") == F.col("lead")) | (F.col("key") < F.col("p_key")))
         return large.where("label <> lead").join(p, on).select(*pair, F.least("l", "p_l").alias("need"), F.lit(1).cast("long").alias("c"))
     own = large.groupBy("key").agg(F.max(F.struct("size", "bucket")).alias("m")).select("key", F.col("m.bucket").alias("bucket"))
     return large.join(own, ["key", "bucket"]).join(p.where(F.col("p_rank") < width), on).select(*pair).distinct()
+
+
+def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, all columns, of one document of each group: that of the least doc_id, once if its row repeats.
+
+    Rows without a doc_id stay where their text links with nothing, each.
+    """
+    found = similar_groups(docs, **how)
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    with_id = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    twice = with_id.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return with_id.join(again, "doc_id", "left_anti").unionByName(twice).unionByName(docs.where("doc_id is null"))

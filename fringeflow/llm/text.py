@@ -122,7 +122,7 @@ def grams(h: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     out = np.zeros(int(out_counts.sum()), U)
     if long.any():
         m = len(h) - k + 1
-        s = np.full(m, U(k) * COMBINE[63])
+        s = np.repeat(COMBINE[63:] * U(k), m)
         for j in range(k):
             s += h[j : j + m] * COMBINE[j]
         own = owner(counts)
