@@ -54,6 +54,7 @@ class Encoder:
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = {c: self.full.encode(c, add_special_tokens=False).ids[0] for c in ".,"}
         self.reset()
 
     def reset(self) -> None:
@@ -78,7 +79,7 @@ class Encoder:
         return out
 
     def _add(self, h: np.ndarray, strings: list[str]) -> None:
-        lists = self._encode(strings)
+        flat, sizes = self._encode(strings)
         mask = (1 << TABLE_BITS) - 1
         slot = (h & U(mask)).astype(np.int64)
         rank = np.arange(self.known, self.known + len(h))
@@ -94,26 +95,42 @@ class Encoder:
             todo = todo[~(free & one)]
             slot[todo] = (slot[todo] + 1) & mask
         self.known += len(h)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(sizes)))
-        self.flat = np.concatenate((self.flat, np.fromiter((x for y in lists for x in y), np.uint32, int(sizes.sum()))))
-
-    def _encode(self, strings: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(strings)
-        plain = [i for i, s in enumerate(strings) if s.isalpha() and max(s) <= "ÿ"]
+        self.flat = np.concatenate((self.flat, flat))
+
+    def _encode(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the strings, one after another, and their number."""
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # which strings, their ids, how many each
+        rest: list[int] = []
+        plain: list[int] = []
+        mark = {i: s[-1] for i, s in enumerate(strings) if s[-1] in ".," and len(s) > 1}
+        bare = [s[:-1] if i in mark else s for i, s in enumerate(strings)]
+        for i, s in enumerate(bare):
+            (plain if s.isalpha() and max(s) <= "ÿ" else rest).append(i)
         for lo in range(0, len(plain), 4000):
             some = plain[lo : lo + 4000]
-            ids = self.plain.encode(" ".join(strings[i].lower() for i in some), add_special_tokens=False).ids
+            ids = np.array(self.plain.encode(" ".join([bare[i] for i in some]).lower(), add_special_tokens=False).ids, np.uint32)
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(some):
-                a = 0
-                for i, b in zip(some, cut.tolist()):
-                    out[i] = ids[a:b]
-                    a = b
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.full.encode_batch([strings[i] for i in rest], add_special_tokens=False)):
-            out[i] = e.ids
-        return out
+                parts.append((np.array(some), ids, np.diff(cut, prepend=0)))
+            else:
+                rest += some
+        found = self.full.encode_batch([strings[i] for i in rest], add_special_tokens=False)
+        sizes = np.array([len(e.ids) for e in found], np.int64)
+        parts.append((np.array(rest, np.int64), np.array([x for e in found for x in e.ids], np.uint32), sizes))
+        n = np.zeros(len(strings), np.int64)
+        for which, _, k in parts:
+            n[which] = k
+        slow = set(rest)
+        marked = np.array([i for i in mark if i not in slow], np.int64)
+        n[marked] += 1
+        start = np.cumsum(n) - n
+        out = np.zeros(int(n.sum()), np.uint32)
+        for which, ids, k in parts:
+            out[np.repeat(start[which] - (np.cumsum(k) - k), k) + np.arange(len(ids))] = ids
+        ends = start + n - 1
+        out[ends[marked]] = [self.marks[mark[i]] for i in marked.tolist()]
+        return out, n
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and their number."""
@@ -159,6 +176,7 @@ class Encoder:
         return ids, np.diff(run[unit_of])
 
 
+_ENCODERS: dict[str, Encoder | None] = {}
 _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
 
@@ -175,7 +193,7 @@ def _spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return T.mix(np.add.reduceat(v, np.cumsum(n) - n))
 
 
-def repair(seq: np.ndarray, vocabulary: int, stop: int, rounds: int = 12, per_round: int = 3000) -> tuple[np.ndarray, np.ndarray]:
+def repair(seq: np.ndarray, vocabulary: int, stop: int, rounds: int = 8, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """The remaining sequence and the rules (pairs of symbols). `stop` is never part of a pair."""
     seq = seq.astype(np.uint32)
     limit = 65536 if vocabulary <= 60_000 else 1 << 20
@@ -216,7 +234,7 @@ def repair(seq: np.ndarray, vocabulary: int, stop: int, rounds: int = 12, per_ro
         seq = seq[keep]
         rules.append(np.stack((pairs >> kind(shift), pairs & kind((1 << int(shift)) - 1)), 1).astype(np.uint32))
         used += len(pairs)
-        if gone < 0.004 * len(seq):
+        if gone < 0.01 * len(seq):
             break
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
@@ -256,7 +274,8 @@ SCHEMA = "part long, shard long, n_docs long, n_tokens long, vocabulary long, id
 
 def _write_run(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _ENCODERS.setdefault(path, None) or Encoder(path)
+        _ENCODERS[path] = encoder  # words met by a worker's earlier tasks are known to the next one
         part = TaskContext.get().partitionId()
         shard = 0
         ids: list[np.ndarray] = []
