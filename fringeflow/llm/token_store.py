@@ -36,8 +36,8 @@ TABLE_BITS = 21  # slots of an encoder's table of words
 class Encoder:
     """Encodes texts by their distinct words: each task asks the tokenizer once for a word it has not met.
 
-    A text is cut at white space, and a last full stop or comma is cut from a word that ends in an ASCII letter or
-    digit; the tokenizer's own rules cut there too. Words of plain Latin letters skip its normaliser and patterns,
+    A text is cut at white space, and a last full stop or comma is cut from a word that ends in a Latin letter or an
+    ASCII digit; the tokenizer's own rules cut there too. Words of plain Latin letters skip its normaliser and patterns,
     which do nothing to them once lower-cased. Texts with marks of special tokens go to the tokenizer whole.
     """
 
@@ -106,16 +106,17 @@ class Encoder:
         mark = {i: s[-1] for i, s in enumerate(strings) if s[-1] in ".," and len(s) > 1}
         bare = [s[:-1] if i in mark else s for i, s in enumerate(strings)]
         for i, s in enumerate(bare):
-            (plain if s.isalpha() and max(s) <= "ÿ" else rest).append(i)
+            (plain if s.isalpha() and (s.isascii() or max(s) <= "ÿ") else rest).append(i)
         for lo in range(0, len(plain), 4000):
             some = plain[lo : lo + 4000]
-            ids = np.array(self.plain.encode(" ".join([bare[i] for i in some]).lower(), add_special_tokens=False).ids, np.uint32)
+            line = " ".join([bare[i] for i in some]).lower()
+            ids = np.array(self.plain.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(some):
                 parts.append((np.array(some), ids, np.diff(cut, prepend=0)))
             else:
                 rest += some
-        found = self.full.encode_batch([strings[i] for i in rest], add_special_tokens=False)
+        found = self.full.encode_batch_fast([strings[i] for i in rest], add_special_tokens=False)
         sizes = np.array([len(e.ids) for e in found], np.int64)
         parts.append((np.array(rest, np.int64), np.array([x for e in found for x in e.ids], np.uint32), sizes))
         n = np.zeros(len(strings), np.int64)
@@ -147,7 +148,9 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(counts), np.int64)
         last = data[end - 1]
         before = data[np.maximum(end - 2, 0)]
-        cut = (end - start > 1) & ((last == 0x2E) | (last == 0x2C)) & _ALNUM[before]
+        # before the mark an ASCII letter or digit, or a letter of two bytes, the first 0xC3 (0x97 and 0xB7 are signs)
+        latin = (end - start > 2) & (data[np.maximum(end - 3, 0)] == 0xC3) & (before != 0x97) & (before != 0xB7)
+        cut = (end - start > 1) & ((last == 0x2E) | (last == 0x2C)) & (_ALNUM[before] | latin)
         # hash of the word without its last byte, by taking that byte's term away
         units = 1 + cut.astype(np.int64)
         at = np.cumsum(units) - units
