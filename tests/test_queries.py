@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from fringeflow.plans import registry
@@ -22,7 +23,7 @@ def duck():
 
 def rows(frame):
     def text(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
             return ""
         return f"{float(v):.8g}" if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
 
