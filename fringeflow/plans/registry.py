@@ -97,8 +97,8 @@ add("flag_summary", lambda s, d: stats.flag_summary(fact(s, d).withColumn("year"
     f"SELECT spw, ant, year, CAST(sum(flag::INT) AS BIGINT) AS flagged, count(*) AS total FROM (SELECT *, CAST(floor(t / 31557600) AS INTEGER) AS year FROM {FACT}) GROUP BY GROUPING SETS ((spw), (ant), (ant, year), ())")
 add("flux_profile", lambda s, d: rounded(stats.flux_profile(cube(s, d), "value", "chan", F.col("chan") * F.lit(2.5)), digits=3),
     f"WITH p AS (SELECT chan, count(value) AS npts, sum(value) AS flux, avg(value) AS mean, median(value) AS median, chan * 2.5::DOUBLE AS coord FROM {CUBE} GROUP BY chan) SELECT chan, npts, round(flux, 3) AS flux, round(mean, 3) AS mean, round(median, 3) AS median, coord, coalesce(abs(lead(coord) OVER (ORDER BY chan) - coord), abs(coord - lag(coord) OVER (ORDER BY chan))) AS step FROM p")
-add("goodness_of_fit", lambda s, d: rounded(fit.goodness(fact(s, d), ["spw", "flag"], F.col("value") / F.col("weight")), digits=4),
-    f"SELECT spw, flag, count(*) AS count, round(avg(value / weight), 4) AS average, round(min(value / weight), 4) AS min, round(max(value / weight), 4) AS max FROM {FACT} GROUP BY spw, flag")
+add("goodness_of_fit", lambda s, d: rounded(fit.goodness(fact(s, d), ["spw", "flag"], F.col("value") / F.col("weight")), digits=7),
+    f"SELECT spw, flag, count(*) AS count, round(avg(value / weight), 7) AS average, round(min(value / weight), 7) AS min, round(max(value / weight), 7) AS max FROM {FACT} GROUP BY spw, flag")
 
 # --- selection ----------------------------------------------------------------------------------------------------
 add("select_channels", lambda s, d: long(s, d).where(select.channels("chan", "<4,10~12;11~15,60", 64)).groupBy("chan").agg(F.count("*").alias("n")), f"SELECT chan, count(*) AS n FROM {LONG} WHERE chan BETWEEN 0 AND 3 OR chan BETWEEN 10 AND 15 OR chan = 60 GROUP BY chan")
