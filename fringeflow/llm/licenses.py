@@ -4,6 +4,10 @@ A text is cut into sentences, which are normalised: A-Z lower-cased, everything
 characters a single space. Known sentences have identifiers. The identifiers of a text's known sentences, in order,
 are matched against the licence rules, each an ordered list of identifiers; other sentences between two known ones
 break no rule, a known one out of place does. Everything is evaluated row by row; nothing is shuffled.
+
+A sentence may run over several lines: a known one starts and ends at a stop mark, a blank line, a bullet or any line
+break, and a single line break inside it, with or without comment marks, is a space. Of two that start together the
+longer one counts. The rules also see the sequence of single lines, in which no sentence runs over a line break.
 """
 
 from __future__ import annotations
@@ -16,6 +20,9 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STOP = r"[.!?;:]+(?:[\x20\x09-\x0D]+|$)|[\x0A-\x0D]+"
 JUNK = r"[^a-z0-9\x0A\x{80}-\x{10FFFF}]+"
+BREAK = r"\x0D\x0A?|[\x0B\x0C]"
+END = r"[.!?;:]+(?:[\x20\x09-\x0D]+|$)"
+BULLET = r"(?<![^\x0A])[^a-z0-9\x0A\x{80}-\x{10FFFF}]*(?:[\x{2022}\x{2023}\x{25A0}-\x{25FF}\x{B7}\x{2013}\x{2014}]|\(?[a-z0-9]{1,4}\))[\x20\x09]+"
 
 # fixed values: normalised sentences of public licences and their identifiers
 SENTENCES = {
@@ -64,10 +71,30 @@ def sentences(text: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(t, JUNK, " "), "\n"), lambda s: F.trim(s))
 
 
+def _identified(found: Column, known: dict[str, str]) -> Column:
+    table = F.from_json(F.lit(json.dumps(known)), "map<string,string>")
+    return F.filter(F.transform(found, lambda s: F.element_at(table, s)), lambda x: x.isNotNull())
+
+
+def line_sequence(text: Column, known: dict[str, str] = SENTENCES) -> Column:
+    """Identifiers of the known sentences of a text that stand on one line, in order."""
+    return _identified(sentences(text), known)
+
+
+def wrapped(text: Column) -> Column:
+    """A normalised text: one line break where a line ends inside a sentence, more where the sentence ends too."""
+    t = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAK, "\n")
+    t = F.regexp_replace(F.regexp_replace(t, BULLET, "\n"), END, "\n\n")
+    return F.regexp_replace(F.regexp_replace(t, JUNK, " "), r"\x20?\x0A\x20?|^\x20|\x20$", "\n")
+
+
 def known_sequence(text: Column, known: dict[str, str] = SENTENCES) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    table = F.from_json(F.lit(json.dumps(known)), "map<string,string>")
-    return F.filter(F.transform(sentences(text), lambda s: F.element_at(table, s)), lambda x: x.isNotNull())
+    if not known:
+        return F.array().cast("array<string>")
+    any_of = "|".join(k.replace(" ", r"[\x20\x0A]") for k in sorted(known, key=len, reverse=True))
+    found = F.regexp_extract_all(wrapped(text), F.lit(rf"(?<![^\x0A])(?:{any_of})(?![^\x0A])"), F.lit(0))
+    return _identified(F.transform(found, lambda s: F.translate(s, "\n", " ")), known)
 
 
 def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
@@ -76,16 +103,17 @@ def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules=RULES) -> Dat
     A text with no licence has an empty string in licenses; a null or empty text has no sentence. Where one rule holds
     the start of a longer one both names are given.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), known_sequence(F.col("text"), known).alias("ids"))
-    rows = rows.select("doc_id", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", " ").alias("sequence"))
-    line = F.concat(F.lit(" "), F.col("sequence"), F.lit(" "))
+    doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text")
+    rows = docs.select(doc_id, known_sequence(text, known).alias("ids"), line_sequence(text, known).alias("cut"))
+    rows = rows.select("doc_id", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", " ").alias("sequence"), F.array_join("cut", " ").alias("cut"))
+    line = F.concat(F.lit(" "), F.col("sequence"), F.lit(" | "), F.col("cut"), F.lit(" "))
     found = [F.when(F.contains(line, F.lit(" " + " ".join(seq) + " ")), F.lit(name)) for name, seq in rules]
     names = F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
     return rows.select("doc_id", "n_known", "sequence", F.array_join(names, ",").alias("licenses"))
 
 
 def scan_sql(known: dict[str, str] = SENTENCES, rules=RULES) -> str:
-    """The same rows by DuckDB."""
+    """The same rows by DuckDB, where no known sentence runs over a line break."""
     keys = ", ".join(f"'{k}'" for k in known)
     values = ", ".join(f"'{v}'" for v in known.values())
     tests = ", ".join(f"CASE WHEN contains(' ' || sequence || ' ', ' {' '.join(seq)} ') THEN '{name}' END" for name, seq in rules)

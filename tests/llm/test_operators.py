@@ -314,6 +314,25 @@ def test_licenses(spark):
     assert {r.doc_id: r.licenses for r in licenses.scan(d).collect()} == {0: "", 1: "", 2: "MIT", 3: "Apache-2.0", 4: "GPL-3.0-or-later", 5: ""}
 
 
+def test_licenses_of_wrapped_texts(spark):
+    import textwrap
+
+    full = {v: k for k, v in licenses.SENTENCES.items()}
+    mit = f"The MIT License (MIT)\nCopyright (c) 2020 A\n{textwrap.fill(full['mit-grant'], 70)}:\n\n{textwrap.fill(full['mit-notice'].capitalize(), 70)}.\n"
+    bsd = textwrap.fill(full["bsd-grant"], 60) + ":\n" + "".join(f"{b} {textwrap.fill(full[k], 60, subsequent_indent='   ')}.\n" for b, k in (("1.", "bsd-source"), ("(2)", "bsd-binary"), ("*", "bsd-names")))
+    gpl = textwrap.fill(f"{full['gpl-free']}: {full['gpl-terms']}; {full['gpl2-later']}.", 64)
+    apache = 'Licensed under the Apache License, Version 2.0\r\n(the "License");\r\nyou may not use this file except in compliance\r\nwith the License. You may obtain a copy of\r\nthe License at\r\n\r\n    http://x'
+    texts = [
+        mit, bsd, gpl, "".join(f" * {x}\n" for x in ("/*" + gpl).split("\n")), "".join(f"# {x}\n" for x in mit.split("\n")), apache, apache.split("you")[0], "Released under\nthe MIT License\nnext line",
+        "Released under\n\nthe MIT License", "a released under\nthe MIT License", "this project is\nlicensed under the MIT License",
+    ]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(d).collect()}
+    want = ["MIT", "BSD-2-Clause,BSD-3-Clause", "GPL-2.0-or-later", "GPL-2.0-or-later", "MIT", "Apache-2.0", "Apache-2.0", "MIT", "", "", "MIT"]
+    assert [got[i].licenses for i in range(len(texts))] == want
+    assert got[5].sequence == "apache2-header apache2-use apache2-copy" and got[10].n_known == 1
+
+
 def test_words_match_the_pattern():
     import pyarrow as pa
 
