@@ -2,10 +2,13 @@
 
 The page is cut into lines at block elements. Mark-up, scripts, styles and comments are stripped, and so are elements
 that are boilerplate by tag, role or class (menus, headers, footers, sidebars, forms, notices, adverts, reader
-comments); a stripped line stays in place with length zero. Lines that are mostly links count as zero too, and where
-the page marks an article or main element, so do the lines outside it. Over a window of three lines the lengths are
-summed. From the largest sum the kept text reaches back to where the sums surge from zero and on to where they dive
-to zero; further stretches whose sums are a fair share of the largest are kept as well.
+comments); a stripped line stays in place with length zero, while a block without text is no line. Lines that are
+mostly links count as zero too. Over a window of three lines the lengths are summed. A stretch reaches from where the
+sums surge from zero to where they dive to zero; it is strong if its largest sum is a fair share of the page's largest
+or is as long as prose. All stretches from the first strong one to the last are kept.
+
+Where the page marks an article or main element, its marks decide instead of the distribution: every line inside one
+that is not stripped is kept, and no other.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-SHARE = 0.25  # a further stretch is kept if its largest window holds this share of the page's largest
+SHARE = 0.25  # a stretch is strong if its largest window holds this share of the page's largest
+PROSE = 86  # or this many characters
 
 # fixed values: names of HTML elements
 BLOCK = set(
@@ -72,7 +76,8 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     def flush() -> None:
         nonlocal linked
         text = BLANK.sub(" ", "".join(parts)).strip()
-        out.append((text, linked, bad > 0, main > 0))
+        if text:
+            out.append((text, linked, bad > 0, main > 0))
         parts.clear()
         linked = 0
 
@@ -120,19 +125,19 @@ def main_text(page: str | None) -> str:
         return ""
     found = lines(page)
     marked = any(m and t and not b for t, _, b, m in found)
-    size = np.array([0 if b or (marked and not m) or (not marked and 2 * k > len(t)) else len(t) for t, k, b, m in found])
+    if marked:
+        return " ".join(t for t, _, b, m in found if m and not b)
+    size = np.array([0 if b or 2 * k > len(t) else len(t) for t, k, b, _ in found], int)
     if not size.any():
         return ""
-    sums = np.convolve(size, np.ones(WINDOW, int))[: len(size)] if len(size) else size  # of a line and those before it
+    sums = np.convolve(size, np.ones(WINDOW, int))[: len(size)]  # of a line and those before it
     ahead = np.convolve(size[::-1], np.ones(WINDOW, int))[: len(size)][::-1]  # of a line and those after it
     alive = (sums > 0) | (ahead > 0)
     edges = np.flatnonzero(np.diff(np.concatenate(([0], alive.astype(int), [0]))))
-    top = sums.max()
-    keep = np.zeros(len(size), bool)
-    for a, b in zip(edges[::2], edges[1::2]):
-        if marked or sums[a:b].max() >= SHARE * top:
-            keep[a:b] = True
-    return " ".join(t for (t, _, _, _), k, n in zip(found, keep, size) if k and n)
+    least = min(SHARE * sums.max(), PROSE)
+    strong = [(a, b) for a, b in zip(edges[::2], edges[1::2]) if sums[a:b].max() >= least]
+    first, last = strong[0][0], strong[-1][1]
+    return " ".join(t for (t, _, _, _), n in zip(found[first:last], size[first:last]) if n)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -307,6 +307,18 @@ def test_main_text(spark):
     assert sorted((r.page_id, r.n_chars) for r in got) == [(1, 0), (1, 44)]
 
 
+def test_main_text_of_unmarked_pages():
+    p = lambda word, n: "<p>" + " ".join([word] * n) + "</p>"
+    advert = "<div class=ad><p>Buy this</p></div>"
+    menu = "<ul class=menu>" + "<li><a href=/x>Some link</a></li>" * 8 + "</ul>"
+    body = p("body", 80) + "<div class=ad><div><div><p>Buy</p></div></div></div>" + p("more", 80)
+    words = lambda page: sorted(collections.Counter(main_text.main_text(page).split()).items())
+    assert words(p("lead", 24) + advert + body) == [("body", 80), ("lead", 24), ("more", 80)]
+    assert words(p("lead", 24) + menu + body + menu + p("last", 20)) == [("body", 80), ("last", 20), ("lead", 24), ("more", 80)]
+    assert words("<div>home</div>" + menu + body + menu + p("mid", 3) + menu + p("last", 80) + menu + "<div>tail</div>") == [("body", 80), ("last", 80), ("mid", 3), ("more", 80)]
+    assert words("<main>" + p("short", 2) + menu + p("body", 300) + "</main>" + p("out", 99)) == [("body", 300), ("short", 2)]
+
+
 def test_licenses(spark):
     texts = [None, "", "Released under the MIT License.", "x\nLicensed under the Apache License, Version 2.0. y", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
              "General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.", "a the MIT License b"]
