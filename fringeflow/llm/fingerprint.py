@@ -1,71 +1,69 @@
 """Document fingerprints by consistent weighted sampling, DataFrame operations only.
 
-For each term of weight w and each of SLOTS samples, hashes of the term give r and c, both Gamma(2, 1), and b, uniform:
-
-    t = floor(ln w / r + b),   ln a = ln c - r * (t + 1 - b)
-
-A slot keeps the (term, t) of least a. Two texts keep the same one with a probability equal to the generalised Jaccard
-similarity of their term weights, sum of minima over sum of maxima, so the share of equal slots estimates it. Terms
-are the words of the text and weights their numbers. A slot is the least of one long per sample, whose upper bits
-order by ln a and whose lower bits name (term, t), so a plain grouped minimum over numbers does the work.
+Terms are the words of the text and weights their numbers. Of a term of weight w, the pairs (term, i) with 1 <= i <= w
+are candidates, and each of SLOTS samples keeps the candidate of least hash: every unit of weight is as likely to be
+kept, and the same pairs are asked in every text, so the sample is uniform and consistent. Two texts keep the same pair
+with a probability equal to the generalised Jaccard similarity of their term weights, sum of minima over sum of maxima,
+and the share of equal slots estimates it. For whole weights this is exact and needs no logarithms, unlike samples by
+Gamma variates, which real weights need. A slot is the least of one long per candidate, whose lower bits are its name,
+so a plain grouped minimum over numbers does the work.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
 
-SLOTS = 32
+SLOTS = 128
 TAG = 16  # bits of a slot
-TOGETHER = 4  # slots of which one row takes care
+PACKED = 64 // TAG  # slots of one long of a signature
+TOGETHER = 16  # slots of which one row takes care
+_random = random.Random(7)
+SALTS = [_random.getrandbits(62) for _ in range(TOGETHER)]
 BLANK = r"[\x20\x09-\x0D]+"
 
 
-def _packed(j: int) -> str:
-    """SQL of sample (g, j) of a row (h, lnw, g): ln a in the upper bits, the name of (term, t) in the lower TAG ones.
+def signatures(terms: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, sig (array of longs, PACKED slots in each) from rows (keys, h long, n int), one row per term and its weight.
 
-    A Gamma(2, 1) variate is minus the logarithm of a product of two uniform numbers, here of 13 bits each.
+    A candidate is repeated once for each TOGETHER slots, whose minima are kept side by side: the expressions of all
+    slots at once would be too large a method to be compiled.
     """
-    x = f"xxhash64(h, {j}, g)"
-
-    def pair(at: int) -> str:
-        u, v = (f"((shiftright({x}, {s}) & 8191) * 2 + 1)" for s in (at, at + 13))
-        return f"(-ln({u} * {v} * {2.0**-28!r}D))"
-
-    r, c, b = pair(0), pair(26), f"((shiftright({x}, 52) & 4095) * {1 / 4096!r}D)"
-    t = f"floor(lnw / {r} + {b})"
-    return f"shiftleft(cast((ln({c}) - {r} * ({t} + 1 - {b}) + 512) * {float(1 << 34)!r}D AS bigint), {TAG}) | ((shiftright(h, 20) + {t} * 40503) & {(1 << TAG) - 1})"
-
+    pairs = terms.select(*keys, "h", F.explode(F.expr("sequence(1, n)")).alias("i")).select(*keys, F.xxhash64("h", "i").alias("x"))
+    rows = pairs.select(*keys, "x", F.explode(F.sequence(F.lit(0), F.lit(SLOTS // TOGETHER - 1))).alias("g")).select(*keys, "g", F.xxhash64("x", "g").alias("y"))
+    least = rows.groupBy(*keys, "g").agg(*(F.expr(f"min(xxhash64(y ^ {salt}L))").alias(f"m{j}") for j, salt in enumerate(SALTS)))
 
-def signatures(terms: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, sig (array of SLOTS ints) from rows (keys, h long, lnw double), one row per term.
+    def packed(at: int) -> Column:
+        return F.expr(" | ".join(f"shiftleft(m{at + k} & {(1 << TAG) - 1}L, {TAG * (PACKED - 1 - k)})" for k in range(PACKED)))
 
-    A row is repeated once for each TOGETHER slots, whose minima are kept side by side: the expressions of all slots
-    at once would be too large a method to be compiled.
-    """
-    rows = terms.select(*keys, "h", "lnw", F.explode(F.sequence(F.lit(0), F.lit(SLOTS // TOGETHER - 1))).alias("g"))
-    least = rows.groupBy(*keys, "g").agg(*(F.expr(f"min({_packed(j)})").alias(f"m{j}") for j in range(TOGETHER)))
-    low = F.lit((1 << TAG) - 1)
-    part = F.struct("g", F.array(*(F.col(f"m{j}").bitwiseAND(low).cast("int") for j in range(TOGETHER))).alias("s"))
+    part = F.struct("g", F.array(*(packed(j) for j in range(0, TOGETHER, PACKED))).alias("s"))
     return least.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["s"])).alias("sig"))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal slots; two texts without terms are alike, one without is unlike any other."""
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: z)) / F.lit(SLOTS)
+    low = (1 << TAG) - 1
+
+    def equal(z: Column) -> Column:
+        lanes = (F.when(F.shiftrightunsigned(z, TAG * k).bitwiseAND(F.lit(low)) == 0, 1).otherwise(0) for k in range(PACKED))
+        return sum(lanes, F.lit(0))
+
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda n, z: n + equal(z)) / F.lit(SLOTS)
     return F.when(a.isNull() | b.isNull(), F.when(a.isNull() & b.isNull(), F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(same)
 
 
 def _hex(sig: Column) -> Column:
-    return F.coalesce(F.array_join(F.transform(sig, lambda x: F.lpad(F.lower(F.hex(x)), TAG // 4, "0")), ""), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(sig, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), ""), F.lit(""))
 
 
 def term_rows(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Rows (keys, h, lnw): the distinct words of each text. No shuffle where the rows are dealt by the first key."""
+    """Rows (keys, h, n): the distinct words of each text and how often it has them. No shuffle where the rows are dealt by the first key."""
     words = texts.select(*keys, F.explode(F.split(text, BLANK)).alias("w")).where("w <> ''").select(*keys, F.xxhash64("w").alias("h"))
-    return words.groupBy(*keys, "h").agg(F.count("*").alias("n")).select(*keys, "h", F.log(F.col("n").cast("double")).alias("lnw"))
+    return words.groupBy(*keys, "h").agg(F.count("*").cast("int").alias("n"))
 
 
 def neighbours(ids: DataFrame, bits: int = 12) -> DataFrame:
@@ -86,13 +84,8 @@ def neighbours(ids: DataFrame, bits: int = 12) -> DataFrame:
     return inner.join(blocks, "_b").select("doc_id", F.coalesce("next_id", "_after").alias("next_id"), F.coalesce("prev_id", "_before").alias("prev_id"))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every id of docs.
-
-    The edited text has the last floor(n_chars / 2) code points replaced by the first as many, or all, of the next
-    document's, the last document being followed by the first. A null text is empty; its fingerprint is the empty
-    string. Rows that repeat an id are one document, with the greatest of their texts. Rows without an id are left out.
-    """
+def _measured(docs: DataFrame) -> DataFrame:
+    """doc_id, next_id, n_chars, edited_sha256, own and edit (signatures) of every id of docs."""
     texts = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
     sizes = texts.select("doc_id", F.length("text").alias("n"))
     near = neighbours(sizes.select("doc_id"))
@@ -105,8 +98,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     parts = both.select("doc_id", F.posexplode(F.array("text", "edited")).alias("kind", "t"))
     sig = signatures(term_rows(parts, ["doc_id", "kind"], "t"), ["doc_id", "kind"])
     pair = sig.groupBy("doc_id").agg(F.max(F.when(F.col("kind") == 0, F.col("sig"))).alias("own"), F.max(F.when(F.col("kind") == 1, F.col("sig"))).alias("edit"))
+    return told.join(pair, "doc_id", "left")
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every id of docs.
+
+    The edited text has the last floor(n_chars / 2) code points replaced by the first as many, or all, of the next
+    document's, the last document being followed by the first. A null text is empty; its fingerprint is the empty
+    string. Rows that repeat an id are one document, with the greatest of their texts. Rows without an id are left out.
+    """
     # saved once, with what the texts are still needed for: it is read for a document and for the one before it
-    rows = Scratch(docs.sparkSession, "fingerprints").save(told.join(pair, "doc_id", "left"))
+    scratch = Scratch(docs.sparkSession, "fingerprints")
+    rows = scratch.save(_measured(docs))
+    scratch.tidy()  # the shuffled texts
     following = rows.select(F.col("doc_id").alias("next_id"), F.col("own").alias("following"))
     return rows.join(following, "next_id", "left").select(
         "doc_id", "n_chars", "edited_sha256", _hex(F.col("own")).alias("fingerprint"), _hex(F.col("edit")).alias("edited_fingerprint"),

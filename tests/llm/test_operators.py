@@ -253,6 +253,24 @@ def test_fingerprints(spark, docs):
     assert fingerprint.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_estimate_closely(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):  # neighbours share a part of their words, often more than once
+        w = [f"w{i}x{j}" for j in range(60) for _ in range(rng.choice((1, 1, 2, 5)))]
+        rows.append((2 * i, " ".join(w)))
+        rows.append((2 * i + 1, " ".join(x if rng.random() < 0.75 else f"v{i}x{k}" for k, x in enumerate(w))))
+    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gap = []
+    for (i, x), (_, y) in zip(rows[::2], rows[1::2]):
+        p, q = collections.Counter(x.split()), collections.Counter(y.split())
+        gap.append(got[i].near_next - sum((p & q).values()) / sum((p | q).values()))
+        assert len(got[i].fingerprint) == 4 * fingerprint.SLOTS
+        slots = [[got[j].fingerprint[k : k + 4] for k in range(0, 4 * fingerprint.SLOTS, 4)] for j in (i, i + 1)]
+        assert got[i].near_next == pytest.approx(sum(a == b for a, b in zip(*slots)) / fingerprint.SLOTS)
+    assert abs(sum(gap) / len(gap)) < 0.015 and sum(v * v for v in gap) / len(gap) < 0.003
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(500)]
