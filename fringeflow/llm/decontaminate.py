@@ -3,9 +3,11 @@
 Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased, so punctuation and line breaks do not hide a
 passage. A window of a document has as many words as the benchmark item it is held against. Windows that share no
 five-word shingle with that item cannot reach any similarity above zero and are skipped unhashed. The others get a
-64-bit SimHash of their weighted shingles; RADIUS + 1 blocks of bits index the items' fingerprints, so by the pigeonhole
-principle every item within RADIUS bits is found. Those are verified: the weighted Jaccard similarity of the two
-multisets of shingles must reach the threshold. A shingle weighs one over the number of items that hold it.
+64-bit SimHash of their weighted shingles and one of their plain ones; for each, RADIUS + 1 blocks of bits index the
+items' fingerprints, so by the pigeonhole principle every item within RADIUS bits is found. Those are verified: the
+weighted or the plain Jaccard similarity of the two multisets of shingles must reach the threshold; the greater one is
+told. A shingle weighs one over the number of items that hold it, or one where none does; the plain similarity keeps
+an edited copy of an item whose text others share from being lost to the weight of its edits.
 
 Documents are only mapped, never shuffled or gathered. The items are broadcast in slices of a fixed number.
 """
@@ -71,19 +73,21 @@ class Items:
         self.seen = np.zeros(1 << SLOTS, bool)
         self.seen[(self.key >> U(64 - SLOTS)).astype(np.int64)] = True
         self.short = sorted({int(m) for m in self.words if 0 < m < SHINGLE})
-        self.print = np.zeros(len(ids), U)
+        self.prints = np.zeros((2, len(ids)), U)  # weighted, plain
         self.values = []
         for i, x in enumerate(self.grams):
             c, k = np.unique(x, return_counts=True)
             w = self.weight_of(c)
-            self.values.append((c, k * w, w))
+            self.values.append((c, k, w))
             if len(x):
-                self.print[i] = self.bits((_signs(c) * (k * w)[:, None]).sum(0)[None])[0]
-        self.index = []
-        for a, b in _blocks():
-            v = (self.print >> U(a)) & U((1 << (b - a)) - 1)
-            order = np.argsort(v, kind="stable")
-            self.index.append((U(a), U((1 << (b - a)) - 1), v[order], order))
+                for kind, kw in enumerate((k * w, k)):
+                    self.prints[kind, i] = self.bits((_signs(c) * kw[:, None]).sum(0)[None])[0]
+        self.index: list[list] = [[], []]
+        for kind, own in enumerate(self.prints):
+            for a, b in _blocks():
+                v = (own >> U(a)) & U((1 << (b - a)) - 1)
+                order = np.argsort(v, kind="stable")
+                self.index[kind].append((U(a), U((1 << (b - a)) - 1), v[order], order))
 
     @staticmethod
     def bits(sums: np.ndarray) -> np.ndarray:
@@ -103,27 +107,29 @@ class Items:
         k = np.minimum(np.searchsorted(self.key, g[at]), len(self.key) - 1)
         return at[self.key[k] == g[at]]
 
-    def near(self, prints: np.ndarray) -> set[tuple[int, int]]:
-        """(window, item) pairs within RADIUS, from the blocks."""
+    def near(self, prints: np.ndarray, kind: int) -> set[tuple[int, int]]:
+        """(window, item) pairs within RADIUS, from the blocks of the weighted (0) or plain (1) fingerprints."""
         out: set[tuple[int, int]] = set()
-        for shift, mask, values, order in self.index:
+        for shift, mask, values, order in self.index[kind]:
             v = (prints >> shift) & mask
             lo, hi = np.searchsorted(values, v, "left"), np.searchsorted(values, v, "right")
             n = hi - lo
             w = np.repeat(np.arange(len(prints)), n)
             i = order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-            ok = np.bitwise_count(prints[w] ^ self.print[i]) <= RADIUS
+            ok = np.bitwise_count(prints[w] ^ self.prints[kind, i]) <= RADIUS
             out.update(zip(w[ok].tolist(), i[ok].tolist()))
         return out
 
     def similarity(self, g: np.ndarray, item: int) -> float:
         c, k = np.unique(g, return_counts=True)
-        ic, ikw, iw = self.values[item]
-        kw = k * self.weight_of(c)
+        ic, ik, iw = self.values[item]
         at = np.minimum(np.searchsorted(ic, c), len(ic) - 1)
         met = ic[at] == c
-        both = float(np.minimum(kw[met], ikw[at[met]]).sum())
-        return both / (float(kw.sum()) + float(ikw.sum()) - both)
+        best = 0.0
+        for mine, its in ((k * self.weight_of(c), ik * iw), (k, ik)):
+            both = float(np.minimum(mine[met], its[at[met]]).sum())
+            best = max(best, both / (float(mine.sum()) + float(its.sum()) - both))
+        return best
 
     def search(self, h: np.ndarray, g: np.ndarray, num: int, den: int) -> dict[int, tuple[float, int, int]]:
         """Of one document: item -> (similarity, first word, words) of its best window."""
@@ -164,10 +170,11 @@ class Items:
             for lo in range(0, len(starts), 4096):
                 some = starts[lo : lo + 4096]
                 a, b = int(some[0]), int(some[-1]) + size
-                w = self.weight_of(g[a:b])
-                run = np.concatenate((np.zeros((1, 64)), np.cumsum(_signs(g[a:b]) * w[:, None], 0)))
-                prints = self.bits(np.round(run[some - a + size] - run[some - a], 9))
-                for x, i in self.near(prints):
+                signs, found = _signs(g[a:b]), set()
+                for kind, w in enumerate((self.weight_of(g[a:b]), np.ones(b - a))):
+                    run = np.concatenate((np.zeros((1, 64)), np.cumsum(signs * w[:, None], 0)))
+                    found |= self.near(self.bits(np.round(run[some - a + size] - run[some - a], 9)), kind)
+                for x, i in found:
                     if i in wanted and self.words[i] == m:
                         s = int(some[x])
                         offer(i, self.similarity(g[s : s + size], i), s, min(m, len(h)))

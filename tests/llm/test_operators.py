@@ -310,6 +310,24 @@ def test_decontamination_against_brute_force(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {k[0] for k in want}
 
 
+def test_decontamination_of_items_that_share_text(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items, rows = [], []
+    for held, n in ((2, 40), (10, 59)):
+        text = [word() for _ in range(n)]
+        items += [(100 * held + i, " ".join(text)) for i in range(held)]
+        text[n // 2] = "zzzz"
+        rows.append((held, " ".join([word() for _ in range(30)] + text + [word() for _ in range(30)])))
+        text[n // 4] = text[3 * n // 4] = "zzzz"
+        rows.append((held + 1, " ".join(text)))
+    d, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_passages(d, bench).collect()}
+    want = {(2, 200 + i): 31 / 41 for i in range(2)} | {(10, 1000 + i): 50 / 60 for i in range(10)}
+    assert got == pytest.approx(want)
+    assert sorted(r.doc_id for r in decontaminate.without_passages(d, bench).collect()) == [3, 11]
+
+
 def test_main_text(spark):
     page = (
         "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><header>Top</header><nav><ul><li><a href='/a'>A</a></ul></nav>"
