@@ -9,18 +9,24 @@ weighted or the plain Jaccard similarity of the two multisets of shingles must r
 told. A shingle weighs one over the number of items that hold it, or one where none does; the plain similarity keeps
 an edited copy of an item whose text others share from being lost to the weight of its edits.
 
-Documents are only mapped, never shuffled or gathered. The items are broadcast in slices of a fixed number.
+Documents are only mapped, never shuffled or gathered. The items are broadcast in slices of a fixed number, each
+searched by a pass of its own, so a worker holds one slice. The numbers of items that hold a shingle are counted once
+over the whole benchmark, so results do not depend on the slices; every slice carries the shingles held by more than
+one item.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
 from . import text as T
 from .toxicity import _LETTERS
 
@@ -56,8 +62,9 @@ def _short(h: np.ndarray, m: int) -> np.ndarray:
 class Items:
     """A slice of the benchmark, made ready for look-ups."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], shared: tuple[np.ndarray, np.ndarray]):
         self.ids = np.array(ids, np.int64)
+        self.shared, self.share = shared[0], 1.0 / shared[1]
         data, offs = T.buffers(pa.array(texts, pa.string()))
         h, _, _, self.words = T.words(_LETTERS[data], offs)
         g, n = T.grams(h, self.words, SHINGLE)
@@ -65,10 +72,8 @@ class Items:
         self.grams = [g[e - k : e] for e, k in zip(ends, n)]
         own = T.owner(n)
         pair = np.unique(np.stack((g, own.astype(U)), 1), axis=0) if len(g) else np.zeros((0, 2), U)
-        self.key, df = np.unique(pair[:, 0], return_counts=True)
-        self.weight = 1.0 / df
+        self.key, self.count = np.unique(pair[:, 0], return_counts=True)
         self.first = np.searchsorted(pair[:, 0], self.key)
-        self.count = df
         self.item = pair[:, 1].astype(np.int64)
         self.seen = np.zeros(1 << SLOTS, bool)
         self.seen[(self.key >> U(64 - SLOTS)).astype(np.int64)] = True
@@ -94,10 +99,10 @@ class Items:
         return ((sums > 0).astype(U) << BITS).sum(1, dtype=U)
 
     def weight_of(self, g: np.ndarray) -> np.ndarray:
-        if not len(self.key):
+        if not len(self.shared):
             return np.ones(len(g))
-        at = np.minimum(np.searchsorted(self.key, g), len(self.key) - 1)
-        return np.where(self.key[at] == g, self.weight[at], 1.0)
+        at = np.minimum(np.searchsorted(self.shared, g), len(self.shared) - 1)
+        return np.where(self.shared[at] == g, self.share[at], 1.0)
 
     def hits(self, g: np.ndarray) -> np.ndarray:
         """Places of shingles that some item holds."""
@@ -181,27 +186,47 @@ class Items:
         return best
 
 
-def _found(items: list[Items], data: np.ndarray, offs: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int, float, int, int]]:
+def _found(part: Items, data: np.ndarray, offs: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int, float, int, int]]:
     h, _, _, counts = T.words(_LETTERS[data], offs)
     g, n = T.grams(h, counts, SHINGLE)
-    for part in items:
-        docs = set(np.searchsorted(np.cumsum(n), part.hits(g), "right").tolist())
-        if part.short:
-            ends = np.cumsum(counts)
-            for m in part.short:
-                r = part.hits(_short(h, m))
-                d = np.searchsorted(ends, r, "right")
-                docs.update(d[r + m <= ends[d]].tolist())
-        hw, gw = np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(n)))
-        for d in sorted(docs):
-            for i, (s, start, m) in sorted(part.search(h[hw[d] : hw[d + 1]], g[gw[d] : gw[d + 1]], num, den).items()):
-                yield d, int(part.ids[i]), s, start, m
-
-
-def _slices(benchmark: DataFrame) -> list[Items]:
+    docs = set(np.searchsorted(np.cumsum(n), part.hits(g), "right").tolist())
+    if part.short:
+        ends = np.cumsum(counts)
+        for m in part.short:
+            r = part.hits(_short(h, m))
+            d = np.searchsorted(ends, r, "right")
+            docs.update(d[r + m <= ends[d]].tolist())
+    hw, gw = np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(n)))
+    for d in sorted(docs):
+        for i, (s, start, m) in sorted(part.search(h[hw[d] : hw[d + 1]], g[gw[d] : gw[d + 1]], num, den).items()):
+            yield d, int(part.ids[i]), s, start, m
+
+
+def _shared(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that more than one item holds, ascending, and the number of items that hold each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offs in T.pieces(batch.column(0)):
+                h, _, _, words = T.words(_LETTERS[data], offs)
+                g, n = T.grams(h, words, SHINGLE)
+                held, _ = T.sets(g, n)
+                yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64))], ["g"])
+
+    counts = items.select("text").mapInArrow(run, "g long").groupBy("g").count().where("count > 1").toArrow()
+    g, n = counts["g"].to_numpy().view(U), counts["count"].to_numpy()
+    order = np.argsort(g)
+    return g[order], n[order]
+
+
+def _slices(benchmark: DataFrame) -> Iterator[Broadcast]:
     """The benchmark, which is a published list of items, in slices. A null or wordless text is in no document."""
-    rows = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text").distinct().orderBy("item_id", "text").collect()
-    return [Items([r[0] for r in rows[a : a + SLICE]], [r[1] for r in rows[a : a + SLICE]]) for a in range(0, len(rows), SLICE)]
+    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text").distinct()
+    shared, context = _shared(items), benchmark.sparkSession.sparkContext
+    rows = items.orderBy("item_id", "text").collect()
+    for a in range(0, max(1, len(rows)), SLICE):
+        some = rows[a : a + SLICE]
+        yield context.broadcast(Items([r[0] for r in some], [r[1] for r in some], shared))
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, threshold: tuple[int, int] = (75, 100)) -> DataFrame:
@@ -211,9 +236,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, threshold: tuple[int, i
     its texts. Extra columns are not read.
     """
     num, den = threshold
-    held = docs.sparkSession.sparkContext.broadcast(_slices(benchmark))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows: list[tuple] = []
@@ -224,16 +248,16 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, threshold: tuple[int, i
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long, n_words long")
+    kinds = "doc_id long, item_id long, similarity double, first_word long, n_words long"
+    return reduce(DataFrame.union, [rows.mapInArrow(partial(run, held=held), kinds) for held in _slices(benchmark)])
 
 
 def without_passages(docs: DataFrame, benchmark: DataFrame, threshold: tuple[int, int] = (75, 100)) -> DataFrame:
-    """The rows of docs, all columns, whose text holds no item."""
+    """The rows of docs, all columns, whose text holds no item. Between two slices the rows left are saved."""
     num, den = threshold
-    held = docs.sparkSession.sparkContext.broadcast(_slices(benchmark))
     at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean = np.ones(batch.num_rows, bool)
             for lo, _, data, offs in T.pieces(batch.column(at)):
@@ -241,5 +265,12 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, threshold: tuple[int
                     clean[lo + d] = False
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    scratch, left, saved = Scratch(docs.sparkSession, "decontaminated"), None, None
+    for held in _slices(benchmark):
+        if left is not None:
+            before, saved = saved, scratch.save(left)
+            if before is not None:
+                scratch.drop(before)
+        left = (docs if saved is None else saved).mapInArrow(partial(run, held=held), docs.schema)
+    return left
 

@@ -328,6 +328,32 @@ def test_decontamination_of_items_that_share_text(spark):
     assert sorted(r.doc_id for r in decontaminate.without_passages(d, bench).collect()) == [3, 11]
 
 
+def test_decontamination_does_not_depend_on_slices(spark, monkeypatch):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    common = [word() for _ in range(14)]
+    items = [(i, " ".join([word() for _ in range(12)] + common * (i % 2) + [word() for _ in range(14 - 14 * (i % 2) + 12)])) for i in range(9)] + [(20, "a b c"), (21, "a b c")]
+    rows = [(100, None), (101, "x a b c y"), (102, "nothing here")]
+    for i in range(60):
+        w = items[i % 9][1].split()
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = "zzzz"
+        rows.append((i, " ".join([word() for _ in range(20)] + w + [word() for _ in range(20)])))
+    d, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def results():
+        found = {(r.doc_id, r.item_id): tuple(r) for r in decontaminate.find_passages(d, bench).collect()}
+        return found, sorted(r.doc_id for r in decontaminate.without_passages(d, bench).collect())
+
+    whole = results()
+    assert {k for k in whole[0] if k[0] == 101} == {(101, 20), (101, 21)} and 102 in whole[1]
+    for size in (1, 4):
+        monkeypatch.setattr(decontaminate, "SLICE", size)
+        assert results() == whole
+    nothing = bench.limit(0)
+    assert decontaminate.find_passages(d, nothing).count() == 0 and decontaminate.without_passages(d, nothing).count() == len(rows)
+
+
 def test_main_text(spark):
     page = (
         "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><header>Top</header><nav><ul><li><a href='/a'>A</a></ul></nav>"
