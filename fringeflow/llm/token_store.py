@@ -196,7 +196,7 @@ def _spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return T.mix(np.add.reduceat(v, np.cumsum(n) - n))
 
 
-def repair(seq: np.ndarray, vocabulary: int, stop: int, rounds: int = 8, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def repair(seq: np.ndarray, vocabulary: int, stop: int, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """The remaining sequence and the rules (pairs of symbols). `stop` is never part of a pair."""
     seq = seq.astype(np.uint32)
     limit = 65536 if vocabulary <= 60_000 else 1 << 20
@@ -204,9 +204,7 @@ def repair(seq: np.ndarray, vocabulary: int, stop: int, rounds: int = 8, per_rou
     kind = np.uint32 if limit == 65536 else U
     rules: list[np.ndarray] = []
     used = vocabulary
-    for _ in range(rounds):
-        if used >= limit or len(seq) < 2 * LEAST:
-            break
+    while used < limit and len(seq) >= 2 * LEAST:
         code = (seq[:-1].astype(kind) << kind(shift)) | seq[1:].astype(kind)
         free = (seq[:-1] != stop) & (seq[1:] != stop)
         ordered = np.sort(code[free])
@@ -233,12 +231,9 @@ def repair(seq: np.ndarray, vocabulary: int, stop: int, rounds: int = 8, per_rou
         seq[at] = used + hit[at] - 1
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        gone = len(at)
         seq = seq[keep]
         rules.append(np.stack((pairs >> kind(shift), pairs & kind((1 << int(shift)) - 1)), 1).astype(np.uint32))
         used += len(pairs)
-        if gone < 0.01 * len(seq):
-            break
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 

@@ -169,6 +169,19 @@ def test_repair_compresses():
     assert not (rules == 1).any()
 
 
+def test_repair_leaves_no_frequent_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    phrase = rng.integers(10, 30_000, 64)
+    seq = np.concatenate([np.append(rng.integers(10, 30_000, 3000), phrase) for _ in range(10)] + [np.full(3000, 7)])
+    short, rules = token_store.repair(seq, 30_000, 1)
+    flat, at = token_store.expansions(rules, 30_000)
+    assert (token_store.decode(short.astype(np.int64), flat, at) == seq).all()
+    pairs = collections.Counter(zip(short[:-1].tolist(), short[1:].tolist()))
+    assert max(pairs.values()) < token_store.LEAST
+
+
 def test_mixing(spark, docs):
     got = mixing.mix_documents(docs).collect()
     assert len(got) == docs.count() and all(0 <= r.taken <= 2 * r.size for r in got)
