@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringeflow.llm import decontaminate, jaccard_join, mixing, token_store, toxicity
-from fringeflow.session import Scratch, shared_dir, table
+from fringeflow.session import Scratch, scratch_root, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token store and returns one row per document of it."""
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_root(spark)}/tokens-{uuid.uuid4().hex[:12]}"
     token_store.write_store(docs, path, token_store.default_tokenizer())
     return token_store.read_digests(spark, path)
 

@@ -30,33 +30,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests) is a local one made and set."""
+    """The folder all executors share. Where the session names none, a local session (tests) gets one of its own; on a
+    cluster that is an error."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fringeflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder inside the shared one."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes all scratch tables and token stores of this application. For when nothing reads their results any more."""
+    delete(spark, scratch_root(spark))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage, and removed once nothing reads them.
 
-    They are plain Parquet tables, so a lost executor takes nothing with it.
+    They are plain Parquet tables, so a lost executor takes nothing with it. What is not dropped goes with sweep().
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        self.paths: dict[int, str] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n}"
         self.n += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out.scratch_path = path  # goes with the frame itself
         return out
 
     def tidy(self) -> None:
@@ -65,9 +82,9 @@ class Scratch:
         self.spark._jvm.System.gc()
 
     def drop(self, *frames: DataFrame) -> None:
+        """Removes tables that save() gave back; frames of other kinds are left alone."""
         for df in frames:
-            path = self.paths.pop(id(df), None)
-            if path:
-                jvm = self.spark._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            path = getattr(df, "scratch_path", None) if df is not None else None
+            if isinstance(path, str):
+                delete(self.spark, path)
+                del df.scratch_path
