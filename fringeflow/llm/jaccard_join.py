@@ -8,12 +8,14 @@ its two l, counted over the tokens that both prefixes of that length hold.
 
 How it stays linear under hot groups:
 
-- Texts with equal sets are one class from the start, in each task before anything is shuffled.
-- Postings travel as packed arrays, a few bytes each, dealt by token.
+- Texts with equal sets are one class from the start, in each task before anything is shuffled. A class is named by a
+  64-bit hash of its set; a second one, kept beside it, shows where two sets share a name, and gives one of them another.
+- Postings travel as packed arrays, a few bytes each, dealt by token. Those of tokens that some 2 ** HOT or more texts
+  are estimated to hold are members of a large bucket from the start and are dealt evenly, not by token.
 - Small buckets (texts that share a prefix token) yield all their pairs. In a large bucket every text first meets a
   few pivots; verified links merge classes into components, and only texts that are still in different components
   meet more pivots. The last round has no limit, so no link between components can be missed; inside a component
-  further links change nothing.
+  further links change nothing. A bucket's members are dealt over groups of DEALT, each of which meets all pivots.
 - A pair whose parity bitmaps (512 bits, or one for each token) differ in more places than the sets of a link can have
   tokens apart is dropped unread. The others are verified exactly on whole sets, which only the texts in such pairs send; a pivot's
   set is sent once for some thousand members.
@@ -27,7 +29,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
@@ -37,7 +40,9 @@ from .components import components
 U = np.uint64
 SKETCH = 22  # log2 of the counters of the frequency sketch: 16 MB, and 4 MB as classes, whatever the input
 BLOCKS = 64
-BITS = 26  # log2 of the bits of the filter of texts to compare: 8 MB, whatever the input
+BITS = (26, 30)  # log2 of the bits of the filter of texts to compare: 8 MB, and up to 128 MB for 2 ** 26 classes and more
+HOT = 14
+DEALT = 2000
 SMALL = 8  # a bucket of so many texts yields all pairs at once
 ROUNDS = (8, 128)  # members of a large bucket that the others meet before the unlimited round
 PER_PIVOT = 2000
@@ -50,29 +55,48 @@ def _need(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return -((-num * n) // den)
 
 
-def _digest(shingle: int):
+class Names:
+    """Names of classes: the first hash of a set, or the second one where two sets were found to share the first."""
+
+    def __init__(self, bits: int = 64, keys: np.ndarray = np.zeros(0, U), kept: np.ndarray = np.zeros(0, U)):
+        self.mask, self.keys, self.kept = U((1 << bits) - 1), keys, kept
+
+    def both(self, tok: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key, check = T.set_key(tok, n)
+        return key & self.mask, check
+
+    def __call__(self, tok: np.ndarray, n: np.ndarray) -> np.ndarray:
+        key, check = self.both(tok, n)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            key = np.where((self.keys[at] == key) & (self.kept[at] != check), check, key)
+        return key
+
+
+def _digest(shingle: int, names: Names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH, np.uint32)
         seen = np.zeros(0, U)
-        names = ["doc_id", "n", "key", *LANE_NAMES, "fine", "blk", "blob"]
+        columns = ["doc_id", "h", "n", "key", "chk", *LANE_NAMES, "fine", "blk", "blob"]
         for batch in batches:
-            ids, col = batch.column(0), batch.column(1)
+            ids, col, h64 = batch.column(0), batch.column(1), batch.column(2)
             for lo, hi, data, offs in T.pieces(col):
                 h, _, _, c = T.words(data, offs)
                 tok, n = T.sets(*T.grams(h, c, shingle))
-                key = T.set_key(tok, n)
-                new = _fresh(key, seen)
+                key, check = names.both(tok, n)
+                new = _fresh(check, seen)
                 np.add.at(counts, (tok[np.repeat(new, n)] >> U(64 - SKETCH)).astype(np.int64), 1)
-                seen = _remember(seen, key[new])
+                seen = _remember(seen, check[new])
                 marks = (pa.array(x) for x in _parity(tok, n))
-                rows = [ids.slice(lo, hi - lo), pa.array(n), pa.array(key.view(np.int64)), *marks, pa.array(_fine(tok, n), pa.binary()), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())]
-                yield pa.RecordBatch.from_arrays(rows, names)
+                told = [ids.slice(lo, hi - lo), h64.slice(lo, hi - lo), pa.array(n), pa.array(key.view(np.int64)), pa.array(check.view(np.int64))]
+                rows = [*told, *marks, pa.array(_fine(tok, n), pa.binary()), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())]
+                yield pa.RecordBatch.from_arrays(rows, columns)
         if counts.any():
             none = pa.nulls(BLOCKS, pa.int64())
             blobs = pa.array([zlib.compress(p.tobytes(), 1) for p in counts.reshape(BLOCKS, -1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([none] * (3 + LANES) + [pa.nulls(BLOCKS, pa.binary()), pa.array(range(BLOCKS), pa.int32()), blobs], names)
+            yield pa.RecordBatch.from_arrays([none] * (5 + LANES) + [pa.nulls(BLOCKS, pa.binary()), pa.array(range(BLOCKS), pa.int32()), blobs], columns)
 
-    return run
+    return T.tidily(run)
 
 
 def _parity(tok: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -151,24 +175,34 @@ def choose_length(met: np.ndarray, n: int, c: int) -> int:
     return best
 
 
-def _postings(shingle: int, num: int, den: int, parts: int, classes):
+def _postings(shingle: int, num: int, den: int, parts: int, classes, names: Names, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls = classes.value
+        first_part = 7919 * TaskContext.get().partitionId()
         seen = np.zeros(0, U)
         usual: dict[int, int] = {}  # by size, where no token's frequency stands out
         held: list[np.ndarray] = []
-        size = 0
+        size = turn = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
+            nonlocal held, size, turn
             if held:
-                tok, key, n, at, el = (np.concatenate([h[j] for h in held]) for j in range(5))
+                code, key, n, at, el = (np.concatenate([h[j] for h in held]) for j in range(5))
+                level, tok = (code >> U(58)).astype(np.uint8), code & U((1 << 58) - 1)
+                often = np.flatnonzero(level >= hot)
+                for a in range(0, len(often), 100_000):  # dealt evenly
+                    some = often[a : a + 100_000]
+                    blob = pack(HOT_KINDS, tok[some], key[some], n[some], at[some], el[some], level[some])
+                    turn += 1
+                    yield pa.RecordBatch.from_arrays([pa.array([(first_part + turn) % parts], pa.int64()), pa.array([blob], pa.binary())], ["part", "blob"])
+                rest = level < hot
+                tok, key, n, at, el = tok[rest], key[rest], n[rest], at[rest], el[rest]
                 part = (tok % U(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 part = part[order]
                 tok, key, n, at, el = ((tok // U(parts)).astype(np.uint32)[order], key[order], n[order], at[order], el[order])
                 ids, first = np.unique(part, return_index=True)
-                blobs = [pack(tok[a:b], key[a:b], n[a:b], at[a:b], el[a:b]) for a, b in zip(first, [*first[1:], len(part)])]
+                blobs = [pack(KINDS, tok[a:b], key[a:b], n[a:b], at[a:b], el[a:b]) for a, b in zip(first, [*first[1:], len(part)])]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["part", "blob"])
             held, size = [], 0
 
@@ -176,7 +210,7 @@ def _postings(shingle: int, num: int, den: int, parts: int, classes):
             for _, _, data, offs in T.pieces(batch.column(0)):
                 h, _, _, cnt = T.words(data, offs)
                 tok, n = T.sets(*T.grams(h, cnt, shingle))
-                key = T.set_key(tok, n)
+                key = names(tok, n)
                 new = _fresh(key, seen) & (n > 0)
                 seen = _remember(seen, key[new])
                 f = cls[(tok >> U(64 - SKETCH)).astype(np.int64)].astype(U)
@@ -203,28 +237,33 @@ def _postings(shingle: int, num: int, den: int, parts: int, classes):
                     take[a : a + p] = True
                     place[a : a + p] = np.arange(p)
                 own = T.owner(n)[take]
-                got = code[take] & U((1 << 58) - 1)
+                got = code[take]
                 held.append((got, key[own], np.minimum(n[own], 2**32 - 1).astype(np.uint32), place[take], el[own]))
                 size += len(got)
                 if size > 2_000_000:
                     yield from flush()
         yield from flush()
 
-    return run
+    return T.tidily(run)
 
 
 KINDS = (np.uint32, U, np.uint32, np.uint32, np.uint16)  # token, class, set size, place of the token, l
+HOT_KINDS = (U, *KINDS[1:], np.uint8)  # whole token; and the class of its frequency
+
 
+def pack(kinds: tuple, *columns: np.ndarray) -> bytes:
+    return b"".join((np.array([len(kinds), len(columns[0])], np.uint32).tobytes(), *(c.astype(k, copy=False).tobytes() for k, c in zip(kinds, columns))))
 
-def pack(*columns: np.ndarray) -> bytes:
-    return b"".join((np.uint32(len(columns[0])).tobytes(), *(c.tobytes() for c in columns)))
+
+def is_hot(blob: bytes) -> bool:
+    return int(np.frombuffer(blob, np.uint32, 1)[0]) == len(HOT_KINDS)
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    m = int(np.frombuffer(blob, np.uint32, 1)[0])
-    at = 4
+    kinds, m = (HOT_KINDS if is_hot(blob) else KINDS), int(np.frombuffer(blob, np.uint32, 1, 4)[0])
+    at = 8
     out = []
-    for kind in KINDS:
+    for kind in kinds:
         out.append(np.frombuffer(blob, kind, m, at))
         at += m * np.dtype(kind).itemsize
     return tuple(out)
@@ -252,13 +291,20 @@ def _may_link_sql(a: str, b: str, num: int, den: int) -> str:
     )
 
 
-def _buckets(num: int, den: int):
-    """Of one part: pairs of small buckets with counts (kind 0), and the members of large ones with size and rank (kind 1)."""
+def _buckets(num: int, den: int, parts: int):
+    """Of one part: pairs of small buckets with counts (kind 0), and the members of large ones with size and rank (kind 1;
+    kind 2 where the token is a hot one: its size and ranks are estimates, and members may repeat)."""
     schema = ["kind", "x", "y", "nx", "ny", "c", "need"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         part = int(rows["part"].iloc[0])
-        tok, key, n, at, el = (np.concatenate(x) for x in zip(*map(unpack, rows["blob"])))
+        out: list[tuple[np.ndarray, ...]] = []
+        plain = [b for b in rows["blob"] if not is_hot(b)]
+        for tok, key, n, at, el, level in (unpack(b) for b in rows["blob"] if is_hot(b)):
+            m, shift = len(tok), U(64) - level.astype(U)
+            rank = (T.mix(key) >> shift).astype(np.int64)
+            out.append((np.full(m, 2), T.mix(tok) >> U(1), key, np.left_shift(1, level.astype(np.int64)), n, at.astype(np.int64) * 65536 + el, rank))
+        tok, key, n, at, el = (np.concatenate(x) for x in zip(*map(unpack, plain))) if plain else (np.zeros(0, k) for k in KINDS)
         order = np.argsort(tok, kind="stable")
         tok = tok[order]
         again = tok[1:] == tok[:-1]
@@ -274,7 +320,6 @@ def _buckets(num: int, den: int):
         tok, key, n, at, el = tok[first], key[first], n[first], at[first], el[first]
         starts = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1]))) if len(tok) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(tok)))
-        out: list[tuple[np.ndarray, ...]] = []
 
         def pairs(i: np.ndarray, j: np.ndarray) -> None:
             ok = _may_link(n[i], n[j], at[i], at[j], el[i], el[j], num, den)
@@ -293,7 +338,7 @@ def _buckets(num: int, den: int):
             m = hi - lo
             rank = np.empty(m, np.int64)
             rank[np.argsort(order_key[lo:hi])] = np.arange(m)
-            bucket = (int(tok[lo]) * 2_000_003 + part) & 0x7FFFFFFFFFFFFFFF
+            bucket = int(T.mix(np.array([int(tok[lo]) * parts + part], U))[0]) >> 1
             out.append((np.ones(m), np.full(m, bucket, U), key[lo:hi], np.full(m, m), n[lo:hi], at[lo:hi].astype(np.int64) * 65536 + el[lo:hi], rank))
         if not out:
             return pd.DataFrame({c: np.zeros(0, np.int64) for c in schema})
@@ -309,18 +354,19 @@ def _buckets(num: int, den: int):
     return run
 
 
-def _members(shingle: int, bits):
+def _members(shingle: int, bits, names: Names):
     """(key, packed sorted tokens) of the texts whose key's bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
+        low = U(64 * len(table) - 1)
         seen = np.zeros(0, U)
         for batch in batches:
             for _, _, data, offs in T.pieces(batch.column(0)):
                 h, _, _, cnt = T.words(data, offs)
                 tok, n = T.sets(*T.grams(h, cnt, shingle))
-                key = T.set_key(tok, n)
-                b = key & U((1 << BITS) - 1)
+                key = names(tok, n)
+                b = key & low
                 met = (table[(b >> U(6)).astype(np.int64)] >> (b & U(63))) & U(1) == U(1)
                 new = _fresh(key, seen) & (n > 0) & met
                 seen = _remember(seen, key[new])
@@ -330,7 +376,7 @@ def _members(shingle: int, bits):
                     [pa.array(key[rows].view(np.int64)), pa.array([tok[ends[i] - n[i] : ends[i]].tobytes() for i in rows], pa.binary())], ["key", "toks"]
                 )
 
-    return run
+    return T.tidily(run)
 
 
 def _verify_run(num: int, den: int):
@@ -355,7 +401,7 @@ def _verify_run(num: int, den: int):
                         v.append(b[i])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return run
+    return T.tidily(run)
 
 
 def _apart(a: str, b: str) -> str:
@@ -376,14 +422,15 @@ def _close_run(num: int, den: int):
                 keep[i] = (int(n[i] + m[i]) - apart) * (num + den) >= 2 * num * int(n[i] + m[i])
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return run
+    return T.tidily(run)
 
 
 class Verifier:
     """Tells which candidate pairs link: first by bitmaps, then exactly, on the sets of the texts that are left."""
 
-    def __init__(self, scratch: Scratch, texts: DataFrame, classes: DataFrame, shingle: int, num: int, den: int):
-        self.scratch, self.texts, self.classes, self.shingle, self.num, self.den = scratch, texts, classes, shingle, num, den
+    def __init__(self, scratch: Scratch, texts: DataFrame, classes: DataFrame, many: int, shingle: int, num: int, den: int, names: Names):
+        self.scratch, self.texts, self.classes, self.shingle, self.num, self.den, self.names = scratch, texts, classes, shingle, num, den, names
+        self.bits = min(max(BITS[0], many.bit_length() + 4), BITS[1])
 
     def links(self, pairs: DataFrame) -> DataFrame | None:
         """The linked of the pairs (x, y), as (u, v); None where no pair is left to compare."""
@@ -396,14 +443,16 @@ class Verifier:
         left = pairs.distinct().join(one["a_"], "x").join(one["b_"], "y").where(close)
         left = self.scratch.save(left.select("x", "y", "a_n", "b_n", "a_fine", "b_fine").mapInArrow(_close_run(num, den), "x long, y long"))
         keys = left.select(F.col("x").alias("key")).union(left.select(F.col("y").alias("key")))
-        bit = keys.select(F.expr(f"key & {(1 << BITS) - 1}").alias("b"))
+        bit = keys.select(F.expr(f"key & {(1 << self.bits) - 1}L").alias("b"))
         filled = bit.groupBy(F.expr("shiftright(b, 6)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("m")).toArrow()
         if not filled.num_rows:
             return None
-        table = np.zeros(1 << (BITS - 6), U)
+        table = np.zeros(1 << (self.bits - 6), U)
         table[filled["w"].to_numpy()] = filled["m"].to_numpy().view(U)
         bits = self.texts.sparkSession.sparkContext.broadcast(table)
-        sets = self.texts.mapInArrow(_members(self.shingle, bits), "key long, toks binary")
+        # each task sends a class once; all but one of them go where the join's own shuffle and sort have put them
+        sets = self.texts.mapInArrow(_members(self.shingle, bits, self.names), "key long, toks binary")
+        sets = sets.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("key"))).where("n = 1").select("key", "toks")
         # a pivot with many partners is dealt over several groups
         many = left.groupBy("x").agg(F.ceil(F.count("*") / PER_PIVOT).alias("k"))
         dealt = left.join(many, "x").select(F.col("x").alias("a"), F.col("y").alias("b"), F.pmod(F.xxhash64("y"), F.col("k")).alias("s"))
@@ -412,52 +461,58 @@ class Verifier:
         both = members.union(pivots).join(sets, "key").select("a", "s", "role", "b", "toks")
         both = both.repartition("a", "s").sortWithinPartitions("a", "s", "role", "b")
         found = self.scratch.save(both.mapInArrow(_verify_run(num, den), "u long, v long"))
+        bits.destroy()
         self.scratch.drop(left)
         self.scratch.tidy()
         return found
 
 
-def similar_groups(
-    docs: DataFrame,
-    shingle: int = 5,
-    threshold: tuple[int, int] = (75, 100),
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """One row per row of `docs`: id, n_shingles, component_id.
-
-    component_id is the smallest id that can be reached over links (num/den or more of the union shared), the
-    text's own included. A null or blank text has no shingles, links with nothing and keeps its own id. Rows that
-    repeat an id are each returned. A null id stays null unless the text links to one that has an id. Other columns
-    of `docs` are not read.
-    """
+def _groups(docs: DataFrame, shingle: int, threshold: tuple[int, int], id_col: str, text_col: str, hot: int, key_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n, key) of every row, h a hash of its text; and (key, root) of every class of texts with words."""
     spark: SparkSession = docs.sparkSession
     num, den = threshold
     scratch = Scratch(spark, "jaccard")
-    only = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    only = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
 
-    base = scratch.save(only.mapInArrow(_digest(shingle), "doc_id long, n long, key long, " + "".join(f"{c} long, " for c in LANE_NAMES) + "fine binary, blk int, blob binary"))
-    digest = base.where("blk is null").select("doc_id", "n", "key")
+    names = Names(key_bits)
+    schema = "doc_id long, h long, n long, key long, chk long, " + "".join(f"{c} long, " for c in LANE_NAMES) + "fine binary, blk int, blob binary"
+    base = scratch.save(only.mapInArrow(_digest(shingle, names), schema))
     blocks = base.where("blk is not null").select("blk", "blob").groupBy("blk").applyInPandas(_sum_blocks, "blk int, blob binary").collect()
     counts = np.zeros((BLOCKS, (1 << SKETCH) // BLOCKS), np.uint32)
     for r in blocks:
         counts[r["blk"]] = np.frombuffer(r["blob"], np.uint32)
     tokens = int(counts.sum(dtype=np.int64))
-    known = scratch.save(
-        base.where("blk is null and n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("doc_id").alias("own"), *(F.first(c).alias(c) for c in (*LANE_NAMES, "fine")))
-    )
-    verifier = Verifier(scratch, only.select("text"), known.drop("own"), shingle, num, den)
+    rows = base.where("blk is null").drop("blk", "blob")
+
+    def classed(rows: DataFrame) -> DataFrame:
+        told = (F.first("n").alias("n"), F.min("chk").alias("lo"), F.max("chk").alias("hi"), *(F.first(c).alias(c) for c in (*LANE_NAMES, "fine")))
+        return scratch.save(rows.where("n > 0").groupBy("key").agg(*told))
+
+    known = classed(rows)
+    # sets that share a name: n ** 2 / 2 ** 65 of n classes are expected, some tens among 5e10
+    shared = known.where("lo <> hi").select("key", "lo").collect()
+    if shared:
+        table = np.sort(np.array([(r["key"], r["lo"]) for r in shared], np.int64).view(U).view([("key", U), ("lo", U)]).reshape(-1), order="key")
+        names = Names(key_bits, table["key"].copy(), table["lo"].copy())
+        pairs = F.broadcast(spark.createDataFrame([tuple(r) for r in shared], "_key long, _lo long"))
+        rows = rows.join(pairs, F.col("key") == F.col("_key"), "left").withColumn("key", F.expr("if(_lo is not null and chk <> _lo, chk, key)")).drop("_key", "_lo")
+        scratch.drop(known)
+        known = classed(rows)
+    known = known.drop("lo", "hi")
+    digest = rows.select("doc_id", "h", "n", "key")
+    verifier = Verifier(scratch, only.select("text"), known, known.count(), shingle, num, den, names)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(2 * least, 1 + tokens // 2_000_000)
     classes = spark.sparkContext.broadcast(frequency_classes(counts.reshape(-1).astype(np.int64)))
 
-    posted = only.select("text").mapInArrow(_postings(shingle, num, den, parts, classes), "part long, blob binary")
-    found = scratch.save(posted.groupBy("part").applyInPandas(_buckets(num, den), "kind long, x long, y long, nx long, ny long, c long, need long"))
+    posted = only.select("text").mapInArrow(_postings(shingle, num, den, parts, classes, names, hot), "part long, blob binary")
+    found = scratch.save(posted.groupBy("part").applyInPandas(_buckets(num, den, parts), "kind long, x long, y long, nx long, ny long, c long, need long"))
+    classes.destroy()
     counted = found.where("kind = 0").groupBy("x", "y", "need").agg(F.sum("c").alias("c"))
     short = counted.where("c < need")
-    large = found.where("kind = 1").selectExpr(
-        "x as bucket", "y as key", "nx as size", "ny as n", "shiftright(c, 16) as p", "c & 65535 as l", "need as rank", "y as label"
-    )
+    member = ("x as bucket", "y as key", "nx as size", "ny as n", "shiftright(c, 16) as p", "c & 65535 as l", "need as rank", "y as label")
+    large = found.where("kind = 1").selectExpr(*member).union(found.where("kind = 2").selectExpr(*member).dropDuplicates(["bucket", "key"]))
     met = counted.where("c >= need").select("x", "y").union(_meet(large, num, den, ROUNDS[0]))
     roots = spark.createDataFrame([], "u long, v long")
 
@@ -468,23 +523,49 @@ def similar_groups(
         scratch.drop(links, roots)
         return out
 
+    before = None
     for width in (*ROUNDS[1:], None):
         roots = merge(roots, verifier.links(met))
         open_ = _label(large.drop("label"), roots, "key", "label")
-        split = open_.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.min_by("label", "rank").alias("lead")).where("a <> z")
-        large = scratch.save(open_.join(split.select("bucket", "lead"), "bucket"))
+        split = open_.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.min_by("label", "rank").alias("lead"), F.count("*").alias("many")).where("a <> z")
+        large = scratch.save(open_.join(split.select("bucket", "lead", "many"), "bucket"))
+        if before is not None:
+            scratch.drop(before)
+        before = large
         met = _meet(large.join(known.select("key", *LANE_NAMES), "key"), num, den, width)
-        large = large.drop("lead")
+        large = large.drop("lead", "many")
         if width is None:
             left = _label(_label(short, roots, "x", "lx"), roots, "y", "ly").where("lx <> ly").select("x", "y", "need", "c")
             met = met.union(left).groupBy("x", "y").agg(F.sum("c").alias("c"), F.min("need").alias("need")).where("c >= need").select("x", "y")
     roots = merge(roots, verifier.links(met))
+    scratch.drop(found, before)
+    return digest, _label(known.select("key"), roots, "key", "root")
+
+
+def similar_groups(
+    docs: DataFrame,
+    shingle: int = 5,
+    threshold: tuple[int, int] = (75, 100),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    hot: int = HOT,
+    key_bits: int = 64,
+) -> DataFrame:
+    """One row per row of `docs`: id, n_shingles, component_id.
 
-    lab = _label(known.select("key", "own"), roots, "key", "root")
-    comp = lab.groupBy("root").agg(F.min("own").alias("component"))
-    named = lab.join(comp, "root").select("key", "component")
+    component_id is the smallest id that can be reached over links (num/den or more of the union shared), the
+    text's own included. A null or blank text has no shingles, links with nothing and keeps its own id. Rows that
+    repeat an id are each returned. A null id stays null unless the text links to one that has an id. Other columns
+    of `docs` are not read. hot: the class of frequency (a power of two) from which tokens are dealt evenly; key_bits:
+    the bits of a class's first name. Neither changes the result.
+    """
+    digest, named = _groups(docs, shingle, threshold, id_col, text_col, hot, key_bits)
     plain = digest.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return digest.where("n > 0").join(named, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).union(plain)
+    per_class = digest.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("own"))
+    lab = named.join(per_class, "key")
+    least = lab.groupBy("root").agg(F.min("own").alias("component_id"))
+    of_class = lab.join(least, "root").select("key", "component_id")
+    return digest.where("n > 0").join(of_class, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(plain)
 
 
 def _label(df: DataFrame, roots: DataFrame, key: str, label: str) -> DataFrame:
@@ -498,28 +579,51 @@ def _meet(large: DataFrame, num: int, den: int, width: int | None) -> DataFrame:
     With a width, each text meets the first members of one bucket only, its largest: members of a group share many
     buckets. Without, every bucket counts (columns need and c too); of each pair one at least lies outside the
     component of the bucket's first member. Where parity bitmaps are there, a pair whose bitmaps differ in more
-    places than a link's sets can have tokens apart is none.
+    places than a link's sets can have tokens apart is none. The larger side of a bucket is dealt over groups of some
+    DEALT rows, and the smaller one is sent to each of them.
     """
-    p = large.select(*(F.col(c).alias("p_" + c) for c in large.columns))
-    on = (F.col("bucket") == F.col("p_bucket")) & (F.col("label") != F.col("p_label")) & F.expr(_may_link_sql("", "p_", num, den))
+    size = F.col("size" if width is not None else "many")
+    groups = F.ceil(size / DEALT).cast("int")
+    dealt = F.pmod(F.xxhash64("key"), groups).cast("int")
+    every = F.explode(F.sequence(F.lit(0), groups - 1))
+    one, other = large, large
+    if width is None:
+        one = one.where("label <> lead").withColumn("s", every)
+        other = other.withColumn("s", dealt)
+    else:
+        own = large.groupBy("key").agg(F.max(F.struct("size", "bucket")).alias("m")).select("key", F.col("m.bucket").alias("bucket"))
+        one = one.join(own, ["key", "bucket"]).withColumn("s", dealt)
+        other = other.where(F.col("rank") < width).withColumn("s", every)
+    p = other.select(*(F.col(c).alias("p_" + c) for c in other.columns))
+    on = (F.col("bucket") == F.col("p_bucket")) & (F.col("s") == F.col("p_s")) & (F.col("label") != F.col("p_label")) & F.expr(_may_link_sql("", "p_", num, den))
     if "s0" in large.columns:
         on = on & F.expr(f"(n + p_n - ({_apart('', 'p_')})) * {num + den} >= {2 * num} * (n + p_n)")
     pair = [F.least("key", "p_key").alias("x"), F.greatest("key", "p_key").alias("y")]
     if width is None:
         on = on & ((F.col("p_label") == F.col("lead")) | (F.col("key") < F.col("p_key")))
-        return large.where("label <> lead").join(p, on).select(*pair, F.least("l", "p_l").alias("need"), F.lit(1).cast("long").alias("c"))
-    own = large.groupBy("key").agg(F.max(F.struct("size", "bucket")).alias("m")).select("key", F.col("m.bucket").alias("bucket"))
-    return large.join(own, ["key", "bucket"]).join(p.where(F.col("p_rank") < width), on).select(*pair).distinct()
+        return one.join(p, on).select(*pair, F.least("l", "p_l").alias("need"), F.lit(1).cast("long").alias("c"))
+    return one.join(p, on).select(*pair).distinct()
 
 
-def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
+def one_of_each_group(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (75, 100), hot: int = HOT, key_bits: int = 64) -> DataFrame:
     """The rows of docs, all columns, of one document of each group: that of the least doc_id, once if its row repeats.
 
-    Rows without a doc_id stay where their text links with nothing, each.
+    Of rows that share the least id the one of least text hash stays. A group without any id keeps one row too. Texts
+    without words are in no group and stay, each.
     """
-    found = similar_groups(docs, **how)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    twice = with_id.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.join(again, "doc_id", "left_anti").unionByName(twice).unionByName(docs.where("doc_id is null"))
+    digest, named = _groups(docs, shingle, threshold, "doc_id", "text", hot, key_bits)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    per_class = digest.where("n > 0").groupBy("key").agg(F.min(first).alias("first"))
+    kept = named.join(per_class, "key").groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select("first.doc_id", "first.h", F.lit(False).alias("each")).union(digest.where("n = 0").select("doc_id", "h", F.lit(True)).distinct())
+    hidden = "_".join(docs.columns) + "_"  # names that docs does not have
+    keys = [hidden + x for x in ("id", "none", "h")]
+
+    def keyed(doc_id, h) -> list:
+        return [F.coalesce(doc_id, F.lit(0)).cast("long").alias(keys[0]), doc_id.isNull().alias(keys[1]), h.alias(keys[2])]
+
+    rows = docs.select("*", *keyed(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))))
+    both = rows.join(kept.select(*keyed(F.col("doc_id"), F.col("h")), F.col("each").alias(hidden + "each")), keys)
+    # rows meet their equals where the join has put them
+    both = both.withColumn(hidden + "n", F.row_number().over(Window.partitionBy(*keys).orderBy(keys[0])))
+    return both.where(F.col(hidden + "each") | (F.col(hidden + "n") == 1)).select(*docs.columns)

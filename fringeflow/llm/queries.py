@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import shared_dir, table
+from ..session import scratch_root, table
 from . import decontaminate, fingerprint, jaccard_join, licenses, main_text, mixing, quality, sql, token_store, toxicity, url_filter
 
 
@@ -23,7 +23,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_root(spark)}/tokens-{uuid.uuid4().hex[:12]}"
     token_store.write_store(table(spark, sf_dir, "documents"), path, token_store.default_tokenizer())
     return token_store.read_digests(spark, path)
 

@@ -1,50 +1,57 @@
 """Vectorised words, hashes and shingles over the raw UTF-8 buffers of Arrow string columns.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D. A-Z are lower-cased; other bytes stay as they are.
-Word hashes are 64-bit polynomial hashes over a random byte table, so a whole batch is hashed by one
-cumulative sum instead of a loop over words.
+A word's 64-bit hash takes its bytes eight at a time, each eight mixed before the next ones enter, so there is no
+algebra between a word and its hash that makes families of words collide; what is left are chance collisions, of odds
+n ** 2 / 2 ** 65 among n different words. Words of up to SHORT bytes are hashed in bulk, longer ones by BLAKE2.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
 CHUNK = 1 << 20  # bytes of text handled at once: keeps the 8-byte work arrays small
+SHORT = 256
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] = FOLD[97:123]
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def _random(n: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 2**64, n, dtype=U) | U(1)
 
 
-def _byte_table(seed: int) -> np.ndarray:
-    t = _random(256, seed)
-    t[65:91] = t[97:123]
-    return t
+COMBINE = _random(64, 77)
+LENGTH, ROUND = _random(2, 20240611)
 
 
-TABLE = _byte_table(20240611)
-BASE = U(0x9E3779B97F4A7C15)
-INVERSE = U(pow(int(BASE), -1, 2**64))
-COMBINE = _random(64, 77)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, U), "down": np.ones(1, U)}
+def tidily(run: Callable) -> Callable:
+    """A map over batches that hands freed memory back to the system when its task ends, as workers live on."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
 
+    return tidy
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        m = max(n, CHUNK * 2)
-        for k, base in (("up", BASE), ("down", INVERSE)):
-            a = np.full(m, base, U)
-            a[0] = U(1)
-            np.multiply.accumulate(a, out=a)
-            _powers[k] = a
-    return _powers["up"], _powers["down"]
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -82,12 +89,12 @@ def pieces(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.n
         lo = hi
 
 
-def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray = TABLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte, end byte of every word, and the number of words of every text."""
+def bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte and end byte of every word, and the number of words of every text."""
     n, texts = len(data), len(offs) - 1
     if n == 0:
         z = np.zeros(0, np.int64)
-        return np.zeros(0, U), z, z, np.zeros(texts, np.int64)
+        return z, z, np.zeros(texts, np.int64)
     blank = SPACE[data]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[1:], after[:-1] = blank[:-1], blank[1:]
@@ -97,14 +104,46 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray = TABLE) -> tupl
     after[offs[1:][filled] - 1] = True
     np.logical_not(blank, out=blank)
     start, last = np.flatnonzero(blank & before), np.flatnonzero(blank & after)
-    up, down = _power(n)
-    v = table[data]
-    v *= up[:n]
-    c = np.cumsum(v)
-    h = c[last] - c[start] + v[start]
-    h *= down[start]
-    counts = np.diff(np.searchsorted(start, offs))
-    return mix(h), start, last + 1, counts
+    return start, last + 1, np.diff(np.searchsorted(start, offs))
+
+
+class Bytes:
+    """Bytes, lower-cased or as they are, of which any eight can be read as one number."""
+
+    def __init__(self, data: np.ndarray, fold: bool = True):
+        self.data = np.zeros(len(data) + 8, np.uint8)
+        self.data[: len(data)] = FOLD[data] if fold else data
+        self.eights = np.ndarray((len(data) + 1,), "<u8", self.data.data, 0, (1,))
+
+    def lane(self, start: np.ndarray, n: np.ndarray, j: int) -> np.ndarray:
+        """The j-th eight bytes of spans of n bytes, zeros beyond their ends."""
+        return self.eights[start + 8 * j] & MASK[np.clip(n - 8 * j, 0, 8)]
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the spans [start, end), none of them empty."""
+        n = end - start
+        h = (n.astype(U) * LENGTH) ^ self.lane(start, n, 0)
+        h *= ROUND
+        h ^= h >> U(32)
+        for j in range(1, SHORT // 8):
+            at = np.flatnonzero(n > 8 * j)
+            if not len(at):
+                break
+            x = h[at] ^ self.lane(start[at], n[at], j)
+            x *= ROUND
+            x ^= x >> U(32)
+            h[at] = x
+        for i in np.flatnonzero(n > SHORT).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+        return mix(h)
+
+
+def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte, end byte of every word, and the number of words of every text."""
+    start, end, counts = bounds(data, offs)
+    if not len(start):
+        return np.zeros(0, U), start, end, counts
+    return Bytes(data).hashes(start, end), start, end, counts
 
 
 def owner(counts: np.ndarray) -> np.ndarray:
@@ -152,11 +191,12 @@ def sets(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return tokens[keep], kept[ends] - kept[ends - counts]
 
 
-def set_key(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each text's set of tokens (0 for an empty set); order does not matter."""
-    out = np.zeros(len(counts), U)
+def set_key(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each text's set of tokens; order does not matter."""
+    key, check = np.zeros(len(counts), U), np.zeros(len(counts), U)
     some = counts > 0
     if some.any():
         starts = (np.cumsum(counts) - counts)[some]
-        out[some] = np.add.reduceat(mix(tokens ^ U(0x5851F42D4C957F2D)), starts)
-    return mix(out + counts.astype(U))
+        key[some] = np.add.reduceat(mix(tokens ^ U(0x5851F42D4C957F2D)), starts)
+        check[some] = np.add.reduceat(tokens, starts)
+    return mix(key + counts.astype(U)), mix(check)

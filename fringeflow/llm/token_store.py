@@ -31,13 +31,14 @@ U = np.uint64
 SHARD = 2_000_000  # tokens after which a shard is closed
 LEAST = 8  # a pair that is rarer is not worth a rule
 TABLE_BITS = 21  # slots of an encoder's table of words
+MOST_HELD = 8_000_000  # ids, and four bytes of words each, after which an encoder forgets its words
 
 
 class Encoder:
     """Encodes texts by their distinct words: each task asks the tokenizer once for a word it has not met.
 
     A text is cut at white space, and a last full stop or comma is cut from a word that ends in a Latin letter or an
-    ASCII digit; the tokenizer's own rules cut there too. Words of plain Latin letters skip its normaliser and patterns,
+    ASCII digit; the tokenizer's own rules cut there too. Words are found by a hash and then compared byte for byte. Words of plain Latin letters skip its normaliser and patterns,
     which do nothing to them once lower-cased. Texts with marks of special tokens go to the tokenizer whole.
     """
 
@@ -59,44 +60,90 @@ class Encoder:
 
     def reset(self) -> None:
         self.keys = np.zeros(1 << TABLE_BITS, U)
-        self.rank = np.zeros(1 << TABLE_BITS, np.int64)
-        self.known = 0
-        self.at = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.rank = np.zeros(1 << TABLE_BITS, np.int32)
+        self.known = 0  # words in the table
+        self.at, self.flat = _Grown(np.int64), _Grown(np.uint32)  # where the ids of each word start, and the ids
+        self.sizes, self.first, self.place, self.pool = _Grown(np.int32), _Grown(U), _Grown(np.int64), _Grown(np.uint8)
+        self.at.add(np.zeros(1, np.int64))
 
     def _find(self, h: np.ndarray) -> np.ndarray:
-        """Rank of each word, or -1."""
+        """Rank of each hash, or -1."""
         mask = (1 << TABLE_BITS) - 1
         slot = (h & U(mask)).astype(np.int64)
-        out = np.full(len(h), -1, np.int64)
-        todo = np.arange(len(h))
+        k = self.keys[slot]
+        out = np.where(k == h, self.rank[slot], -1).astype(np.int64)
+        todo = np.flatnonzero((k != h) & (k != 0))
         while len(todo):
+            slot[todo] = (slot[todo] + 1) & mask
             k = self.keys[slot[todo]]
             hit = k == h[todo]
             out[todo[hit]] = self.rank[slot[todo[hit]]]
             todo = todo[~hit & (k != 0)]
-            slot[todo] = (slot[todo] + 1) & mask
         return out
 
-    def _add(self, h: np.ndarray, strings: list[str]) -> None:
-        flat, sizes = self._encode(strings)
+    def _add(self, h: np.ndarray, first: int) -> None:
+        """Enters words by their hashes, under the ranks from `first` on."""
         mask = (1 << TABLE_BITS) - 1
         slot = (h & U(mask)).astype(np.int64)
-        rank = np.arange(self.known, self.known + len(h))
+        rank = np.arange(first, first + len(h))
         todo = np.arange(len(h))
         while len(todo):
             free = self.keys[slot[todo]] == 0
-            _, first = np.unique(slot[todo], return_index=True)
+            _, at = np.unique(slot[todo], return_index=True)
             one = np.zeros(len(todo), bool)
-            one[first] = True
+            one[at] = True
             put = todo[free & one]
             self.keys[slot[put]] = h[put]
             self.rank[slot[put]] = rank[put]
             todo = todo[~(free & one)]
             slot[todo] = (slot[todo] + 1) & mask
         self.known += len(h)
-        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(sizes)))
-        self.flat = np.concatenate((self.flat, flat))
+
+    def _learn(self, raw: bytes, b: T.Bytes, s: np.ndarray, e: np.ndarray) -> int:
+        """Ranks, from the returned one on, of spans, with their ids and their folded bytes."""
+        first = len(self.sizes.values)
+        flat, sizes = self._encode([raw[x:y].decode("utf-8", "replace") for x, y in zip(s.tolist(), e.tolist())])
+        self.at.add(self.at.values[-1] + np.cumsum(sizes))
+        self.flat.add(flat)
+        n = e - s
+        self.sizes.add(n.astype(np.int32))
+        self.first.add(b.lane(s, n, 0))
+        kept = np.where(n <= T.SHORT, n, 0)
+        start = np.cumsum(kept) - kept
+        self.place.add(len(self.pool.values) + start)
+        self.pool.add(b.data[np.repeat(s - start, kept) + np.arange(int(kept.sum()))])
+        return first
+
+    def _same(self, b: T.Bytes, s: np.ndarray, n: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Whether the spans are, byte for byte, the words of these ranks."""
+        ok = (self.sizes.values[rank] == n) & (self.first.values[rank] == b.lane(s, n, 0))
+        more = np.flatnonzero(ok & (n > 8))
+        if len(more):
+            known = T.Bytes(self.pool.values, fold=False)
+            for j in range(1, T.SHORT // 8):
+                more = more[n[more] > 8 * j]
+                if not len(more):
+                    break
+                same = known.lane(self.place.values[rank[more]], n[more], j) == b.lane(s[more], n[more], j)
+                ok[more[~same]] = False
+                more = more[same]
+        return ok
+
+    def ranks(self, raw: bytes, b: T.Bytes, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Rank of each span. Words that are too long to compare, or share another one's hash, get a rank of their own."""
+        key = b.hashes(s, e) | U(1)
+        short = e - s <= T.SHORT
+        rank = np.where(short, self._find(key), -1)
+        new = np.flatnonzero(short & (rank < 0))
+        if len(new):
+            some, at = np.unique(key[new], return_index=True)
+            self._add(some, self._learn(raw, b, s[new[at]], e[new[at]]))
+            rank[new] = self._find(key[new])
+        known = np.flatnonzero(short)
+        apart = np.concatenate((known[~self._same(b, s[known], (e - s)[known], rank[known])], np.flatnonzero(~short)))
+        if len(apart):
+            rank[apart] = self._learn(raw, b, s[apart], e[apart]) + np.arange(len(apart))
+        return rank
 
     def _encode(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the strings, one after another, and their number."""
@@ -141,42 +188,46 @@ class Encoder:
             found = [e.ids for e in self.full.encode_batch([raw[a:b].decode("utf-8", "replace") for a, b in zip(o, o[1:])], add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter((x for y in found for x in y), np.uint32, int(sizes.sum())), sizes
-        if self.known > 1 << (TABLE_BITS - 1):
+        if self.known > 1 << (TABLE_BITS - 1) or len(self.flat.values) + len(self.pool.values) // 4 > MOST_HELD:
             self.reset()
-        h, start, end, counts = T.words(data, offs)
-        if not len(h):
+        start, end, counts = T.bounds(data, offs)
+        if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(counts), np.int64)
         last = data[end - 1]
         before = data[np.maximum(end - 2, 0)]
         # before the mark an ASCII letter or digit, or a letter of two bytes, the first 0xC3 (0x97 and 0xB7 are signs)
         latin = (end - start > 2) & (data[np.maximum(end - 3, 0)] == 0xC3) & (before != 0x97) & (before != 0xB7)
         cut = (end - start > 1) & ((last == 0x2E) | (last == 0x2C)) & (_ALNUM[before] | latin)
-        # hash of the word without its last byte, by taking that byte's term away
-        units = 1 + cut.astype(np.int64)
-        at = np.cumsum(units) - units
-        n = int(units.sum())
-        s, e = np.empty(n, np.int64), np.empty(n, np.int64)
-        s[at], e[at] = start, end - cut
-        s[at[cut] + 1], e[at[cut] + 1] = end[cut] - 1, end[cut]
-        key = np.empty(n, U)
-        key[at] = h
-        key[at[cut]] = _spans(data, start[cut], end[cut] - 1)
-        key[at[cut] + 1] = _spans(data, end[cut] - 1, end[cut])
-        key |= U(1)
-        found = self._find(key)
-        miss = np.flatnonzero(found < 0)
-        if len(miss):
-            new, first = np.unique(key[miss], return_index=True)
-            where = miss[first]
-            self._add(new, [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[where].tolist(), e[where].tolist())])
-            found[miss] = self._find(key[miss])
-        lens = self.at[found + 1] - self.at[found]
-        total = np.cumsum(lens)
-        ids = self.flat[np.repeat(self.at[found] - (total - lens), lens) + np.arange(int(total[-1]))]
-        of = np.concatenate(([0], np.cumsum(counts)))
-        unit_of = np.concatenate((at, [n]))[of]
-        run = np.concatenate(([0], total))
-        return ids, np.diff(run[unit_of])
+        found = self.ranks(raw, T.Bytes(data), start, end - cut)
+        marks = np.where(cut, np.where(last == 0x2E, self.marks["."], self.marks[","]), 0).astype(np.uint32)
+        at = self.at.values
+        lens = at[found + 1] - at[found]
+        # a place after each word's ids for its mark, where it has one
+        total = np.cumsum(lens + cut)
+        where = np.repeat(at[found] - (total - lens - cut), lens + cut)
+        where += np.arange(len(where))
+        where[total[cut] - 1] = 0
+        ids = self.flat.values[where] if len(self.flat.values) else np.zeros(len(where), np.uint32)
+        ids[total[cut] - 1] = marks[cut]
+        return ids, np.diff(np.concatenate(([0], total))[np.concatenate(([0], np.cumsum(counts)))])
+
+
+class _Grown:
+    """An array that grows in steps, so adding to it does not copy it each time."""
+
+    def __init__(self, kind):
+        self.held, self.n = np.zeros(1 << 10, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.n + len(values)
+        if need > len(self.held):
+            self.held = np.concatenate((self.held, np.zeros(max(need, 3 * len(self.held) // 2) - len(self.held), self.held.dtype)))
+        self.held[self.n : need] = values
+        self.n = need
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.held[: self.n]
 
 
 _ENCODERS: dict[str, Encoder | None] = {}
@@ -184,18 +235,6 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
 
 
-def _spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Word hashes, as T.words gives them, of the spans [start, end)."""
-    if not len(start):
-        return np.zeros(0, U)
-    n = end - start
-    own = np.repeat(np.arange(len(start)), n)
-    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    up, _ = T._power(int(n.max()))
-    v = T.TABLE[data[start[own] + step]] * up[step]
-    return T.mix(np.add.reduceat(v, np.cumsum(n) - n))
-
-
 def repair(seq: np.ndarray, vocabulary: int, stop: int, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """The remaining sequence and the rules (pairs of symbols). `stop` is never part of a pair."""
     seq = seq.astype(np.uint32)
@@ -321,7 +360,7 @@ def _write_run(path: str, end_id: int):
         if held:
             yield close()
 
-    return run
+    return T.tidily(run)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
@@ -391,7 +430,7 @@ def _read_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of the store, from the decoded ids."""
     store = spark.read.parquet(path)
-    rows = store.mapInArrow(_read_run, "part long, shard long, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    rows = store.mapInArrow(T.tidily(_read_run), "part long, shard long, doc_id long, inner long, n_tokens long, ids_crc32 long")
     shards = store.select("part", "shard", F.col("n_tokens").alias("total"))
     # running sums: over the parts, of which there are as many as tasks, and inside each part
     parts = shards.groupBy("part").agg(F.sum("total").alias("total"))
