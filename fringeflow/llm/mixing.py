@@ -19,6 +19,7 @@ from ..session import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLOTS = 65_536
+GROUP = 256  # slots of a group
 BROADCAST = 10_000  # sources up to which their table is broadcast
 
 
@@ -46,9 +47,9 @@ def water_fill(sources: DataFrame, budget: Column, most_epochs: float) -> DataFr
 
 
 def _slot(seed: str) -> Column:
-    """A seeded number of 32 bits of the id, from MD5 so that any engine can repeat it."""
-    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    """A seeded number of 32 bits of the id, from MD5 so that any engine can repeat it. Rows without an id go by their size."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("n"), F.col("size").cast("string")))
+    return F.conv(F.substring(F.md5(F.concat(name, F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def mix(
@@ -62,8 +63,10 @@ def mix(
     """
     r = sized.withColumn("_slot", _slot(seed)).withColumn("_fine", F.col("_slot"))
     r = r.withColumn("_slot", F.expr(f"_slot div {2**32 // SLOTS}"))
-    slots = r.groupBy("source", "_slot").agg(F.sum("size").alias("_size"))
-    sources = slots.groupBy("source").agg(F.sum("_size").alias("source_size"))
+    scratch = Scratch(sized.sparkSession, "mixing")
+    slots = scratch.save(r.groupBy("source", "_slot").agg(F.sum("size").alias("_size")))  # at most SLOTS rows a source
+    groups = slots.groupBy("source", F.expr(f"_slot div {GROUP}").alias("_group")).agg(F.sum("_size").alias("_sum"))
+    sources = groups.groupBy("source").agg(F.sum("_sum").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), ((rank - 1) % len(weights) + 1).cast("int"))
     total = F.sum("source_size").over(Window.partitionBy())
@@ -71,23 +74,33 @@ def mix(
     filled = filled.withColumn("_want", F.floor("target").cast("long"))
     filled = filled.withColumn("_whole", F.when(F.col("source_size") > 0, F.expr("_want div source_size")).otherwise(F.lit(0)).cast("long"))
     filled = filled.withColumn("_rest", F.col("_want") - F.col("_whole") * F.col("source_size")).drop("_want", "weight")
-    # slots are at most SLOTS a source, so this running sum has a bounded group
-    run = Window.partitionBy("source").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.withColumn("_before", F.coalesce(F.sum("_size").over(run), F.lit(0)))
-
-    def by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-        right = right.withColumnRenamed("source", "_source")
-        return left.join(right, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
-
-    plan = by_source(slots, filled)
+    # running sums in two steps, over groups of slots and over the slots of a group: a window's rows are at most
+    # SLOTS / GROUP and GROUP, whatever the source's share of all rows
+    over_groups = Window.partitionBy("source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_group").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("source", "_group", F.coalesce(F.sum("_sum").over(over_groups), F.lit(0)).alias("_start"))
+    slots = slots.withColumn("_group", F.expr(f"_slot div {GROUP}")).withColumn("_inner", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+
+    def by_source(left: DataFrame, right: DataFrame, how: str = "inner", *more: str) -> DataFrame:
+        right = right.withColumnsRenamed({c: "_r" + c for c in ("source", *more)})
+        test = F.col("source").eqNullSafe(F.col("_rsource"))
+        for c in more:
+            test = test & (F.col(c) == F.col("_r" + c))
+        return left.join(right, test, how).drop(*("_r" + c for c in ("source", *more)))
+
+    slots = by_source(slots, groups, "inner", "_group").withColumn("_before", F.col("_start") + F.col("_inner"))
+    filled = scratch.save(filled)
+    few = filled.count() <= BROADCAST
+    plan = by_source(slots, F.broadcast(filled) if few else filled)
     edge = plan.where((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_size") > F.col("_rest")))
-    known = by_source(filled, edge.select("source", F.col("_slot").alias("_edge"), "_before"), "left")
     # without an edge the rest is a whole number of slots
-    last = plan.where(F.col("_before") + F.col("_size") <= F.col("_rest")).groupBy("source").agg(F.max("_slot").alias("_last"))
-    known = Scratch(sized.sparkSession, "mixing").save(by_source(known, last, "left"))
-    if known.count() <= BROADCAST:
-        known = F.broadcast(known)
-    rows = by_source(r, known)
+    last = plan.where(F.col("_before") + F.col("_size") <= F.col("_rest"))
+    ends = edge.select("source", F.col("_slot").alias("_edge"), "_before", F.lit(None).cast("long").alias("_last")).union(
+        last.select("source", F.lit(None).cast("long"), F.lit(None).cast("long"), "_slot")
+    )
+    ends = ends.groupBy("source").agg(F.max("_edge").alias("_edge"), F.max("_before").alias("_before"), F.max("_last").alias("_last"))
+    known = scratch.save(by_source(filled, ends, "left"))
+    rows = by_source(r, F.broadcast(known) if few else known)
     at_edge = F.col("_slot") == F.col("_edge")
     cut = rows.where(F.coalesce(at_edge, F.lit(False)))
     inner = Window.partitionBy("source").orderBy("_fine", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,17 +124,17 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
 def expand(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: each text whole as often as it is taken whole, then its first words where it is taken in part.
 
-    A text of size zero is not taken. Columns are those of docs; n_chars follows the text where it is cut.
+    A text of size zero is not taken. Columns are those of docs, whatever their names; n_chars follows the text where
+    it is cut. An empty table stays empty.
     """
-    columns = docs.columns
-    r = docs.withColumn("size", word_count(F.col("text")))
-    m = mix(r, **how).where("taken > 0")
-    m = m.withColumn("_part", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
-    words = F.col("taken") - (F.col("_part") - 1) * F.col("size")
-    short = words < F.col("size")
-    m = m.withColumn("_n", words)
-    taken = F.when(short, F.expr("array_join(slice(filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x <> ''), 1, cast(_n as int)), ' ')")).otherwise(F.col("text"))
-    m = m.withColumn("text", taken)
-    if "n_chars" in columns:
-        m = m.withColumn("n_chars", F.when(short, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long")))
-    return m.select(*columns)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    m = mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), whole), **how).where("taken > 0")
+    m = m.withColumn("part", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    m = m.withColumn("words", F.col("taken") - (F.col("part") - 1) * F.col("size"))
+    short = F.col("words") < F.col("size")
+    first = F.expr("array_join(slice(filter(split(row.text, '[\\\\x20\\\\x09-\\\\x0D]+'), x -> x <> ''), 1, cast(words as int)), ' ')")
+    out = {"text": F.when(short, first).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out["n_chars"] = F.when(short, F.length(first).cast(kind)).otherwise(F.col("row.n_chars"))
+    return m.select(*(out.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

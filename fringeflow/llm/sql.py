@@ -22,7 +22,7 @@ FROM g LEFT JOIN reach r ON r.a = g.doc_id GROUP BY g.doc_id, len(g.sh)
 MIXING = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 8) AS BIGINT) AS u
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'n' || len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) || ':mix'), 1, 8) AS BIGINT) AS u
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
