@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -231,3 +232,100 @@ def dms(radians: Column) -> Column:
     return F.format_string(
         "%s%02d.%02d.%02d.%01d", F.when(radians < 0, "-").otherwise("+"), (s / 36000).cast("int"), (s % 36000 / 600).cast("int"), (s % 600 / 10).cast("int"), (s % 10).cast("int")
     )
+
+
+# --- more directions, constants, media ----------------------------------------------------------------------------
+# fixed values: constants in SI units
+CONSTANTS = {
+    "c": 299_792_458.0, "h": 6.62607015e-34, "k": 1.380649e-23, "e": 1.602176634e-19, "G": 6.6743e-11, "m_e": 9.1093837015e-31, "m_p": 1.67262192369e-27, "N_A": 6.02214076e23,
+    "sigma": 5.670374419e-8, "au": 149_597_870_700.0, "pc": 3.0856775814913673e16, "ly": 9.4607304725808e15, "M_sun": 1.98847e30, "R_sun": 6.957e8, "L_sun": 3.828e26, "R_earth": 6.3781e6, "jy": 1e-26,
+}
+
+
+def constant(name: str) -> Column:
+    return F.lit(CONSTANTS[name])
+
+
+# fixed values: the matrix from equatorial (J2000) to galactic coordinates
+_GALACTIC = ((-0.0548755604, -0.8734370902, -0.4838350155), (0.4941094279, -0.4448296300, 0.7469822445), (-0.8676661490, -0.1980763734, 0.4559837762))
+_OBLIQUITY = math.radians(23.4392911)
+
+
+def rotated(lon: Column, lat: Column, matrix) -> tuple[Column, Column]:
+    """A direction in another frame, by a matrix of direction cosines."""
+    v = (F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))
+    x, y, z = (sum((a * b for a, b in zip(row, v)), F.lit(0.0)) for row in matrix)
+    return F.pmod(F.atan2(y, x), F.lit(2 * math.pi)), F.asin(F.greatest(F.least(z, F.lit(1.0)), F.lit(-1.0)))
+
+
+def to_frame(lon: Column, lat: Column, source: str, target: str) -> tuple[Column, Column]:
+    """Between J2000, GALACTIC and ECLIPTIC directions, radians."""
+    c, s = math.cos(_OBLIQUITY), math.sin(_OBLIQUITY)
+    known = {"J2000": ((1, 0, 0), (0, 1, 0), (0, 0, 1)), "GALACTIC": _GALACTIC, "ECLIPTIC": ((1, 0, 0), (0, c, s), (0, -s, c))}
+    for name in (source, target):
+        if name not in known:
+            raise ValueError(f"unknown frame {name!r}")
+    back = tuple(zip(*known[source]))
+    return rotated(*rotated(lon, lat, back), known[target])
+
+
+def azimuth(hour_angle: Column, dec: Column, latitude: float) -> Column:
+    """From north through east, radians."""
+    return F.pmod(F.atan2(-F.sin(hour_angle) * F.cos(dec), F.sin(dec) * math.cos(latitude) - F.cos(dec) * F.cos(hour_angle) * math.sin(latitude)), F.lit(2 * math.pi))
+
+
+def project(kind: str, lon: Column, lat: Column, lon0: float, lat0: float) -> tuple[Column, Column]:
+    """Offsets of a direction in a projection about a centre: SIN, TAN, ARC, STG, SFL (sine of latitude) or CAR, radians."""
+    d = lon - lon0
+    x, y = orthographic(lon, lat, lon0, lat0)
+    z = F.sin(lat) * math.sin(lat0) + F.cos(lat) * math.cos(lat0) * F.cos(d)
+    if kind == "SIN":
+        return x, y
+    if kind == "TAN":
+        return x / z, y / z
+    if kind == "STG":
+        return 2 * x / (1 + z), 2 * y / (1 + z)
+    if kind == "ARC":
+        r = F.hypot(x, y)
+        f = F.when(r > 0, F.atan2(r, z) / r).otherwise(1.0)
+        return x * f, y * f
+    if kind == "SFL":
+        return d * F.cos(lat), lat - lat0
+    if kind == "CAR":
+        return d, lat - lat0
+    raise ValueError(f"unknown projection {kind!r}")
+
+
+def multiplet(x: Column, height: float, centre: float, fwhm: float, others: list[tuple[float, float, float]]) -> Column:
+    """Gaussians tied to a first one: (ratio of heights, offset of centres, ratio of widths) each."""
+    out = gaussian1d(x, height, centre, fwhm)
+    for ratio, offset, width in others:
+        out = out + gaussian1d(x, height * ratio, centre + offset, fwhm * width)
+    return out
+
+
+def compiled(expression: str, x: str, parameters: dict[str, float]) -> Column:
+    """A function given as text: an SQL expression of `x`, which stands for a column, and of named parameters."""
+    values = {"x": f"`{x}`"} | {k: f"({float(v)!r}D)" for k, v in parameters.items()}
+    return F.expr(re.sub(r"\b(" + "|".join(map(re.escape, values)) + r")\b(?!\s*\()", lambda m: values[m[1]], expression))
+
+
+def water_vapour_pressure(temperature: Column, humidity: Column) -> Column:
+    """Partial pressure in hPa over water, from kelvin and per cent (Magnus formula)."""
+    t = temperature - 273.15
+    return humidity / 100 * 6.112 * F.exp(17.62 * t / (243.12 + t))
+
+
+def refractivity(pressure: Column, temperature: Column, vapour: Column) -> Column:
+    """N units at radio wavelengths from hPa and kelvin (Smith and Weintraub)."""
+    return 77.6 * (pressure - vapour) / temperature + 64.8 * vapour / temperature + 3.776e5 * vapour / (temperature * temperature)
+
+
+def precipitable_water(vapour: Column, temperature: Column, scale_height: float = 2000.0) -> Column:
+    """Millimetres of water above a place whose vapour falls off over a scale height (m)."""
+    return vapour * 100 / (461.5 * temperature) * scale_height
+
+
+def transmission(opacity: Column, elevation_angle: Column) -> Column:
+    """Share of a signal that passes a flat atmosphere of a zenith opacity."""
+    return F.exp(-opacity / F.sin(elevation_angle))

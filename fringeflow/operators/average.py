@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,10 +11,18 @@ from pyspark.sql.window import Window
 from .stats import window_median
 
 
+def with_groups(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
+    """df with aggregates of each row's group. The groups are aggregated and joined back, null keys too: unlike a window
+    this ships no row to its group's one task, and a short table of groups is broadcast by its measured size."""
+    named = {k: f"_{k}_of" for k in keys}
+    g = df.groupBy(*(F.col(k).alias(n) for k, n in named.items())).agg(*(c.alias(n) for n, c in aggregates.items()))
+    return df.join(g, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()), F.lit(True))).drop(*named.values())
+
+
 def with_time_bin(df: DataFrame, time_col: str, bounds: list[str], width: float, name: str = "bin") -> DataFrame:
     """Bins that start anew at each boundary group's first time."""
-    start = F.min(time_col).over(Window.partitionBy(*bounds))
-    return df.withColumn(name, F.floor((F.col(time_col) - start) / width).cast("long"))
+    d = with_groups(df, bounds, _start=F.min(time_col))
+    return d.withColumn(name, F.floor((F.col(time_col) - F.col("_start")) / width).cast("long")).drop("_start")
 
 
 def time_average(df: DataFrame, time_col: str, bounds: list[str], keys: list[str], width: float, value: str, weight: Column, flag: Column | None = None) -> DataFrame:
@@ -135,3 +145,116 @@ def unwrap(df: DataFrame, keys: list[str], order: str, phase: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(order)
     turns = F.sum(F.coalesce(-F.round((F.col(phase) - F.col("_p")) / (2 * 3.141592653589793)), F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return df.withColumn("_p", F.lag(phase).over(w)).withColumn("unwrapped", F.col(phase) + 2 * 3.141592653589793 * turns).drop("_p")
+
+
+# --- more averages ------------------------------------------------------------------------------------------------
+def polarization_average(df: DataFrame, keys: list[str], value: str, weight: Column | None = None, flag: Column | None = None) -> DataFrame:
+    """Half the sum of the two parallel hands, or the one that is there: the mean over a row's unflagged polarizations."""
+    v = F.when(~flag, F.col(value)) if flag is not None else F.col(value)
+    w = F.when(v.isNotNull(), weight if weight is not None else F.lit(1.0))
+    return df.groupBy(*keys).agg((F.sum(v * w) / F.sum(w)).alias("value"))
+
+
+def relabel_beams(antenna: Column, beams: list[int], on_source: Column) -> Column:
+    """Rows of the chosen beams on the source become rows of the least one of them."""
+    return F.when(antenna.isin(beams) & on_source, F.lit(min(beams))).otherwise(antenna)
+
+
+def beam_average(df: DataFrame, antenna: str, beams: list[int], on_source: Column, keys: list[str], value: str) -> DataFrame:
+    d = df.withColumn("beam", relabel_beams(F.col(antenna), beams, on_source))
+    return d.groupBy("beam", *keys).agg(F.avg(value).alias("value"), F.count("*").alias("n"))
+
+
+def single_dish_average(df: DataFrame, time_col: str, keys: list[str], value: str, weight: Column, bin_width: float | None, scan: str, state: str, span: tuple[str, ...] = ()) -> DataFrame:
+    """Time averages that stay inside a scan and a state unless `span` names these. bin_width None: all of it is one bin,
+    zero: none is averaged, else bins that start anew at each group's first time."""
+    bounds = [c for c, name in ((scan, "scan"), (state, "state")) if name not in span]
+    if bin_width == 0:
+        return df.select(*bounds, *keys, F.col(time_col).alias("time"), F.col(value).alias("value"), weight.alias("weight"), F.lit(1).cast("long").alias("n"))
+    d = df.withColumn("_w", weight)
+    d = with_time_bin(d, time_col, [*bounds, *keys], bin_width, "_bin") if bin_width is not None else d.withColumn("_bin", F.lit(0))
+    return d.groupBy(*bounds, *keys, "_bin").agg(
+        F.avg(time_col).alias("time"), (F.sum(F.col(value) * F.col("_w")) / F.sum("_w")).alias("value"), F.sum("_w").alias("weight"), F.count("*").alias("n")
+    ).drop("_bin")
+
+
+def vector_or_scalar(df: DataFrame, keys: list[str], re: str, im: str, mode: str = "vector") -> DataFrame:
+    """Amplitude and phase of an average: of the complex mean (vector), or the means of the amplitudes and phases (scalar)."""
+    if mode == "vector":
+        a, b = F.avg(re), F.avg(im)
+        return df.groupBy(*keys).agg(F.hypot(a, b).alias("amp"), F.atan2(b, a).alias("phase"), F.count("*").alias("n"))
+    if mode != "scalar":
+        raise ValueError(f"unknown mode {mode!r}")
+    return df.groupBy(*keys).agg(F.avg(F.hypot(re, im)).alias("amp"), F.avg(F.atan2(im, re)).alias("phase"), F.count("*").alias("n"))
+
+
+def channel_rows(df: DataFrame, keys: list[str], spw: str, chan: str, rows: list[tuple[int, int, int, int]], value: str) -> DataFrame:
+    """Channels chosen and averaged by rows (spw, start, end, step), ends included: `range` numbers the row, `bin` the mean
+    of `step` channels inside it (the last one may have fewer), `name` says what it is made of."""
+    found = []
+    for i, (s, start, end, step) in enumerate(rows):
+        if step < 1 or end < start:
+            raise ValueError(f"no channel row: {rows[i]}")
+        d = df.where((F.col(spw) == s) & F.col(chan).between(start, end))
+        b = F.floor((F.col(chan) - start) / step).cast("int")
+        found.append(d.select(*keys, F.lit(i).alias("range"), b.alias("bin"), F.lit(start).alias("_s"), F.lit(step).alias("_k"), F.lit(end).alias("_e"), F.lit(s).alias("_spw"), F.col(value).alias("_v")))
+    u = reduce(lambda a, b: a.unionAll(b), found)
+    lo = F.col("_s") + F.col("bin") * F.col("_k")
+    hi = F.least(lo + F.col("_k") - 1, F.col("_e"))
+    name = F.concat(F.col("_spw").cast("string"), F.lit(":"), lo.cast("string"), F.lit("~"), hi.cast("string"))
+    return u.groupBy(*keys, "range", "bin", name.alias("name")).agg(F.avg("_v").alias("value"), F.count("*").alias("n"))
+
+
+def accumulate(df: DataFrame, keys: list[str], value: str, weight: Column) -> DataFrame:
+    """Sums that can be merged: of weights, weighted values and rows."""
+    return df.groupBy(*keys).agg(F.sum(weight).alias("w"), F.sum(F.col(value) * weight).alias("wx"), F.count("*").alias("n"))
+
+
+def merge_accumulated(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The average of what several accumulators hold."""
+    u = reduce(lambda a, b: a.unionByName(b), parts)
+    g = u.groupBy(*keys).agg(F.sum("w").alias("weight"), F.sum("wx").alias("_wx"), F.sum("n").alias("n"))
+    return g.select(*keys, (F.col("_wx") / F.col("weight")).alias("value"), "weight", "n")
+
+
+def flags_and_weights(df: DataFrame, keys: list[str], flag: Column, weight: Column) -> DataFrame:
+    """How flags and weights average: flagged if all are, weight the sum of the unflagged ones' (of all where all are flagged)."""
+    some = F.max(~flag)
+    return df.groupBy(*keys).agg((~some).alias("flag"), F.when(some, F.sum(F.when(~flag, weight))).otherwise(F.sum(weight)).alias("weight"))
+
+
+# --- more weights -------------------------------------------------------------------------------------------------
+COLUMNS = ("DATA", "CORRECTED", "RESIDUAL", "RESIDUAL_DATA")
+
+
+def weighted_column(which: str, data: Column, corrected: Column, model: Column) -> Column:
+    """What the scatter is taken of: the data, the corrected data, or one of them less the model."""
+    known = {"DATA": data, "CORRECTED": corrected, "RESIDUAL": corrected - model, "RESIDUAL_DATA": data - model}
+    if which.upper() not in known:
+        raise ValueError(f"{which!r} is none of {', '.join(COLUMNS)}")
+    return known[which.upper()]
+
+
+def weigh_by_rms(df: DataFrame, keys: list[str], value: str, flag: Column, about_zero: bool = False, least: int = 2) -> DataFrame:
+    """The older setter: one over the variance of each group's unflagged values, about their mean or about zero; groups of
+    fewer than `least` weigh 0 and are flagged."""
+    v = F.when(~flag, F.col(value))
+    var = F.avg(v * v) if about_zero else F.var_pop(v)
+    d = with_groups(df, keys, npts=F.count(v), _var=var)
+    w = F.when((F.col("npts") >= least) & (F.col("_var") > 0), 1 / F.col("_var")).otherwise(0.0)
+    return d.withColumn("weight", w).withColumn("weight_flag", (F.col("weight") == 0) | flag).drop("_var")
+
+
+def initial_weights(df: DataFrame, mode: str, width: Column, exposure: Column, sigma: Column | None = None, tsys: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Weights before any data are looked at. ones; nyq: 2 * bandwidth * time; sigma: one over its square; tsys: nyq over the
+    squared system temperature of the row's keys (null where the table has none)."""
+    if mode == "ones":
+        return df.withColumn("weight", F.lit(1.0))
+    if mode == "nyq":
+        return df.withColumn("weight", nominal_weight(width, exposure))
+    if mode == "sigma":
+        return df.withColumn("weight", F.when(sigma > 0, 1 / (sigma * sigma)).otherwise(0.0))
+    if mode == "tsys":
+        d = df.join(tsys.select(*keys, F.col("tsys").alias("_t")), keys, "left")
+        return d.withColumn("weight", nominal_weight(width, exposure) / (F.col("_t") * F.col("_t"))).drop("_t")
+    raise ValueError(f"unknown mode {mode!r}")

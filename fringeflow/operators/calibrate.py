@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,22 +12,52 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import Complex
 
+MOST_COMPONENTS = 1000
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], time_col: str, values: list[str], how: str = "linear") -> DataFrame:
+
+def _carried(u: DataFrame, keys: list[str], width: float | None) -> tuple[DataFrame, Column, Column]:
+    """Of rows (keys, _t, _s, _side) with samples on side 0 (_s) and rows on side 1: the latest sample at or before each
+    row and the earliest one at or after it.
+
+    With a width the rows of a key are dealt by blocks of time, so one hot key is many tasks; each block gets the last
+    sample before it and the first one after it from a table of one row a key and block.
+    """
+    part = [*keys]
+    if width is not None:
+        u = u.withColumn("_block", F.floor(F.col("_t") / width))
+        part.append("_block")
+    before = Window.partitionBy(*part).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(*part).orderBy(F.col("_t").asc(), F.col("_side").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    a, b = F.last("_s", ignorenulls=True).over(before), F.first("_s", ignorenulls=True).over(after)
+    if width is None:
+        return u, a, b
+    sample = F.when(F.col("_side") == 0, F.struct("_t", "_s"))
+    edges = u.groupBy(*part).agg(F.max_by("_s", F.when(F.col("_side") == 0, F.col("_t"))).alias("_last"), F.min(sample.getField("_t")).alias("_n"), F.min_by("_s", F.when(F.col("_side") == 0, F.col("_t"))).alias("_first"))
+    blocks = Window.partitionBy(*keys).orderBy("_block")
+    earlier, later = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(1, Window.unboundedFollowing)
+    has = F.col("_n").isNotNull()
+    edges = edges.select(
+        *part, F.last(F.when(has, F.col("_last")), ignorenulls=True).over(earlier).alias("_before"), F.first(F.when(has, F.col("_first")), ignorenulls=True).over(later).alias("_after")
+    )
+    named = edges.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(part)})
+    u = u.join(named, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(part)))).drop(*(f"_k{i}" for i in range(len(part))))
+    return u, F.coalesce(a, F.col("_before")), F.coalesce(b, F.col("_after"))
+
+
+def asof(left: DataFrame, right: DataFrame, keys: list[str], time_col: str, values: list[str], how: str = "linear", width: float | None = None) -> DataFrame:
     """Values of `right` at the times of `left`: nearest (the earlier of two equally near), previous, next, or linear,
     which holds the first and last value beyond the ends and takes an exact hit as it is.
 
     One shuffle: both sides are sorted together by key and time and the neighbours carried along by window functions,
-    so the work is linear whatever the sizes, and nothing is broadcast.
+    so the work is linear whatever the sizes, and nothing is broadcast. width: deals each key by blocks of time, for
+    keys with more rows than a task should have; the result is the same.
     """
     carried = [f"_{v}" for v in values]
     r = right.select(*keys, F.col(time_col).alias("_t"), F.struct(F.col(time_col).alias("t"), *(F.col(v).alias(c) for v, c in zip(values, carried))).alias("_s"), F.lit(0).alias("_side"))
     cols = [c for c in left.columns if c not in keys]
     lft = left.select(*keys, F.col(time_col).alias("_t"), F.struct(*cols).alias("_row"), F.lit(1).alias("_side"))
-    u = r.unionByName(lft, allowMissingColumns=True)
-    before = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(*keys).orderBy(F.col("_t").asc(), F.col("_side").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    u = u.withColumn("_a", F.last("_s", ignorenulls=True).over(before)).withColumn("_b", F.first("_s", ignorenulls=True).over(after)).where("_side = 1")
+    u, a, b = _carried(r.unionByName(lft, allowMissingColumns=True), keys, width)
+    u = u.withColumn("_a", a).withColumn("_b", b).where("_side = 1")
     out = []
     for v, c in zip(values, carried):
         a, b = F.col(f"_a.{c}"), F.col(f"_b.{c}")
@@ -38,15 +70,15 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], time_col: str, valu
     return u.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in cols), *out)
 
 
-def assign_interval(points: DataFrame, spans: DataFrame, time_col: str, pad: float = 1e-5) -> DataFrame:
+def assign_interval(points: DataFrame, spans: DataFrame, time_col: str, pad: float = 1e-5, width: float = 3600.0) -> DataFrame:
     """Each point gets the span (span, lo, hi) whose padded bounds hold it; before the first it is the first, in gaps and
-    after the last the latest begun. Spans do not overlap; there is one row each, sorted with the points."""
-    s = spans.select(F.lit(1).alias("_k"), (F.col("lo") - pad).alias("_t"), F.struct("span").alias("_s"), F.lit(0).alias("_side"))
-    p = points.select(F.lit(1).alias("_k"), F.col(time_col).alias("_t"), F.struct(*points.columns).alias("_row"), F.lit(1).alias("_side"))
+    after the last the latest begun. Spans do not overlap; there is one row each, sorted with the points inside blocks of
+    `width` of time, to which the latest earlier span is carried."""
+    s = spans.select((F.col("lo") - pad).alias("_t"), F.struct("span").alias("_s"), F.lit(0).alias("_side"))
+    p = points.select(F.col(time_col).alias("_t"), F.struct(*points.columns).alias("_row"), F.lit(1).alias("_side"))
     first = spans.agg(F.min_by("span", "lo").alias("_first"))  # one row
-    # blocks of time keep the running value from being one task's work: each block starts with the latest span before it
-    w = Window.partitionBy("_k").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    u = s.unionByName(p, allowMissingColumns=True).withColumn("_a", F.last("_s", ignorenulls=True).over(w)).where("_side = 1")
+    u, a, _ = _carried(s.unionByName(p, allowMissingColumns=True), [], width)
+    u = u.withColumn("_a", a).where("_side = 1")
     return u.crossJoin(F.broadcast(first)).select("_row.*", F.coalesce(F.col("_a.span"), F.col("_first")).alias("span"))
 
 
@@ -174,3 +206,237 @@ def parse_library(text: str) -> list[dict]:
             raise ValueError(f"not a line of a calibration library: {line!r}")
         out.append(row)
     return out
+
+
+# --- models -------------------------------------------------------------------------------------------------------
+def with_model(vis: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
+    """A virtual model column: the visibility of each row's point model (keys, flux, l, m) by its u and v in wavelengths;
+    1 where there is none."""
+    m = models.select(*keys, F.col("flux").alias("_f"), F.col("l").alias("_l"), F.col("m").alias("_m"))
+    j = vis.join(m, keys, "left")
+    v = Complex.polar(F.col("_f"), -2 * math.pi * (F.col("u") * F.col("_l") + F.col("v") * F.col("_m")))
+    return j.withColumn("model_re", F.when(F.col("_f").isNull(), 1.0).otherwise(v.re)).withColumn("model_im", F.when(F.col("_f").isNull(), 0.0).otherwise(v.im)).drop("_f", "_l", "_m")
+
+
+def predict(vis: DataFrame, components: DataFrame, keys: list[str], incremental: bool = False) -> DataFrame:
+    """Model visibilities as the sum over components (flux, l, m), of which there are few: they are held in each row's
+    expression, up to MOST_COMPONENTS of them."""
+    rows = components.select("flux", "l", "m").orderBy("l", "m", "flux").limit(MOST_COMPONENTS + 1).collect()
+    if len(rows) > MOST_COMPONENTS:
+        raise ValueError(f"more than {MOST_COMPONENTS} components")
+    table = F.array(*(F.struct(F.lit(float(r["flux"])).alias("f"), F.lit(float(r["l"])).alias("l"), F.lit(float(r["m"])).alias("m")) for r in rows))
+    phase = lambda c: -2 * math.pi * (F.col("u") * c["l"] + F.col("v") * c["m"])
+    total = lambda f: F.aggregate(table, F.lit(0.0), f) if rows else F.lit(0.0)
+    re, im = total(lambda a, c: a + c["f"] * F.cos(phase(c))), total(lambda a, c: a + c["f"] * F.sin(phase(c)))
+    if incremental:
+        re, im = re + F.col("model_re"), im + F.col("model_im")
+    return vis.withColumn("_re", re).withColumn("_im", im).drop("model_re", "model_im").withColumnsRenamed({"_re": "model_re", "_im": "model_im"})
+
+
+def delete_model(vis: DataFrame) -> DataFrame:
+    return vis.drop("model_re", "model_im")
+
+
+def clear(vis: DataFrame, add_model: bool = False) -> DataFrame:
+    """Corrected data are the data again, the model a point of 1 (made if asked for)."""
+    out = vis.withColumn("c_re", F.col("re")).withColumn("c_im", F.col("im"))
+    if add_model or "model_re" in vis.columns:
+        out = out.withColumn("model_re", F.lit(1.0)).withColumn("model_im", F.lit(0.0))
+    return out
+
+
+def subtract_model(vis: DataFrame, reverse: bool = False) -> DataFrame:
+    """Corrected less model, or plus it."""
+    c, m = Complex(F.col("c_re"), F.col("c_im")), Complex(F.col("model_re"), F.col("model_im"))
+    r = c + m if reverse else c - m
+    return vis.withColumn("c_re", r.re).withColumn("c_im", r.im)
+
+
+def conjugate(vis: DataFrame, selected: Column, columns: list[str]) -> DataFrame:
+    """The imaginary parts of selected rows change sign."""
+    return vis.withColumns({c: F.when(selected, -F.col(c)).otherwise(F.col(c)) for c in columns})
+
+
+# --- calibration tables -------------------------------------------------------------------------------------------
+def generated(spark, kind: str, antennas: list[int], spws: list[int], parameter: list[float]) -> DataFrame:
+    """Solutions from given parameters, one for all or one an antenna: amp, ph (degrees) or sbd (delay in ns, phase at the
+    spectral window's number in GHz)."""
+    if len(parameter) not in (1, len(antennas)):
+        raise ValueError("one parameter, or one for each antenna")
+    rows = []
+    for i, a in enumerate(antennas):
+        p = float(parameter[i if len(parameter) > 1 else 0])
+        for s in spws:
+            angle = {"amp": 0.0, "ph": math.radians(p), "sbd": 2 * math.pi * p * s}[kind]
+            size = p if kind == "amp" else 1.0
+            rows.append((s, a, size * math.cos(angle), size * math.sin(angle), False))
+    return spark.createDataFrame(rows, "spw long, ant long, g_re double, g_im double, g_flag boolean")
+
+
+def matched(vis: DataFrame, cal: DataFrame, keys: list[str], a: str, b: str, values: list[str], by: str = "antenna") -> DataFrame:
+    """Rows with the calibration rows that match them exactly: by antenna the two antennas' (suffix 1 and 2), by baseline one."""
+    if by == "baseline":
+        return vis.join(cal.select(*keys, F.col("ant1").alias(a), F.col("ant2").alias(b), *values), [*keys, a, b], "left")
+    if by != "antenna":
+        raise ValueError("by antenna or baseline")
+    one = [cal.select(*keys, F.col("ant").alias(c), *(F.col(v).alias(f"{v}{i}") for v in values)) for i, c in ((1, a), (2, b))]
+    return vis.join(one[0], [*keys, a], "left").join(one[1], [*keys, b], "left")
+
+
+def apply_tables(vis: DataFrame, tables: list[dict], a: str, b: str, time_col: str = "time", mode: str = "calflag", calwt: bool = False) -> DataFrame:
+    """Several calibration tables after one another. Each is {table, keys, interp, spwmap, calwt}: interp none for constant
+    solutions, else nearest or linear in time, per antenna and key; spwmap as in map_spw().
+
+    Modes: calflag calibrates and flags what has no solution; calflagstrict also flags what a table does not know; calonly
+    leaves flags alone; flagonly leaves data alone; trial changes nothing. Adds c_re, c_im, c_flag, and scales weight.
+    """
+    if mode not in ("calflag", "calflagstrict", "calonly", "flagonly", "trial"):
+        raise ValueError(f"unknown mode {mode!r}")
+    out = vis.withColumn("c_re", F.col("re")).withColumn("c_im", F.col("im")).withColumn("c_flag", F.coalesce(F.col("flag"), F.lit(False)) if "flag" in vis.columns else F.lit(False))
+    for t in tables:
+        cal, keys = t["table"], t["keys"]
+        out = out.withColumn("_spw", F.col("spw"))
+        if t.get("spwmap"):
+            out = map_spw(out, "_spw", t["spwmap"])
+        on = ["_spw" if k == "spw" else k for k in keys]
+        cal = cal.withColumnRenamed("spw", "_spw") if "spw" in keys else cal
+        for i, c in ((1, a), (2, b)):
+            names = {"g_re": f"_r{i}", "g_im": f"_i{i}"}
+            if t.get("interp"):
+                good = cal.where(~F.col("g_flag")).select(*on, F.col("ant").alias(c), F.col(time_col), *(F.col(k).alias(n) for k, n in names.items()))
+                out = asof(out, good, [*on, c], time_col, list(names.values()), t["interp"])
+            else:
+                s = cal.where(~F.col("g_flag")).select(*on, F.col("ant").alias(c), *(F.col(k).alias(n) for k, n in names.items()))
+                out = out.join(s, [*on, c], "left")
+        g = Complex(F.col("_r1"), F.col("_i1")) * Complex(F.col("_r2"), F.col("_i2")).conj()
+        known = g.re.isNotNull()
+        v = Complex(F.col("c_re"), F.col("c_im")) / g
+        if mode in ("calflag", "calflagstrict", "calonly"):
+            out = out.withColumn("_a", F.when(known, v.re).otherwise(F.col("c_re"))).withColumn("_b", F.when(known, v.im).otherwise(F.col("c_im")))
+            out = out.drop("c_re", "c_im").withColumnsRenamed({"_a": "c_re", "_b": "c_im"})
+            if (calwt or t.get("calwt")) and "weight" in vis.columns:
+                out = out.withColumn("weight", F.when(known, F.col("weight") * (g.re * g.re + g.im * g.im)).otherwise(F.col("weight")))
+        if mode != "calonly" and mode != "trial":
+            out = out.withColumn("c_flag", F.col("c_flag") | ~known)
+        out = out.drop("_spw", "_r1", "_i1", "_r2", "_i2")
+    return out.select(*vis.columns, "c_re", "c_im", "c_flag") if mode != "trial" else vis
+
+
+def gain_field(cal: DataFrame, fields: list[int]) -> DataFrame:
+    """Only the solutions of some fields."""
+    return cal.where(F.col("field").isin(fields)) if fields else cal
+
+
+def pointing(vis: DataFrame, directions: DataFrame, antenna: str, time_col: str, columns: list[str]) -> DataFrame:
+    """Where an antenna points at a row's time: linear between the pointing table's rows of that antenna."""
+    return asof(vis, directions.withColumnRenamed("antenna", antenna), [antenna], time_col, columns, "linear")
+
+
+# --- solvers ------------------------------------------------------------------------------------------------------
+def solve_bandpass(vis: DataFrame, keys: list[str], chan: str, a: str, b: str, refant: int = 0, order: int | None = None, **how) -> DataFrame:
+    """Antenna gains of each channel (B), normalised to a mean amplitude of 1 over the channels of an antenna; with an order
+    a polynomial in channel through their real and imaginary parts (BPOLY)."""
+    import numpy as np
+    import pandas as pd
+
+    gains = solve_gains(vis, [*keys, chan], a, b, refant, **how)
+    mean = gains.where(~F.col("g_flag")).groupBy(*keys, "ant").agg(F.avg(F.hypot("g_re", "g_im")).alias("_m"))
+    out = gains.join(mean, [*keys, "ant"], "left").withColumn("g_re", F.col("g_re") / F.col("_m")).withColumn("g_im", F.col("g_im") / F.col("_m")).drop("_m")
+    if order is None:
+        return out
+    kinds = dict(out.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in out.columns)
+
+    def smooth(p: pd.DataFrame) -> pd.DataFrame:
+        good = ~p["g_flag"].to_numpy()
+        if good.sum() > order:
+            x = p[chan].to_numpy(float)
+            for c in ("g_re", "g_im"):
+                y = p[c].to_numpy(float)
+                p[c] = np.polyval(np.polyfit(x[good], y[good], order), x)
+        return p
+
+    return out.groupBy(*keys, "ant").applyInPandas(smooth, schema)
+
+
+def solve_delays(vis: DataFrame, keys: list[str], freq: str, a: str, b: str, refant: int = 0, pad: int = 8) -> DataFrame:
+    """Antenna delays against the reference antenna (fringe fit over frequency): the peak of each baseline's padded Fourier
+    transform to that antenna, refined by a line through the phases it leaves. Rows (keys, ant, delay, snr).
+
+    Visibilities are averaged per baseline and channel before the shuffle.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kinds = dict(vis.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", ant long, delay double, snr double"
+    sign = F.when(F.col(a) == refant, -1.0).otherwise(1.0)
+    d = vis.where((F.col(a) != F.col(b)) & ((F.col(a) == refant) | (F.col(b) == refant)))
+    d = d.withColumn("_ant", F.when(F.col(a) == refant, F.col(b)).otherwise(F.col(a)).cast("long"))
+    d = d.groupBy(*keys, "_ant", freq).agg(F.avg("re").alias("_re"), F.avg(F.col("im") * sign).alias("_im"))
+
+    def fit(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(freq)
+        f = p[freq].to_numpy(float)
+        v = p["_re"].to_numpy() + 1j * p["_im"].to_numpy()
+        step = float(np.median(np.diff(f))) if len(f) > 1 else 1.0
+        spec = np.fft.fft(v, pad * len(v))
+        lag = np.fft.fftfreq(len(spec), step)[np.argmax(np.abs(spec))]
+        left = v * np.exp(-2j * np.pi * lag * f)
+        left = left * np.exp(-1j * np.angle(left.sum()))
+        w = np.abs(v)
+        c = f - np.average(f, weights=w)
+        slope = (w * c * np.angle(left)).sum() / max((w * c * c).sum(), 1e-300)
+        peak = np.abs((v * np.exp(-2j * np.pi * (lag + slope / (2 * np.pi)) * f)).sum())
+        row = {k: [p[k].iloc[0]] for k in keys}
+        return pd.DataFrame(row | {"ant": [int(p["_ant"].iloc[0])], "delay": [lag + slope / (2 * np.pi)], "snr": [peak / max(np.abs(v).sum(), 1e-300)]})
+
+    return d.groupBy(*keys, "_ant").applyInPandas(fit, schema)
+
+
+def solve_baselines(vis: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """Gains of baselines (M): the weighted mean of data over model, in closed form."""
+    r = Complex(F.col("re"), F.col("im")) * Complex(F.col("model_re"), F.col("model_im")).conj()
+    p = F.sum(F.col("weight") * (F.col("model_re") * F.col("model_re") + F.col("model_im") * F.col("model_im")))
+    return vis.groupBy(*keys, a, b).agg((F.sum(F.col("weight") * r.re) / p).alias("g_re"), (F.sum(F.col("weight") * r.im) / p).alias("g_im"), F.count("*").alias("n"))
+
+
+def solve_leakage(vis: DataFrame, keys: list[str], a: str, b: str, refant: int = 0) -> DataFrame:
+    """Instrumental polarization of an unpolarized source: cross hands over the parallel ones are d_a + conj(e_b), linear in
+    both; one least-squares problem a key, of a row a baseline. The reference antenna's d is zero. Rows (keys, ant, d_re,
+    d_im, e_re, e_im)."""
+    import numpy as np
+    import pandas as pd
+
+    kinds = dict(vis.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", ant long, d_re double, d_im double, e_re double, e_im double"
+    mean = vis.where(F.col(a) != F.col(b)).groupBy(*keys, a, b).agg(*(F.avg(c).alias(c) for c in ("x_re", "x_im", "p_re", "p_im")))
+
+    def solve(p: pd.DataFrame) -> pd.DataFrame:
+        ants = np.unique(p[[a, b]].to_numpy())
+        n = len(ants)
+        x, y = np.searchsorted(ants, p[a]), np.searchsorted(ants, p[b])
+        z = (p["x_re"] + 1j * p["x_im"]).to_numpy() / (p["p_re"] + 1j * p["p_im"]).to_numpy()
+        m = np.zeros((len(p) + 1, 2 * n), complex)
+        m[np.arange(len(p)), x] = 1
+        m[np.arange(len(p)), n + y] = 1
+        ref = int(np.searchsorted(ants, refant)) if refant in ants else 0
+        m[-1, ref] = 1  # the reference antenna has none
+        s = np.linalg.lstsq(m, np.append(z, 0), rcond=None)[0]
+        out = pd.DataFrame({k: [p[k].iloc[0]] * n for k in keys}, index=range(n))
+        return out.assign(ant=ants, d_re=s[:n].real, d_im=s[:n].imag, e_re=s[n:].real, e_im=-s[n:].imag)
+
+    return mean.groupBy(*keys).applyInPandas(solve, schema)
+
+
+def sky_gains(on: DataFrame, keys: list[str], time_col: str, value: str, interval: float) -> DataFrame:
+    """Single-dish gains: each interval's mean over the key's overall mean."""
+    d = on.withColumn("interval", F.floor(F.col(time_col) / interval).cast("long"))
+    each = d.groupBy(*keys, "interval").agg(F.avg(value).alias("_m"), F.count("*").alias("n"))
+    whole = d.groupBy(*keys).agg(F.avg(value).alias("_all"))
+    return each.join(whole, keys).withColumn("gain", F.col("_m") / F.col("_all")).drop("_m", "_all")
+
+
+def noise(vis: DataFrame, sigma: float, seed: int = 1) -> DataFrame:
+    """Simulated thermal noise: independent normal terms on the real and imaginary parts, repeatable for the same partitions."""
+    return vis.withColumn("re", F.col("re") + sigma * F.randn(seed)).withColumn("im", F.col("im") + sigma * F.randn(seed + 1))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import re
 import time
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .average import with_groups
 from .stats import window_median
 
 
@@ -33,12 +37,12 @@ def quack(df: DataFrame, time_col: str, keys: list[str], interval: float = 1.0,
     """
     if interval <= 0:
         raise ValueError("the interval is above zero")
-    w = Window.partitionBy(*keys)
     t = F.col(time_col)
     seen = F.when(~F.col(flag), t) if increment and flag else t
-    start, stop = F.min(seen).over(w), F.max(seen).over(w)
+    df = with_groups(df, keys, _start=F.min(seen), _stop=F.max(seen))
+    start, stop = F.col("_start"), F.col("_stop")
     test = {"beg": t <= start + interval, "endb": t >= stop - interval, "tail": t > start + interval, "end": t < stop - interval}[mode]
-    return df.withColumn("quack", F.coalesce(test, F.lit(False)))
+    return df.withColumn("quack", F.coalesce(test, F.lit(False))).drop("_start", "_stop")
 
 
 def elevation(el1: Column, el2: Column, lower: float = 0.0, upper: float = 90.0) -> Column:
@@ -53,8 +57,8 @@ def extend_time(df: DataFrame, flag: str, keys: list[str], time_col: str, reach:
 
 def grow(df: DataFrame, flag: str, keys: list[str], percent: float) -> DataFrame:
     """Whole groups whose flagged share exceeds a percentage."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn("grown", F.col(flag) | (100 * F.avg(F.col(flag).cast("double")).over(w) > percent))
+    d = with_groups(df, keys, _share=100 * F.avg(F.col(flag).cast("double")))
+    return d.withColumn("grown", F.col(flag) | (F.col("_share") > percent)).drop("_share")
 
 
 def grow_around(df: DataFrame, flag: str, keys: list[str], order: str) -> DataFrame:
@@ -92,8 +96,9 @@ def rflag_thresholds(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys).agg(F.median("threshold").alias("threshold"))
 
 
-def time_freq_crop(df: DataFrame, keys: list[str], time_col: str, chan: str, value: str, cut: float = 4.0, rounds: int = 3) -> DataFrame:
+def time_freq_crop(df: DataFrame, keys: list[str], time_col: str, chan: str, value: str, cut: float = 4.0, rounds: int = 3, pieces: int = 1) -> DataFrame:
     """Per group a robust line through the mean bandpass and through the mean time series; samples beyond cut deviations.
+    pieces: each axis is cut into so many equal runs, a line each.
 
     The fits are iterative, so each group goes to an Arrow function; a group is one baseline's block of time.
     """
@@ -107,11 +112,14 @@ def time_freq_crop(df: DataFrame, keys: list[str], time_col: str, chan: str, val
         bad = np.isnan(v)
         for axis in (chan, time_col):
             x = p[axis].to_numpy(float)
+            part = np.minimum(((x - x.min()) / (np.ptp(x) or 1.0) * pieces).astype(int), pieces - 1)
             for _ in range(rounds):
-                if (~bad).sum() < 3:
-                    break
-                line = np.polyfit(x[~bad], v[~bad], 1 if np.ptp(x[~bad]) > 0 else 0)
-                r = v - np.polyval(line, x)
+                r = np.zeros(len(v))
+                for k in np.unique(part):
+                    own = part == k
+                    good = own & ~bad
+                    if good.sum() >= 3:
+                        r[own] = v[own] - np.polyval(np.polyfit(x[good], v[good], 1 if np.ptp(x[good]) > 0 else 0), x[own])
                 bad |= np.abs(r) > cut * (np.std(r[~bad]) or np.inf)
         return p.assign(cropped=bad)
 
@@ -171,3 +179,78 @@ class Versions:
 
     def delete(self, name: str) -> None:
         self._fs().delete(self._path(name), True)
+
+
+# --- more agents --------------------------------------------------------------------------------------------------
+_CORRELATION = re.compile(r"\s*([+-]?)\s*(?:(ABS|ARG|RE|IM|NORM)\s*\()?\s*([A-Z]{1,2})\s*\)?\s*", re.I)
+
+
+def value_of(expression: str, re_of: str = "re_{}", im_of: str = "im_{}") -> Column:
+    """The value that an agent looks at: `ABS XX`-like terms ABS, ARG, RE, IM or NORM of correlations, added and taken
+    away: `ABS(XX)`, `ABS(XX)-ABS(YY)`, `RE(XX)+RE(YY)`. A bare correlation is its amplitude."""
+    at, out = 0, None
+    while at < len(expression):
+        m = _CORRELATION.match(expression, at)
+        if not m or (out is not None and not m[1]):
+            raise ValueError(f"no value: {expression!r}")
+        a, b = F.col(re_of.format(m[3].lower())), F.col(im_of.format(m[3].lower()))
+        term = {"ABS": F.hypot(a, b), "ARG": F.atan2(b, a), "RE": a, "IM": b, "NORM": a * a + b * b}[(m[2] or "ABS").upper()]
+        term = -term if m[1] == "-" else term
+        out, at = term if out is None else out + term, m.end()
+    if out is None:
+        raise ValueError("an empty value")
+    return out
+
+
+def angle_apart(a: Column, b: Column) -> Column:
+    """The distance of two cyclic angles, at most half a turn."""
+    d = F.pmod(a - b, F.lit(2 * math.pi))
+    return F.least(d, 2 * math.pi - d)
+
+
+def spectral_median_clip(df: DataFrame, value: str, keys: list[str], chan: str, half: int, cut: float) -> DataFrame:
+    """median_clip() along channels: a spectrum's values against their sliding median."""
+    return median_clip(df, value, keys, chan, half, cut)
+
+
+def spectral_rejection(df: DataFrame, value: str, keys: list[str], chan: str, cut: float) -> DataFrame:
+    """Per row a line through its spectrum, in closed form; channels beyond `cut` deviations of the residuals."""
+    x, y = F.col(chan).cast("double"), F.col(value)
+    fit = df.groupBy(*keys).agg(F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"))
+    d = df.join(fit, keys).withColumn("_r", y - F.col("_a") - F.col("_b") * x)
+    s = d.groupBy(*keys).agg(F.sqrt(F.avg(F.col("_r") * F.col("_r"))).alias("_s"))
+    return d.join(s, keys).withColumn("rejected", F.abs("_r") > cut * F.col("_s")).drop("_a", "_b", "_r", "_s")
+
+
+def row_clip(df: DataFrame, value: str, row_keys: list[str], group: list[str], cut: float) -> DataFrame:
+    """Rows whose mean value is further than `cut` median deviations from the median of their group's rows."""
+    rows = df.groupBy(*row_keys, *[g for g in group if g not in row_keys]).agg(F.avg(value).alias("_mean"))
+    m = rows.groupBy(*group).agg(F.median("_mean").alias("_med"))
+    r = rows.join(m, group).withColumn("_dev", F.abs(F.col("_mean") - F.col("_med")))
+    s = r.groupBy(*group).agg(F.median("_dev").alias("_mad"))
+    return r.join(s, group).select(*row_keys, *[g for g in group if g not in row_keys], (F.col("_dev") > cut * F.col("_mad")).alias("clipped"))
+
+
+def rflag_spectral(df: DataFrame, value: str, keys: list[str], group: list[str], chan: str, half: int = 1, scale: float = 5.0) -> DataFrame:
+    """The spectral part: a channel's distance from the mean of its neighbours, against scale times the group's median of it."""
+    w = Window.partitionBy(*keys).orderBy(chan).rowsBetween(-half, half)
+    d = df.withColumn("deviation", F.abs(F.col(value) - F.avg(value).over(w)))
+    t = d.groupBy(*group).agg((scale * F.median("deviation")).alias("threshold"))
+    return d.join(t, group).withColumn("rflag", F.col("deviation") > F.col("threshold"))
+
+
+def rflag_passes(df: DataFrame, value: str, keys: list[str], group: list[str], order: str, half: int = 1, scale: float = 5.0, passes: int = 2) -> DataFrame:
+    """Several passes: what a pass flags does not enter the next one's thresholds. Adds `rflag`."""
+    d = df.withColumn("rflag", F.lit(False))
+    for _ in range(passes):
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-half, half)
+        d = d.withColumn("_rms", F.stddev_pop(F.when(~F.col("rflag"), F.col(value))).over(w))
+        t = d.where(~F.col("rflag")).groupBy(*group).agg((scale * F.median("_rms")).alias("_t"))
+        d = d.join(t, group, "left").withColumn("rflag", F.col("rflag") | F.coalesce(F.col("_rms") > F.col("_t"), F.lit(False))).drop("_rms", "_t")
+    return d
+
+
+def report(flags: dict[str, tuple[DataFrame, str]], keys: list[str]) -> DataFrame:
+    """What several agents flagged: (agent, keys, flagged, total), one row an agent and group."""
+    rows = [df.groupBy(*keys).agg(F.sum(F.col(c).cast("long")).alias("flagged"), F.count("*").alias("total")).withColumn("agent", F.lit(name)) for name, (df, c) in flags.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows)

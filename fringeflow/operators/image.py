@@ -64,23 +64,24 @@ def polyline(x: Column, y: Column, points: list[tuple[float, float]], width: flo
 
 
 def parse_regions(text: str, x: Column, y: Column) -> Column:
-    """Region lines in order: `shape [numbers]`, a leading - takes away; # begins a comment. Pixels; angles in degrees."""
+    """Region lines in order: `shape [numbers]`, a leading - takes away; # begins a comment. Pixels; angles in degrees.
+    Lines may be followed by a width: `line [[0, 0], [9, 9]], linewidth=3`."""
     found = F.lit(False)
     for line in text.splitlines():
         line = line.split("#")[0].strip()
         if not line:
             continue
         sign, line = ("-", line[1:]) if line[0] == "-" else ("+", line.lstrip("+"))
-        m = re.fullmatch(r"\s*(\w+)\s*\[(.*)\]\s*", line)
+        m = re.fullmatch(r"\s*(\w+)\s*\[(.*?)\]\s*(?:,\s*linewidth\s*=\s*([\d.]+))?\s*", line)
         if not m:
             raise ValueError(f"not a region: {line!r}")
         n = [float(v) for v in re.findall(r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?", m[2])]
-        pairs = list(zip(n[::2], n[1::2]))
+        pairs, width = list(zip(n[::2], n[1::2])), float(m[3] or 1)
         shape = m[1].lower()
         test = {
             "box": lambda: box(x, y, *n), "centerbox": lambda: centre_box(x, y, *n), "rotbox": lambda: rotated_box(x, y, *n[:4], math.radians(n[4])), "circle": lambda: circle(x, y, *n),
             "annulus": lambda: annulus(x, y, *n), "ellipse": lambda: ellipse(x, y, *n[:4], math.radians(n[4]) if len(n) > 4 else 0.0), "poly": lambda: polygon(x, y, pairs),
-            "polyline": lambda: polyline(x, y, pairs, 1.0), "line": lambda: polyline(x, y, pairs, 1.0), "vector": lambda: polyline(x, y, pairs, 1.0),
+            "polyline": lambda: polyline(x, y, pairs, width), "line": lambda: polyline(x, y, pairs, width), "vector": lambda: polyline(x, y, pairs, width),
         }
         if shape in ("symbol", "text"):  # annotations select nothing
             continue
@@ -97,12 +98,25 @@ def crop(df: DataFrame, axes: list[str], mask: str) -> DataFrame:
     return j.where(reduce(lambda p, q: p & q, (F.col(a).between(F.col(f"_lo{a}"), F.col(f"_hi{a}")) for a in axes))).select(*df.columns)
 
 
-def subimage(df: DataFrame, axes: list[str], region: Column) -> DataFrame:
-    """Pixels of a region, counted from its lower corner."""
+def subimage(df: DataFrame, axes: list[str], region: Column, mask: DataFrame | None = None, stretch: bool = False, drop_degenerate: bool = False, keep_axes: tuple[str, ...] = ()) -> DataFrame:
+    """Pixels of a region, counted from its lower corner.
+
+    mask: (axes, good) of another image; with stretch it may lack axes, and holds for all their pixels. drop_degenerate:
+    axes of one pixel go, but for keep_axes; a job finds their lengths.
+    """
     d = df.where(region)
+    if mask is not None:
+        on = [a for a in axes if a in mask.columns]
+        if len(on) < len(axes) and not stretch:
+            raise ValueError("the mask lacks axes of the image")
+        d = d.join(mask.where("good").select(*on), on, "left_semi")
     low = d.agg(*(F.min(a).alias(f"_{a}") for a in axes))
     j = d.crossJoin(F.broadcast(low))  # one row
-    return j.select(*((F.col(a) - F.col(f"_{a}")).alias(a) if a in axes else F.col(a) for a in df.columns))
+    out = j.select(*((F.col(a) - F.col(f"_{a}")).alias(a) if a in axes else F.col(a) for a in df.columns))
+    if drop_degenerate:
+        top = d.agg(*((F.max(a) - F.min(a)).alias(a) for a in axes)).first()
+        out = out.drop(*(a for a in axes if top[a] == 0 and a not in keep_axes))
+    return out
 
 
 def transpose(df: DataFrame, axes: list[str], order: str, shape: dict[str, int]) -> DataFrame:
@@ -121,6 +135,8 @@ def rebin(df: DataFrame, factors: dict[str, int], shape: dict[str, int], keys: l
     """Means of good pixels over blocks; with crop_edges incomplete blocks are left out, else kept."""
     if all(f == 1 for f in factors.values()):
         raise ValueError("some factor is above one")
+    if factors.get("stokes", 1) != 1:
+        raise ValueError("polarizations are not binned")
     d = df
     if crop_edges:
         d = d.where(reduce(lambda p, q: p & q, (F.col(a) < shape[a] // f * f for a, f in factors.items())))
@@ -216,3 +232,151 @@ def peak_fit(df: DataFrame, keys: list[str], axis: str, value: str) -> DataFrame
     a, b, c = F.col("p._a"), F.col(f"p.{value}"), F.col("p._c")
     s = F.when(a.isNull() | c.isNull() | (a - 2 * b + c == 0), 0.0).otherwise(0.5 * (a - c) / (a - 2 * b + c))
     return p.select(*keys, (F.col(f"p.{axis}") + s).alias("position"), F.coalesce(b - 0.25 * (a - c) * s, b).alias("peak"))
+
+
+# --- composed regions, expressions, masks -------------------------------------------------------------------------
+def compose(axes: dict[str, int], box_spec: str = "", chans: str = "", stokes_spec: str = "", region: str = "", control: str = "all") -> Column:
+    """One predicate of a box list `x1,y1,x2,y2,...`, channels, polarizations and region lines; what is blank selects all.
+
+    axes: the number of pixels of each axis that the image has (x, y, chan, stokes); with control `first` a blank
+    polarization is the first one.
+    """
+    tests = [F.lit(True)]
+    if box_spec.strip():
+        n = [float(v) for v in re.split(r"[,\s]+", box_spec.strip())]
+        if len(n) % 4:
+            raise ValueError(f"not boxes: {box_spec!r}")
+        tests.append(reduce(lambda a, b: a | b, (box(F.col("x"), F.col("y"), *n[i : i + 4]) for i in range(0, len(n), 4))))
+    if chans.strip():
+        from .select import channels
+
+        tests.append(channels("chan", chans, axes["chan"]))
+    if stokes_spec.strip():
+        from .select import parse_stokes
+
+        tests.append(F.col("stokes").isin(parse_stokes(stokes_spec)))
+    elif control == "first" and "stokes" in axes:
+        tests.append(F.col("stokes") == F.lit("I"))
+    if region.strip():
+        tests.append(parse_regions(region, F.col("x"), F.col("y")))
+    return reduce(lambda a, b: a & b, tests)
+
+
+def calc(images: dict[str, DataFrame], keys: list[str], expression: str, value: str = "value") -> DataFrame:
+    """An expression of images by their names, pixel by pixel; a pixel that one of them lacks is left out."""
+    found = [df.select(*keys, F.col(value).alias(name)) for name, df in images.items()]
+    j = reduce(lambda a, b: a.join(b, keys), found)
+    return j.select(*keys, F.expr(expression).alias(value))
+
+
+def with_mask(df: DataFrame, test: str, name: str = "mask") -> DataFrame:
+    """A mask by an expression of the pixel's columns; pixels for which it is unknown are bad."""
+    return df.withColumn(name, F.coalesce(F.expr(test), F.lit(False)))
+
+
+def mask_image(df: DataFrame, mask: str = "mask") -> DataFrame:
+    """A mask as an image of ones and zeros."""
+    return df.withColumn("value", F.col(mask).cast("double"))
+
+
+# --- geometry -----------------------------------------------------------------------------------------------------
+def _bilinear(df: DataFrame, keys: list[str], x: Column, y: Column, value: str) -> DataFrame:
+    """Values at fractional places (x, y) of pixels of integer grids gx, gy: each place asks four pixels by an equi-join."""
+    corners = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))
+    d = df.withColumn("_x", x).withColumn("_y", y)
+    e = d.withColumn("_fx", F.floor("_x").cast("int")).withColumn("_fy", F.floor("_y").cast("int")).withColumn("_c", F.explode(corners))
+    wx = F.when(F.col("_c.i") == 1, F.col("_x") - F.col("_fx")).otherwise(1 - (F.col("_x") - F.col("_fx")))
+    wy = F.when(F.col("_c.j") == 1, F.col("_y") - F.col("_fy")).otherwise(1 - (F.col("_y") - F.col("_fy")))
+    return e.select(*keys, "x", "y", (F.col("_fx") + F.col("_c.i")).alias("sx"), (F.col("_fy") + F.col("_c.j")).alias("sy"), (wx * wy).alias("w"))
+
+
+def resample(df: DataFrame, keys: list[str], targets: DataFrame, x: Column, y: Column, value: str = "value") -> DataFrame:
+    """Bilinear values of an image at the places (x, y) that a new image's pixels (keys, x, y) have in it. Pixels that need
+    one that is not there are left out."""
+    asked = _bilinear(targets, keys, x, y, value).where("w > 0")
+    src = df.select(*keys, F.col("x").alias("sx"), F.col("y").alias("sy"), F.col(value).alias("_v"))
+    got = asked.join(src, [*keys, "sx", "sy"]).groupBy(*keys, "x", "y").agg(F.sum(F.col("w") * F.col("_v")).alias(value), F.sum("w").alias("_w"))
+    return got.where("_w > 0.999999").drop("_w")
+
+
+def rotate(df: DataFrame, keys: list[str], angle: float, cx: float, cy: float, value: str = "value") -> DataFrame:
+    """Turned about a centre by an angle (radians, x towards y), on the same pixels."""
+    c, s = math.cos(angle), math.sin(angle)
+    dx, dy = F.col("x") - cx, F.col("y") - cy
+    return resample(df, keys, df.select(*keys, "x", "y"), cx + dx * c + dy * s, cy + dy * c - dx * s, value)
+
+
+def regrid(df: DataFrame, keys: list[str], nx: int, ny: int, x0: float, y0: float, step_x: float, step_y: float, value: str = "value") -> DataFrame:
+    """Onto nx by ny pixels whose pixel (i, j) lies at (x0 + i step_x, y0 + j step_y) of the image."""
+    spark = df.sparkSession
+    grid = spark.range(nx * ny).select((F.col("id") % nx).cast("int").alias("x"), F.floor(F.col("id") / nx).cast("int").alias("y"))
+    planes = df.select(*keys).distinct()
+    targets = planes.crossJoin(F.broadcast(grid)) if keys else grid  # the new image's pixels of every plane
+    return resample(df, keys, targets, x0 + F.col("x") * step_x, y0 + F.col("y") * step_y, value)
+
+
+def interpolated_statistic(stat: DataFrame, keys: list[str], step: int, nx: int, ny: int) -> DataFrame:
+    """A statistic image of grid points (x, y multiples of the step) on all pixels between them, bilinear."""
+    coarse = stat.select(*keys, (F.col("x") / step).cast("int").alias("x"), (F.col("y") / step).cast("int").alias("y"), F.col("statistic").alias("value"))
+    return regrid(coarse, keys, nx, ny, 0.0, 0.0, 1 / step, 1 / step)
+
+
+def embed(df: DataFrame, keys: list[str], width: int, nx: int, ny: int, by: float = 0.0, value: str = "value") -> DataFrame:
+    """An image of nx by ny pixels with a margin of a value round it."""
+    spark = df.sparkSession
+    wide, high = nx + 2 * width, ny + 2 * width
+    grid = spark.range(wide * high).select((F.col("id") % wide).cast("int").alias("x"), F.floor(F.col("id") / wide).cast("int").alias("y"))
+    edge = grid.where(~(F.col("x").between(width, nx + width - 1) & F.col("y").between(width, ny + width - 1)))
+    planes = df.select(*keys).distinct()
+    edge = (planes.crossJoin(F.broadcast(edge)) if keys else edge).withColumn(value, F.lit(by))
+    return pad(df.select(*keys, "x", "y", value), width).unionByName(edge)
+
+
+def transform_planes(df: DataFrame, keys: list[str], nx: int, ny: int, value: str = "value") -> DataFrame:
+    """Fourier transform of each plane, its zero frequency in the middle: (keys, x, y, re, im). A plane goes to one Arrow
+    task; missing pixels count as zero."""
+    import numpy as np
+    import pandas as pd
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + (", " if keys else "") + "x int, y int, re double, im double"
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        g = np.zeros((ny, nx))
+        g[p["y"], p["x"]] = p[value]
+        f = np.fft.fftshift(np.fft.fft2(np.fft.ifftshift(g)))
+        y, x = np.mgrid[:ny, :nx]
+        out = pd.DataFrame({k: [p[k].iloc[0]] * (nx * ny) for k in keys}, index=range(nx * ny))
+        return out.assign(x=x.reshape(-1).astype("int32"), y=y.reshape(-1).astype("int32"), re=f.real.reshape(-1), im=f.imag.reshape(-1))
+
+    d = df.select(*keys, "x", "y", value)
+    return d.groupBy(*keys).applyInPandas(run, schema)
+
+
+def common_beam(beams: list[tuple[float, float, float]]) -> tuple[float, float, float]:
+    """A beam (major, minor, angle) that holds all: the largest one if every other fits into it, else a circle of its major axis."""
+    from .fit import deconvolve_beam
+
+    big = max(beams, key=lambda b: b[0] * b[1])
+    if all(b == big or deconvolve_beam(*big, *b) is not None for b in beams):
+        return big
+    top = max(b[0] for b in beams)
+    return top, top, 0.0
+
+
+def beam_kernel(target: tuple[float, float, float], beam: tuple[float, float, float], reach: int) -> dict[tuple[int, int], float]:
+    """The kernel that makes an image of one beam one of a larger beam; axes in pixels, angles in radians."""
+    from .fit import deconvolve_beam
+
+    got = deconvolve_beam(*target, *beam)
+    if got is None:
+        raise ValueError("the beam does not fit into the target")
+    a, b, t = (max(got[0], 1e-6), max(got[1], 1e-6), got[2])
+    c, s = math.cos(t), math.sin(t)
+    k = {}
+    for i in range(-reach, reach + 1):
+        for j in range(-reach, reach + 1):
+            u, v = (j * c - i * s) / a, (i * c + j * s) / b
+            k[(i, j)] = math.exp(-4 * math.log(2) * (u * u + v * v))
+    total = sum(k.values())
+    return {p: x / total for p, x in k.items()}

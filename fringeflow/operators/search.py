@@ -8,6 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: kinds of objects that a catalogue marks, each a boolean column
+OBJECTS = ("top20", "planetary_atmosphere", "hot_cores", "dark_clouds", "diffuse_clouds", "comets", "agb_ppn_pn", "extragalactic")
+
+
+def astronomical(lines: DataFrame, *kinds: str) -> DataFrame:
+    """Lines seen in any of these kinds of objects."""
+    if unknown := [k for k in kinds if k not in OBJECTS]:
+        raise ValueError(f"unknown kinds {', '.join(unknown)}")
+    return lines.where(reduce(lambda a, b: a | b, (F.col(k) for k in kinds), F.lit(False))) if kinds else lines
+
+
+def with_species(lines: DataFrame, species: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Lines with their species' columns; lines of unknown species stay."""
+    return lines.join(species.select(key, *columns), key, "left")
+
+
+def records(lines: DataFrame, most: int = 10_000) -> list[dict]:
+    """Up to `most` lines as records, in order of frequency: for a listing, not for a table."""
+    return [r.asDict() for r in lines.orderBy("frequency").limit(most).collect()]
+
+
 def search(
     lines: DataFrame, frequency: tuple[float, float] | None = None, species: list[str] | None = None, chemnames: list[str] | None = None, recommended: bool = False,
     qns: list[str] | None = None, ranges: dict[str, tuple[float, float]] | None = None, rrl: str = "include", like: dict[str, str] | None = None,

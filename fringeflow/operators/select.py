@@ -191,3 +191,158 @@ def sorted_rules(df: DataFrame, rules: list[tuple[str, str, object, bool]]) -> D
         test = reduce(lambda a, b: a | b, (ops[op](F.col(c), value) for c in cols))
         df = df.where(~test if negate else test)
     return df
+
+
+# --- rows, keys and groups ----------------------------------------------------------------------------------------
+def row_fields(df: DataFrame, names: list[str], exclude: bool = False) -> DataFrame:
+    """Row objects of some columns, or of all but some, as one struct column `row`."""
+    keep = [c for c in df.columns if (c in names) != exclude]
+    if missing := [c for c in names if c not in df.columns]:
+        raise ValueError(f"no columns {', '.join(missing)}")
+    return df.select(F.struct(*keep).alias("row"))
+
+
+def is_unique(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: whether no two rows agree in these columns. A group of equal keys is counted, none is gathered."""
+    return df.groupBy(*columns).agg(F.count("*").alias("_n")).agg((F.coalesce(F.max("_n"), F.lit(1)) == 1).alias("unique"))
+
+
+def rows_of_key(df: DataFrame, key: dict[str, object]) -> DataFrame:
+    """Rows whose columns have these values; a null value matches null."""
+    return df.where(reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.lit(v)) for c, v in key.items())))
+
+
+def rows_between(df: DataFrame, lower: dict[str, object], upper: dict[str, object], lower_included: bool = True, upper_included: bool = True) -> DataFrame:
+    """Rows whose key lies between two, compared column after column."""
+    key = F.struct(*lower)
+    lo, hi = (F.struct(*(F.lit(v).alias(c) for c, v in b.items())) for b in (lower, upper))
+    return df.where((key >= lo if lower_included else key > lo) & (key <= hi if upper_included else key < hi))
+
+
+def cross_correlations(a: str, b: str) -> Column:
+    return F.col(a) != F.col(b)
+
+
+def auto_correlations(a: str, b: str) -> Column:
+    return F.col(a) == F.col(b)
+
+
+def autocorrelation_status(df: DataFrame, antenna: str, a: str, b: str, flag: Column) -> DataFrame:
+    """Per antenna N: it has no autocorrelations; F: all of them are flagged; R: some can be read."""
+    auto = auto_correlations(a, b)
+    status = F.when(F.max(auto), F.when(F.min(F.when(auto, flag)), "F").otherwise("R")).otherwise("N")
+    return df.groupBy(antenna).agg(status.alias("status"))
+
+
+def observation(df: DataFrame, keys: list[str], time_col: str, flag: Column | None = None) -> DataFrame:
+    """The scan listing: first and last time, rows and unflagged rows of each combination of the keys."""
+    good = (~flag) if flag is not None else F.lit(True)
+    return df.groupBy(*keys).agg(F.min(time_col).alias("start"), F.max(time_col).alias("stop"), F.count("*").alias("rows"), F.sum(good.cast("long")).alias("unflagged"))
+
+
+def having(df: DataFrame, other: DataFrame, on: Column) -> DataFrame:
+    """Rows that have a partner in the other table."""
+    return df.join(other, on, "left_semi")
+
+
+def lacking(df: DataFrame, other: DataFrame, on: Column) -> DataFrame:
+    return df.join(other, on, "left_anti")
+
+
+# --- names and ids ------------------------------------------------------------------------------------------------
+def ids_of(dimension: DataFrame, id_col: str, name_col: str, spec: str) -> list[int]:
+    """Ids of a dimension table's rows by ids, ranges of ids, names, globs or beginnings of names, parted by commas.
+
+    A beginning counts if no whole name matches. The dimension's table is short and is read by the driver.
+    """
+    rows = dimension.select(F.col(id_col).cast("long"), F.col(name_col).cast("string")).collect()
+    found: set[int] = set()
+    for p in filter(None, (x.strip() for x in spec.split(","))):
+        if m := re.fullmatch(r"(\d+)(?:~(\d+))?", p):
+            hit = {i for i, _ in rows if int(m[1]) <= i <= int(m[2] or m[1])}
+        elif "*" in p or "?" in p:
+            pattern = re.compile("".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in p))
+            hit = {i for i, n in rows if n is not None and pattern.fullmatch(n)}
+        else:
+            hit = {i for i, n in rows if n == p} or {i for i, n in rows if n is not None and n.lower().startswith(p.lower())}
+        if not hit:
+            raise ValueError(f"nothing is selected by {p!r}")
+        found |= hit
+    return sorted(found) if spec.strip() else sorted(i for i, _ in rows)
+
+
+def indices(dimensions: dict[str, tuple[DataFrame, str, str]], **spec: str) -> dict[str, list[int]]:
+    """Expressions to lists of ids: axis -> (dimension table, id column, name column), and what is selected of it."""
+    return {axis: ids_of(*dimensions[axis], text) for axis, text in spec.items()}
+
+
+def data_description_ids(descriptions: DataFrame, spws: list[int], id_col: str = "ddid", spw_col: str = "spw") -> DataFrame:
+    """The data descriptions that some spectral windows have, flagged ones left out if they are told."""
+    d = descriptions.where(F.col(spw_col).isin(spws))
+    return (d.where(~F.col("flag_row")) if "flag_row" in descriptions.columns else d).select(id_col)
+
+
+def antenna_names(spec: str, antennas_by_name: dict[str, int]) -> str:
+    """A baseline selection with names, as one with ids. Names are replaced whole, the longest first."""
+    for name in sorted(antennas_by_name, key=len, reverse=True):
+        spec = re.sub(rf"(?<![\w@]){re.escape(name)}(?![\w@])", str(antennas_by_name[name]), spec)
+    return spec
+
+
+def times_in_short(column: str, spec: str, day: str) -> Column:
+    """Time selections whose parts may leave out the day, the hours or the minutes: `09:14:0~09:54:0`, `>10:24`, `10:20`.
+
+    A bound without a day is of the day given, or of the range's first bound; `t+span` reaches from t over a span; a time
+    without seconds stands for its whole minute, one without minutes for its whole hour.
+    """
+
+    def whole(text: str, of: str) -> tuple[str, float]:
+        text = text.strip()
+        if "/" not in text.split(":")[0]:
+            text = f"{of}/{text}"
+        clock = text.split("/")[3] if text.count("/") > 2 else ""
+        return text, {0: 3600.0, 1: 60.0}.get(clock.count(":"), 0.0) if clock else 86400.0
+
+    tests = []
+    for p in filter(None, (x.strip() for x in spec.split(","))):
+        c = F.col(column)
+        if "~" in p:
+            lo, hi = p.split("~")
+            first, _ = whole(lo, day)
+            last, _ = whole(hi, "/".join(first.split("/")[:3]))
+            tests.append(c.between(seconds(first), seconds(last)))
+        elif "+" in p:
+            at, span = p.split("+")
+            h, m, s = ([*map(float, span.split(":")), 0.0, 0.0])[:3]
+            t = seconds(whole(at, day)[0])
+            tests.append(c.between(t, t + 3600 * h + 60 * m + s))
+        elif p[0] in "<>":
+            t = seconds(whole(p[1:], day)[0])
+            tests.append(c < t if p[0] == "<" else c > t)
+        else:
+            text, span = whole(p, day)
+            t = seconds(text)
+            tests.append((c >= t) & (c < t + span) if span else c == t)
+    return reduce(lambda a, b: a | b, tests, F.lit(False)) if tests else F.lit(True)
+
+
+# --- browsing -----------------------------------------------------------------------------------------------------
+def sort_by(df: DataFrame, *keys: tuple[str, bool]) -> DataFrame:
+    """Sorted by (column, ascending) keys, nulls last."""
+    return df.orderBy(*(F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in keys))
+
+
+def locate(df: DataFrame, row_id: str, rules: list[tuple[str, str, object, bool]]) -> DataFrame:
+    """Ids of the rows that pass the browser's rules."""
+    return sorted_rules(df, rules).select(row_id)
+
+
+def listing(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Formatted projection: each column by a format such as `%6.3f` or `%s`, and the line that they make."""
+    cells = [F.format_string(f, F.col(c)) for c, f in columns.items()]
+    return df.select(*(x.alias(c) for x, c in zip(cells, columns)), F.concat_ws(" ", *cells).alias("line"))
+
+
+def validate(df: DataFrame, column: str, kind: str) -> DataFrame:
+    """Values of a text column that are not of a kind; blank ones count as not of it."""
+    return df.where(F.col(column).isNotNull() & F.expr(f"try_cast(`{column}` AS {kind})").isNull()).select(column)

@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import XMADM, min_match
+from ..session import Scratch
 
 
-def statistics(df: DataFrame, value: Column, keys: list[str], flag: Column | None = None, quantiles: bool = True) -> DataFrame:
+def _quantile(v: Column, share: float, accuracy: int | None) -> Column:
+    return F.percentile(v, share) if accuracy is None else F.percentile_approx(v, share, accuracy)
+
+
+def statistics(df: DataFrame, value: Column, keys: list[str], flag: Column | None = None, quantiles: bool = True, accuracy: int | None = None) -> DataFrame:
     """npts, min, max, sum, sumsq, mean, variance (sample), stddev, rms and quartiles of unflagged values per group.
 
-    A group whose values are all flagged keeps its row with npts 0.
+    A group whose values are all flagged keeps its row with npts 0. Exact quartiles hold a group's distinct values in one
+    task; with an accuracy they come from a sketch of that size, off by at most 1 / accuracy in rank.
     """
     v = value.cast("double")
     v = F.when(~flag, v) if flag is not None else v
@@ -24,14 +30,14 @@ def statistics(df: DataFrame, value: Column, keys: list[str], flag: Column | Non
         F.var_samp(v).alias("variance"), F.stddev_samp(v).alias("stddev"), F.sqrt(F.avg(v * v)).alias("rms"),
     ]
     if quantiles:
-        aggs += [F.median(v).alias("median"), F.percentile(v, 0.25).alias("firstquartile"), F.percentile(v, 0.75).alias("thirdquartile")]
+        aggs += [_quantile(v, q, accuracy).alias(n) for n, q in (("median", 0.5), ("firstquartile", 0.25), ("thirdquartile", 0.75))]
     return df.groupBy(*keys).agg(*aggs)
 
 
-def deviation_median(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Median and median absolute deviation from it, per group: two grouped passes and one join on the keys."""
-    med = df.groupBy(*keys).agg(F.median(value).alias("median"))
-    return df.join(med, keys).groupBy(*keys).agg(F.first("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("medabsdevmed"))
+def deviation_median(df: DataFrame, value: str, keys: list[str], accuracy: int | None = None) -> DataFrame:
+    """Median and median absolute deviation from it, per group: two grouped passes and one join on the keys. accuracy: as in statistics()."""
+    med = df.groupBy(*keys).agg(_quantile(F.col(value), 0.5, accuracy).alias("median"))
+    return df.join(med, keys).groupBy(*keys).agg(F.first("median").alias("median"), _quantile(F.abs(F.col(value) - F.col("median")), 0.5, accuracy).alias("medabsdevmed"))
 
 
 def window_median(value: Column, window) -> Column:
@@ -52,15 +58,24 @@ def hinges_fences(df: DataFrame, value: str, keys: list[str], f: float = 1.5) ->
     return df.join(q, keys).where(F.col(value).between(F.col("_q1") - d, F.col("_q3") + d)).drop("_q1", "_q3")
 
 
-def z_score(df: DataFrame, value: str, keys: list[str], z: float | None = None, rounds: int = 1) -> DataFrame:
+def z_score(df: DataFrame, value: str, keys: list[str], z: float | None = None, rounds: int = 1, until_stable: bool = False) -> DataFrame:
     """Rows within z deviations of their group's mean, `rounds` times over; without z Chauvenet's criterion for each group's size.
 
     The criterion z(n) solves n erfc(z / sqrt 2) = 1 / 2; it is evaluated by a column formula good to 0.5 per cent.
+    until_stable: rounds end once no row is left out; the rows are counted after each, and saved to be read once.
     """
+    scratch = Scratch(df.sparkSession, "clipped") if until_stable else None
+    n = df.count() if until_stable else -1
     for _ in range(rounds):
         m = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"), F.count(value).alias("_n"))
         limit = F.lit(z) if z is not None else chauvenet(F.col("_n"))
         df = df.join(m, keys).where(F.abs(F.col(value) - F.col("_m")) <= limit * F.col("_s")).drop("_m", "_s", "_n")
+        if scratch is not None:
+            df = scratch.save(df)
+            left = df.count()
+            if left == n:
+                break
+            n = left
     return df
 
 
@@ -80,13 +95,16 @@ def fit_to_half(df: DataFrame, value: str, keys: list[str], centre: str = "mean"
     return half.groupBy(*keys).agg((2 * F.count("*")).alias("npts"), F.first("_c").alias("mean"), (2 * d2 / (2 * F.count("*") - 1)).alias("variance"))
 
 
-def biweight(df: DataFrame, value: str, keys: list[str], c: float = 6.0) -> DataFrame:
-    """Tukey's biweight location with tuning constant c, one step from the median."""
-    m = deviation_median(df, value, keys)
-    u = (F.col(value) - F.col("median")) / (c * F.col("medabsdevmed"))
-    w = F.when(F.abs(u) < 1, F.pow(1 - u * u, 2)).otherwise(0.0)
-    j = df.join(m, keys)
-    return j.groupBy(*keys).agg(F.count("*").alias("npts"), F.coalesce(F.sum(w * F.col(value)) / F.sum(w), F.first("median")).alias("location"))
+def biweight(df: DataFrame, value: str, keys: list[str], c: float = 6.0, rounds: int = 1) -> DataFrame:
+    """Tukey's biweight location with tuning constant c, `rounds` steps from the median; the scale stays the median deviation."""
+    at = deviation_median(df, value, keys).select(*keys, F.col("median").alias("_at"), F.col("medabsdevmed").alias("_scale"))
+    for _ in range(rounds):
+        u = (F.col(value) - F.col("_at")) / (c * F.col("_scale"))
+        w = F.when(F.abs(u) < 1, F.pow(1 - u * u, 2)).otherwise(0.0)
+        j = df.join(at, keys)
+        step = j.groupBy(*keys).agg(F.count("*").alias("npts"), F.coalesce(F.sum(w * F.col(value)) / F.sum(w), F.first("_at")).alias("location"), F.first("_scale").alias("_scale"))
+        at = step.select(*keys, F.col("location").alias("_at"), "_scale")
+    return step.drop("_scale")
 
 
 def histogram(df: DataFrame, value: str, keys: list[str], bins: int, lo: float, hi: float, cumulative: bool = False, log10: bool = False) -> DataFrame:
@@ -121,18 +139,36 @@ def collapse(df: DataFrame, how: str, value: str, keys: list[str], beam_pixels:
 
 def moments(df: DataFrame, value: str, coordinate: str, keys: list[str], which: list[int], low: float | None = None, high: float | None = None) -> DataFrame:
     """Moments of a profile: -1 mean, 0 integral (times the step of 1), 1 weighted coordinate, 2 its dispersion, 3 median value,
-    6 root mean square, 8 maximum, 9 its coordinate, 10 minimum, 11 its coordinate. Values outside [low, high] are left out."""
+    4 median coordinate, 5 standard deviation about the mean, 6 root mean square, 7 mean absolute deviation, 8 maximum, 9 its coordinate, 10 minimum, 11 its coordinate. Values outside [low, high] are left out."""
     i, x = F.col(value), F.col(coordinate)
     if low is not None:
         df = df.where(i >= low)
     if high is not None:
         df = df.where(i <= high)
     m1 = F.sum(i * x) / F.sum(i)
+    if 4 in which:
+        d4 = median_coordinate(df, value, coordinate, keys)
     known = {
-        -1: F.avg(i), 0: F.sum(i), 1: m1, 2: F.sqrt(F.abs(F.sum(i * x * x) / F.sum(i) - m1 * m1)), 3: F.median(i), 6: F.sqrt(F.avg(i * i)),
+        -1: F.avg(i), 0: F.sum(i), 1: m1, 2: F.sqrt(F.abs(F.sum(i * x * x) / F.sum(i) - m1 * m1)), 3: F.median(i), 5: F.stddev_samp(i), 6: F.sqrt(F.avg(i * i)),
         8: F.max(i), 9: F.max_by(x, F.struct(i, -x)), 10: F.min(i), 11: F.min_by(x, F.struct(i, x)),
     }
-    return df.groupBy(*keys).agg(*(known[k].alias(f"moment_{'m' if k < 0 else ''}{abs(k)}") for k in which))
+    out = df.groupBy(*keys).agg(*(known[k].alias(f"moment_{'m' if k < 0 else ''}{abs(k)}") for k in which if k in known))
+    if 7 in which:
+        mean = df.groupBy(*keys).agg(F.avg(i).alias("_m"))
+        out = out.join(df.join(mean, keys).groupBy(*keys).agg(F.avg(F.abs(i - F.col("_m"))).alias("moment_7")), keys)
+    return out.join(d4, keys, "left") if 4 in which else out
+
+
+def median_coordinate(df: DataFrame, value: str, coordinate: str, keys: list[str]) -> DataFrame:
+    """Moment 4: the coordinate at which half of the profile's positive sum is reached, linear between two."""
+    w = Window.partitionBy(*keys).orderBy(coordinate)  # a profile
+    good = df.where(F.col(value) > 0)
+    run = good.withColumn("_run", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    run = run.withColumn("_half", F.sum(value).over(Window.partitionBy(*keys)) / 2).withColumn("_x0", F.lag(coordinate).over(w)).withColumn("_r0", F.lag("_run").over(w))
+    first = run.where((F.col("_run") >= F.col("_half")) & (F.col("_r0").isNull() | (F.col("_r0") < F.col("_half"))))
+    x = F.col(coordinate)
+    at = F.when(F.col("_r0").isNull(), x.cast("double")).otherwise(F.col("_x0") + (x - F.col("_x0")) * (F.col("_half") - F.col("_r0")) / (F.col("_run") - F.col("_r0")))
+    return first.select(*keys, at.alias("moment_4"))
 
 
 def positions(df: DataFrame, value: str, axes: list[str], keys: list[str]) -> DataFrame:
@@ -169,3 +205,111 @@ def normal_quantile(p: float) -> float:
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if 0.5 * math.erfc(-mid / math.sqrt(2)) < p else (lo, mid)
     return lo
+
+
+# --- statistics of named axes -------------------------------------------------------------------------------------
+#: what an axis of a set is, in columns of a table of visibilities (re, im, u, v, ...)
+TRANSFORMS = {
+    "amp": lambda: F.hypot("re", "im"), "amplitude": lambda: F.hypot("re", "im"), "phase": lambda: F.atan2("im", "re"), "real": lambda: F.col("re"), "imag": lambda: F.col("im"),
+    "imaginary": lambda: F.col("im"), "uvrange": lambda: F.hypot("u", "v"),
+}
+
+
+def transform(axis: str) -> Column:
+    """The values of an axis: an amplitude, phase, real or imaginary part, uv distance, or any column, flags as 0 and 1."""
+    known = TRANSFORMS.get(axis.lower())
+    return known() if known else F.col(axis).cast("double")
+
+
+def visibility_statistics(
+    df: DataFrame, axis: str, keys: list[str] | None = None, use_flags: bool = True, flag: str = "flag", average: list[str] | None = None, time_col: str = "time", bin_width: float | None = None,
+    max_uv: float | None = None, quantiles: bool = True,
+) -> DataFrame:
+    """Statistics of an axis per group, with the median deviation. average: complex means are taken first over the rows
+    that agree in these columns (and in the time bin, where a width is given); max_uv leaves out longer baselines."""
+    keys = keys or []
+    if max_uv is not None:
+        df = df.where(F.hypot("u", "v") <= max_uv)
+    if average is not None:
+        by = list(dict.fromkeys([*average, *keys]))
+        if bin_width is not None:
+            df = df.withColumn("_bin", F.floor(F.col(time_col) / bin_width))
+            by.append("_bin")
+        good = df.where(~F.col(flag)) if use_flags else df
+        df = good.groupBy(*by).agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
+        use_flags = False
+    value = transform(axis)
+    out = statistics(df, value, keys, F.col(flag) if use_flags else None, quantiles)
+    if not quantiles:
+        return out
+    good = df.where(~F.col(flag)) if use_flags else df
+    dev = deviation_median(good.select(*keys, value.alias("_v")), "_v", keys) if keys else deviation_median(good.select(F.lit(0).alias("_k"), value.alias("_v")), "_v", ["_k"]).drop("_k")
+    return out.join(dev.select(*keys, "medabsdevmed"), keys, "left") if keys else out.crossJoin(F.broadcast(dev.select("medabsdevmed")))  # one row
+
+
+def array_statistics(df: DataFrame, column: str, keys: list[str], flag: str | None = None) -> DataFrame:
+    """Statistics of an array column: one result for each place in it."""
+    both = F.arrays_zip(column, flag) if flag else F.arrays_zip(column)
+    e = df.select(*keys, F.posexplode(both).alias("index", "_e"))
+    return statistics(e, F.col(f"_e.{column}"), [*keys, "index"], F.col(f"_e.{flag}") if flag else None, quantiles=False)
+
+
+def calibration_statistics(df: DataFrame, axis: str, keys: list[str]) -> DataFrame:
+    """The same of a calibration table, with its names: var, and quartile for the distance of the quartiles."""
+    s = statistics(df, transform(axis), keys)
+    return s.withColumnRenamed("variance", "var").withColumn("quartile", F.col("thirdquartile") - F.col("firstquartile")).drop("firstquartile", "thirdquartile")
+
+
+def in_pixel_range(df: DataFrame, value: str, include: tuple[float, float] | None = None, exclude: tuple[float, float] | None = None) -> DataFrame:
+    """Pixels whose value lies in one range, and in none of the other; one number x stands for [-|x|, |x|]."""
+    if include is not None and exclude is not None:
+        raise ValueError("one of include and exclude")
+    lo, hi = include or exclude or (None, None)
+    if lo is None:
+        return df
+    inside = F.col(value).between(lo, hi)
+    return df.where(inside if include is not None else ~inside)
+
+
+def image_statistics(df: DataFrame, value: str, axes: list[str], keys: list[str], include: tuple[float, float] | None = None, exclude: tuple[float, float] | None = None) -> DataFrame:
+    """Statistics with the places of the extremes, over pixels in range."""
+    d = in_pixel_range(df, value, include, exclude)
+    s = statistics(d, F.col(value), keys)
+    p = positions(d, value, axes, keys).drop("min", "max")
+    return s.join(p, keys) if keys else s.crossJoin(F.broadcast(p))  # one row
+
+
+def spectral_collapse(df: DataFrame, keys: list[str], coordinate: str, value: str, low: float, high: float, how: str = "mean") -> DataFrame:
+    """A cube between two spectral values as one plane, with the error of a mean, its deviation over the root of channels."""
+    inside = df.where(F.col(coordinate).between(min(low, high), max(low, high)))
+    agg = {"mean": F.avg(value), "sum": F.sum(value), "rms": F.sqrt(F.avg(F.col(value) * F.col(value)))}[how]
+    return inside.groupBy(*keys).agg(agg.alias("value"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("error"), F.count(value).alias("nchan"))
+
+
+def total_flux(profile: DataFrame, flux: str = "flux", step: str = "step") -> DataFrame:
+    """The sum of flux times step over a profile: one row."""
+    return profile.agg(F.sum(F.col(flux) * F.col(step)).alias("total"))
+
+
+def flag_change(df: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:
+    """Per cent flagged before and after a calibration."""
+    share = lambda c: 100 * F.avg(F.col(c).cast("double"))
+    return df.groupBy(*keys).agg(share(before).alias("flagged_in"), share(after).alias("flagged_out"), F.sum((F.col(after) & ~F.col(before)).cast("long")).alias("newly"))
+
+
+def fit_statistics(df: DataFrame, keys: list[str], x: str, value: str, err: str, flag: str, order: int = 1) -> DataFrame:
+    """A weighted polynomial of order 0 or 1 through unflagged values with errors: coefficients, the residuals' mean and
+    variance, and the reduced chi squared. Sums that combine, then one pass over the residuals."""
+    if order not in (0, 1):
+        raise ValueError("order 0 or 1")
+    good = df.where(~F.col(flag) & (F.col(err) > 0)).withColumn("_w", 1 / (F.col(err) * F.col(err)))
+    w, t, y = F.col("_w"), F.col(x).cast("double"), F.col(value)
+    sums = good.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum(w).alias("_s"), F.sum(w * t).alias("_x"), F.sum(w * y).alias("_y"), F.sum(w * t * t).alias("_xx"), F.sum(w * t * y).alias("_xy")
+    )
+    s, sx, sy, sxx, sxy = (F.col("_" + c) for c in ("s", "x", "y", "xx", "xy"))
+    slope = F.try_divide(s * sxy - sx * sy, s * sxx - sx * sx) if order else F.lit(0.0)
+    fit = sums.withColumn("slope", slope).withColumn("intercept", (sy - F.col("slope") * sx) / s).select(*keys, "n", "slope", "intercept")
+    r = F.col(value) - F.col("intercept") - F.col("slope") * t
+    out = good.join(fit, keys).groupBy(*keys, "n", "slope", "intercept").agg(F.avg(r).alias("res_mean"), F.var_samp(r).alias("res_var"), F.sum(r * r * w).alias("_chi2"))
+    return out.withColumn("redchi2", F.try_divide(F.col("_chi2"), F.col("n") - F.lit(order + 1))).drop("_chi2")

@@ -105,23 +105,14 @@ add("select_channels", lambda s, d: long(s, d).where(select.channels("chan", "<4
 add("select_keyed", lambda s, d: select.select(vis(s, d), {"time": "t", "spw": "spw", "antenna": "ant,k"}, time="2024/01/03~2024/01/09/12:00:00", spw="c*,view", antenna="!3&7").select("row_id"),
     f"SELECT row_id FROM {VIS} WHERE t BETWEEN 1704240000 AND 1704801600 AND (spw LIKE 'c%' OR spw = 'view') AND NOT (((ant = 3 AND k = 7) OR (k = 3 AND ant = 7)) AND ant <> k)")
 add("select_uv_range", lambda s, d: fact(s, d).where(select.uv_range("ant", "weight", "10~60")).groupBy("spw").agg(F.count("*").alias("n")), f"SELECT spw, count(*) AS n FROM {FACT} WHERE sqrt(ant * ant + weight * weight) BETWEEN 10 AND 60 GROUP BY spw")
-add("select_crosscorr", lambda s, d: vis(s, d).where("ant <> k").groupBy("spw").agg(F.count("*").alias("n")), f"SELECT spw, count(*) AS n FROM {VIS} WHERE ant <> k GROUP BY spw")
 add("select_unflagged_rows", lambda s, d: spectra(s, d).select("vec_id", F.transform("v", lambda x: x < 0.2).alias("flag"), (F.col("label") == 3).alias("bad")).where(select.unflagged("bad", "flag")).select("vec_id"),
     f"SELECT vec_id FROM {SPECTRA} WHERE NOT (label = 3 OR list_bool_and(list_transform(v, lambda x: x < 0.2)))")
 add("query_dialect", lambda s, d: sqlshim.query(vis(s, d), "SELECT row_id, ant, value FROM t WHERE ant == 7 && spw IN ['click', 'view'] && !(value < 10) ORDERBY value DESC, row_id LIMIT 50"), f"SELECT row_id, ant, value FROM {VIS} WHERE ant = 7 AND spw IN ('click', 'view') AND NOT value < 10 ORDER BY value DESC, row_id LIMIT 50")
 add("query_dialect_offset", lambda s, d: sqlshim.query(catalog(s, d), "SELECT line_id, frequency FROM t ORDERBY frequency, line_id LIMIT 10 OFFSET 20"), f"SELECT line_id, frequency FROM {CATALOG} ORDER BY frequency, line_id LIMIT 10 OFFSET 20")
 add("strided_cells", lambda s, d: select.strided(vis(s, d), "row_id", 5, 100, 7).select("row_id", "value"), f"SELECT row_id, value FROM {VIS} WHERE row_id >= 5 AND (row_id - 5) % 7 = 0 AND row_id < 705")
 add("filter_rules", lambda s, d: select.sorted_rules(catalog(s, d), [("el", ">", 20, False), ("species", "contains", "#1", False), ("chemname", "=", "STANDARD", True)]).select("line_id"), f"SELECT line_id FROM {CATALOG} WHERE el > 20 AND species LIKE '%#1%' AND chemname <> 'STANDARD'")
-add("key_index_unique", lambda s, d: vis(s, d).agg((F.count("*") == F.count_distinct("row_id")).alias("by_row"), (F.count("*") == F.count_distinct("ant", "spw")).alias("by_pair")), f"SELECT count(*) = count(DISTINCT row_id) AS by_row, count(*) = count(DISTINCT (ant, spw)) AS by_pair FROM {VIS}")
-add("list_observation", lambda s, d: vis(s, d).groupBy("ant", "spw").agg(F.min("tick").alias("start"), F.max("tick").alias("stop"), F.count("*").alias("rows"), F.sum((F.col("value") >= 10).cast("long")).alias("unflagged")), f"SELECT ant, spw, min(tick) AS start, max(tick) AS stop, count(*) AS rows, CAST(sum((value >= 10)::INT) AS BIGINT) AS unflagged FROM {VIS} GROUP BY ant, spw")
-add("autocorr_audit", lambda s, d: vis(s, d).groupBy("ant").agg(F.when(F.max(F.col("ant") == F.col("k")), F.when(F.min(F.when(F.col("ant") == F.col("k"), F.col("value") < 50)), "F").otherwise("R")).otherwise("N").alias("status")),
-    f"SELECT ant, CASE WHEN bool_or(ant = k) THEN CASE WHEN bool_and(value < 50) FILTER (WHERE ant = k) THEN 'F' ELSE 'R' END ELSE 'N' END AS status FROM {VIS} GROUP BY ant")
 
 # --- joins --------------------------------------------------------------------------------------------------------
-add("fk_lookup", lambda s, d: table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name", "n_name").agg(F.count("*").alias("antennas")),
-    "SELECT r_name, n_name, count(*) AS antennas FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name")
-add("semi_unflagged", lambda s, d: table(s, d, "orders").join(fact(s, d).where("NOT flag"), F.col("o_orderkey") == F.col("scan"), "left_semi").groupBy("o_orderpriority").agg(F.count("*").alias("n")), "SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'R') GROUP BY 1")
-add("anti_unflagged", lambda s, d: table(s, d, "orders").join(fact(s, d).where("NOT flag"), F.col("o_orderkey") == F.col("scan"), "left_anti").groupBy("o_orderpriority").agg(F.count("*").alias("n")), "SELECT o_orderpriority, count(*) AS n FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> 'R') GROUP BY 1")
 _CALSQL = f"(SELECT ant, tick // 3600000000 * 3600000000 AS tick, avg(value) AS gain FROM {VIS} WHERE spw = 'click' GROUP BY 1, 2)"
 
 
@@ -150,7 +141,6 @@ add("scan_assign_interval", lambda s, d: calibrate.assign_interval(vis(s, d).sel
     f"SELECT coalesce(s.span, 0) AS span, count(*) AS n FROM {VIS} v ASOF LEFT JOIN {_SPANS} s ON v.t >= s.lo - 1e-5 GROUP BY 1")
 add("range_join_spans", lambda s, d: calibrate.in_span(vis(s, d), _spans(s).withColumn("spw", F.lit("view")), ["spw"], "t", 86400.0).groupBy("span").agg(F.count("*").alias("n")), f"SELECT span, count(*) AS n FROM {VIS} v JOIN {_SPANS} s ON v.spw = 'view' AND v.t BETWEEN s.lo AND s.hi GROUP BY span")
 add("spwmap", lambda s, d: calibrate.map_spw(fact(s, d), "spw", [0, 1, 1, 3, 3, 5, 5, 7]).groupBy("spw").agg(F.count("*").alias("n")), f"SELECT CAST([0, 1, 1, 3, 3, 5, 5, 7][spw + 1] AS INTEGER) AS spw, count(*) AS n FROM {FACT} GROUP BY 1")
-add("beam_relabel", lambda s, d: rounded(fact(s, d).withColumn("beam", F.when(F.col("ant").isin(2, 5, 9) & ~F.col("flag"), 2).otherwise(F.col("ant"))).groupBy("beam").agg(F.avg("value").alias("value"), F.count("*").alias("n"))), f"SELECT CASE WHEN ant IN (2, 5, 9) AND NOT flag THEN 2 ELSE ant END AS beam, round(avg(value), 6) AS value, count(*) AS n FROM {FACT} GROUP BY 1")
 
 # --- flags --------------------------------------------------------------------------------------------------------
 for _name, _spec, _sql in (
@@ -182,7 +172,6 @@ for _how, _sql in (("or", "a OR b"), ("and", "a AND b"), ("replace", "b")):
 # --- averages and weights -----------------------------------------------------------------------------------------
 add("time_average_scan", lambda s, d: rounded(average.time_average(fact(s, d), "t", ["scan"], ["spw"], 604800.0, "value", F.col("weight"), F.col("flag")), digits=4),
     f"WITH b AS (SELECT *, CAST(floor((t - min(t) OVER (PARTITION BY scan)) / 604800.0) AS BIGINT) AS bin FROM {FACT}) SELECT scan, spw, bin, count(*) AS n, round(CASE WHEN bool_or(NOT flag) THEN sum(value * weight) FILTER (WHERE NOT flag) / sum(weight) FILTER (WHERE NOT flag) ELSE sum(value * weight) / sum(weight) END, 4) AS value, round(sum(weight) FILTER (WHERE NOT flag), 4) AS weight, NOT bool_or(NOT flag) AS flag, round(avg(t), 4) AS time FROM b GROUP BY scan, spw, bin")
-add("polarization_average", lambda s, d: rounded(vis(s, d).where("spw IN ('click', 'view')").groupBy("ant", "k").agg(F.avg("value").alias("value"))), f"SELECT ant, k, round(avg(value), 6) AS value FROM {VIS} WHERE spw IN ('click', 'view') GROUP BY ant, k")
 add("channel_average", lambda s, d: rounded(average.channel_average(long(s, d), ["vec_id"], "chan", 8, "value")), f"SELECT vec_id, CAST(chan // 8 AS INTEGER) AS bin, round(avg(value), 6) AS value, count(*) AS n FROM {LONG} GROUP BY 1, 2")
 add("sigma_weight", lambda s, d: rounded(fact(s, d).select("scan", "spw", C.weight_of_sigma(F.col("weight") - 1).alias("weight"), C.sigma_of_weight(F.col("weight") - 1).alias("sigma"))), f"SELECT scan, spw, round(CASE WHEN weight - 1 > 1e-38 THEN 1 / pow(weight - 1, 2) ELSE 0 END, 6)::DOUBLE AS weight, round(CASE WHEN weight - 1 > 0 THEN 1 / sqrt(weight - 1) ELSE -1 END, 6)::DOUBLE AS sigma FROM {FACT}")
 add("statwt_block", lambda s, d: rounded(average.weigh_by_scatter(fact(s, d).withColumn("im", F.col("value") / 2), ["ant", "spw"], "value", "im", "weight", 2, "flag").select("scan", "spw", (F.col("weight") * 1e6).alias("w"), "weight_flag"), digits=4),
@@ -198,7 +187,6 @@ add("phase_unwrap", lambda s, d: rounded(average.unwrap(vis(s, d).withColumn("ph
     f"WITH p AS (SELECT row_id, ant, value % 6.0 - 3.0 AS phase FROM {VIS}), q AS (SELECT *, coalesce(-round((phase - lag(phase) OVER (PARTITION BY ant ORDER BY row_id)) / (2 * pi())), 0) AS k FROM p) SELECT row_id, round(phase + 2 * pi() * sum(k) OVER (PARTITION BY ant ORDER BY row_id ROWS UNBOUNDED PRECEDING), 6) AS unwrapped FROM q")
 add("session_reindex", lambda s, d: average.gap_sessions(vis(s, d).withColumn("array", F.lit(0)), "tick", ["ant"], "spw", 86_400_000_000, "array").select("row_id", "scan"),
     f"WITH a AS (SELECT row_id, ant, spw, tick, lag(tick) OVER (PARTITION BY ant, spw ORDER BY tick) AS p FROM {VIS}), b AS (SELECT *, (p IS NULL OR tick - p > 86400000000)::INT AS n FROM a), c AS (SELECT *, sum(n) OVER (PARTITION BY ant ORDER BY tick, spw ROWS UNBOUNDED PRECEDING) AS g FROM b) SELECT row_id, CAST(last_value(CASE WHEN n = 1 THEN g END IGNORE NULLS) OVER (PARTITION BY ant, spw ORDER BY tick ROWS UNBOUNDED PRECEDING) AS BIGINT) AS scan FROM c")
-add("baseline_dependent_average", lambda s, d: average.baseline_average(vis(s, d), ["ant", "spw"], "t", "value", "k", "value", 30.0, 864000.0).groupBy("ant", "spw").agg(F.count("*").alias("runs"), F.sum("n").alias("rows")))
 
 # --- spectra ------------------------------------------------------------------------------------------------------
 _LAGS = f"SELECT vec_id, chan, value, lag(value) OVER w AS p, lead(value) OVER w AS q, count(*) OVER (PARTITION BY vec_id) AS n FROM {LONG} WINDOW w AS (PARTITION BY vec_id ORDER BY chan)"
@@ -222,12 +210,10 @@ def _free():
 for _order, _sql in ((0, "value - avg(value) FILTER (WHERE free) OVER w"), (1, "value - (regr_intercept(value, chan) FILTER (WHERE free) OVER w + chan * regr_slope(value, chan) FILTER (WHERE free) OVER w)")):
     add(f"continuum_sub_order{_order}", lambda s, d, o=_order: rounded(spectra(s, d).withColumn("free", _free()).select("vec_id", F.posexplode(spectral.subtract_line(F.col("v"), F.col("free"), o)).alias("chan", "value"))),
         f"SELECT vec_id, CAST(chan AS INTEGER) AS chan, round({_sql}, 6) AS value FROM (SELECT *, chan < 20 OR chan >= 44 AS free FROM {LONG}) WINDOW w AS (PARTITION BY vec_id)")
-add("continuum_sub_order3", lambda s, d: rounded(fit.subtract_polynomial(spectra(s, d), "v", 3, [(0, 19), (44, 63)]).select("vec_id", F.posexplode("v").alias("chan", "value"))))
 add("regrid_linear", lambda s, d: rounded(spectral.regrid(spectra(s, d), ["vec_id"], F.transform("v", lambda _, i: i.cast("double")), 0.25, 1.5, 42, "v").select("vec_id", F.posexplode("v").alias("chan", "value"))),
     f"SELECT vec_id, CAST(i AS INTEGER) AS chan, round(a + (b - a) * (0.25 + 1.5 * i - floor(0.25 + 1.5 * i)), 6)::DOUBLE AS value FROM (SELECT vec_id, i, v[CAST(floor(0.25 + 1.5 * i) AS INTEGER) + 1] AS a, v[CAST(floor(0.25 + 1.5 * i) AS INTEGER) + 2] AS b FROM {SPECTRA}, range(42) t(i))")
 add("spectral_index", lambda s, d: rounded(fit.spectral_index(long(s, d).where("value > 0.01"), ["vec_id"], F.col("chan") + 1.0, F.col("value")).select("vec_id", "alpha", "n")), f"SELECT vec_id, round(regr_slope(ln(value), ln(chan + 1.0)), 6) AS alpha, count(*) AS n FROM {LONG} WHERE value > 0.01 GROUP BY vec_id")
 add("rotation_measure", lambda s, d: rounded(fit.rotation_measure(long(s, d), ["label"], F.col("value"), 0.1 + 0.01 * F.col("chan")).select("label", "rm", "pa0")), f"SELECT label, round(regr_slope(value, pow(0.1 + 0.01 * chan, 2)), 6) AS rm, round(regr_intercept(value, pow(0.1 + 0.01 * chan, 2)), 6) AS pa0 FROM {LONG} GROUP BY label")
-add("gaussian_fit", lambda s, d: fit.gaussian_fit(long(s, d).groupBy("label", "chan").agg(F.avg("value").alias("value")), ["label"], "chan", "value").select("label", "converged"))
 add("peak_parabola", lambda s, d: rounded(image.peak_fit(long(s, d), ["vec_id"], "chan", "value")),
     f"WITH l AS ({_LAGS}), m AS (SELECT vec_id, arg_max(chan, (value, -chan)) AS c FROM l GROUP BY vec_id) SELECT vec_id, round(chan + CASE WHEN p IS NULL OR q IS NULL OR p - 2 * value + q = 0 THEN 0 ELSE 0.5 * (p - q) / (p - 2 * value + q) END, 6)::DOUBLE AS position, round(coalesce(value - 0.25 * (p - q) * CASE WHEN p - 2 * value + q = 0 THEN 0 ELSE 0.5 * (p - q) / (p - 2 * value + q) END, value), 6) AS peak FROM l JOIN m USING (vec_id) WHERE chan = c")
 
@@ -255,7 +241,6 @@ add("image_smooth", lambda s, d: rounded(image.smooth(cube(s, d), {(i, j): 1 / 9
 add("image_two_point", lambda s, d: rounded(image.two_point(cube(s, d), ["chan"], "value", 2), digits=0), f"WITH c AS (SELECT * FROM {CUBE}) SELECT a.chan, CAST(b.x - a.x AS INTEGER) AS lx, CAST(b.y - a.y AS INTEGER) AS ly, round(avg(a.value * b.value), 0) AS corr, count(*) AS npairs FROM c a JOIN c b ON a.chan = b.chan AND b.x - a.x BETWEEN 0 AND 2 AND b.y - a.y BETWEEN 0 AND 2 GROUP BY 1, 2, 3")
 add("image_mosaic", lambda s, d: rounded(image.mosaic([cube(s, d).select("x", "y", "chan", "value", F.lit(2.0).alias("weight")), cube(s, d).select((F.col("x") + 1).alias("x"), "y", "chan", "value", F.lit(1.0).alias("weight"))], ["x", "y", "chan"]), digits=4),
     f"SELECT x, y, chan, round(sum(value * w) / sum(w), 4) AS value, sum(w) AS weight FROM (SELECT x, y, chan, value, 2.0::DOUBLE AS w FROM {CUBE} UNION ALL SELECT x + 1, y, chan, value, 1.0::DOUBLE FROM {CUBE}) GROUP BY x, y, chan")
-add("image_calc", lambda s, d: rounded(cube(s, d).where("value > 40000").selectExpr("x", "y", "chan", "sqrt(value) * 2 - chan AS value")), f"SELECT x, y, chan, round(sqrt(value) * 2 - chan, 6) AS value FROM {CUBE} WHERE value > 40000")
 add("image_replace_masked", lambda s, d: rounded(cube(s, d).select("x", "y", "chan", image.replace_masked(F.col("value"), F.col("mask"), F.lit(-1.0)).alias("value"))), f"SELECT x, y, chan, round(CASE WHEN mask THEN value ELSE -1 END, 6) AS value FROM {CUBE}")
 add("polarization_images", lambda s, d: rounded(cube(s, d).select("x", "y", "chan", C.linear_polarization(F.col("value"), F.col("value") / 2, 30000.0).alias("linear"), C.polarization_angle(F.col("value"), F.col("value") * (F.col("x") - 30)).alias("angle")), digits=4),
     f"SELECT x, y, chan, round(CASE WHEN value * value * 1.25 - 9e8 >= 0 THEN sqrt(value * value * 1.25 - 9e8) END, 4) AS linear, round(degrees(atan2(value * (x - 30), value)) / 2, 4) AS angle FROM {CUBE}")
@@ -286,9 +271,6 @@ add("apparent_sensitivity", lambda s, d: rounded(uvgrid.apparent_sensitivity(fac
 # --- complex numbers and calibration ------------------------------------------------------------------------------
 add("phase_shift", lambda s, d: (lambda p: rounded(fact(s, d).select("scan", "spw", p.re.alias("re"), p.im.alias("im")), digits=3))(C.phase_shift(C.Complex(F.col("value"), F.col("value") / 2), F.col("weight"), F.col("ant"), 1e-3, 2e-3, F.col("spw") * 1e9)),
     f"WITH p AS (SELECT scan, spw, value AS a, value / 2 AS b, (weight * 1e-3 + ant * 2e-3) * (spw * 1e9) * (-2 * pi() / 299792458.0) AS f FROM {FACT}) SELECT scan, spw, round(a * cos(f) - b * sin(f), 3) AS re, round(a * sin(f) + b * cos(f), 3) AS im FROM p")
-add("uvsub", lambda s, d: rounded(fact(s, d).select("scan", "spw", (F.col("value") - F.col("weight") * 100).alias("re"))), f"SELECT scan, spw, round(value - weight * 100, 6) AS re FROM {FACT}")
-add("conjugate", lambda s, d: rounded(fact(s, d).where("spw IN (2, 3)").select("scan", "spw", (-F.col("weight")).alias("im"))), f"SELECT scan, spw, round(-weight, 6) AS im FROM {FACT} WHERE spw IN (2, 3)")
-add("accor", lambda s, d: rounded(calibrate.accor(vis(s, d), ["ant", "spw"], F.col("k") <= 3, F.col("value"))), f"SELECT ant, spw, round(sqrt(avg(value)), 6) AS gain, count(*) AS n FROM {VIS} WHERE k <= 3 GROUP BY ant, spw")
 _GAIN = f"(SELECT k AS ant, spw, sum(value) / 100 AS g_re, avg(value) / 10 AS g_im, k = 4 AS g_flag FROM {VIS} GROUP BY k, spw)"
 
 
@@ -300,7 +282,6 @@ add("applycal", lambda s, d: rounded(calibrate.apply_gains(vis(s, d).select("row
     f"WITH g AS (SELECT * FROM {_GAIN}), j AS (SELECT v.row_id, v.value AS a, 1.0 AS b, p.g_re * q.g_re + p.g_im * q.g_im AS c, p.g_im * q.g_re - p.g_re * q.g_im AS d, coalesce(p.g_flag OR q.g_flag, true) AS f FROM {VIS} v LEFT JOIN g p ON p.spw = v.spw AND p.ant = v.k LEFT JOIN g q ON q.spw = v.spw AND q.ant = (v.k + 1) % 10) SELECT row_id, round((a * c + b * d) / (c * c + d * d) * 1000, 4) AS re, round((b * c - a * d) / (c * c + d * d) * 1000, 4) AS im, f AS c_flag FROM j")
 add("rereference", lambda s, d: rounded(calibrate.rereference(_gain(s, d), ["spw"], [4, 2, 7]).select("spw", "ant", "g_re", "g_im", "g_flag"), digits=4),
     f"WITH g AS (SELECT * FROM {_GAIN}), f AS (SELECT spw, arg_min((g_re, g_im), CASE ant WHEN 4 THEN 1 WHEN 2 THEN 2 ELSE 3 END) AS p FROM g WHERE ant IN (4, 2, 7) AND NOT g_flag GROUP BY spw), h AS (SELECT spw, p[1] / sqrt(p[1] * p[1] + p[2] * p[2]) AS a, p[2] / sqrt(p[1] * p[1] + p[2] * p[2]) AS b FROM f) SELECT g.spw, ant, round(coalesce(g_re * a + g_im * b, g_re), 4) + 0.0 AS g_re, round(coalesce(g_im * a - g_re * b, g_im), 4) + 0.0 AS g_im, g_flag FROM g LEFT JOIN h ON h.spw = g.spw")
-add("gaincal", lambda s, d: calibrate.solve_gains(fact(s, d).select((F.col("scan") % 4).alias("interval"), (F.col("ant") % 7).alias("a1"), (F.col("part") % 7).alias("a2"), (F.col("value") / 50000).alias("re"), F.lit(0.0).alias("im"), "weight"), ["interval"], "a1", "a2").select("interval", "ant", "g_flag"))
 add("solve_counts", lambda s, d: calibrate.counts(fact(s, d), ["spw"], "ant", "flag"), f"SELECT spw, count(DISTINCT ant) AS expected, count(*) AS attempted, CAST(sum((NOT flag)::INT) AS BIGINT) AS succeeded FROM {FACT} GROUP BY spw")
 add("doppler", lambda s, d: rounded(catalog(s, d).select("line_id", *(C.velocity(F.col("frequency"), 1000.0, k).alias(k) for k in ("radio", "optical", "relativistic", "z"))), digits=3),
     f"SELECT line_id, round((1 - frequency / 1000) * 299792458.0, 3) AS radio, round((1000 / frequency - 1) * 299792458.0, 3) AS optical, round((1 - pow(frequency / 1000, 2)) / (1 + pow(frequency / 1000, 2)) * 299792458.0, 3) AS relativistic, round(1000 / frequency - 1, 3) AS z FROM {CATALOG}")
@@ -308,11 +289,7 @@ add("direction_separation", lambda s, d: rounded(fact(s, d).select("scan", "spw"
     f"SELECT scan, spw, round(atan2(sqrt(pow(cos(0.5) * sin(1.0 - l), 2) + pow(cos(b) * sin(0.5) - sin(b) * cos(0.5) * cos(1.0 - l), 2)), sin(b) * sin(0.5) + cos(b) * cos(0.5) * cos(1.0 - l)), 6) AS sep FROM (SELECT scan, spw, radians(ant % 360) AS l, radians(weight) AS b FROM {FACT})")
 
 # --- sets, sources and windows of time ----------------------------------------------------------------------------
-add("union_sets", lambda s, d: vis(s, d).where("k < 3").select("row_id").union(vis(s, d).where("k > 7").select("row_id")), f"SELECT row_id FROM {VIS} WHERE k < 3 OR k > 7")
 add("intersect_sets", lambda s, d: vis(s, d).where("k < 6").select("ant").intersect(vis(s, d).where("k > 8").select("ant")), f"SELECT ant FROM {VIS} WHERE k < 6 INTERSECT SELECT ant FROM {VIS} WHERE k > 8")
-add("set_difference", lambda s, d: vis(s, d).select("row_id", "value").exceptAll(vis(s, d).where("k <> 5").select("row_id", "value")), f"SELECT row_id, value FROM {VIS} WHERE k = 5")
-add("nan_check", lambda s, d: long(s, d).groupBy("label").agg(F.sum(F.isnan("value").cast("long")).alias("nans"), F.count("*").alias("n")), f"SELECT label, CAST(sum(isnan(value)::INT) AS BIGINT) AS nans, count(*) AS n FROM {LONG} GROUP BY label")
-add("list_shapes", lambda s, d: spectra(s, d).groupBy("label", F.size("v").alias("nchan")).agg(F.count("*").alias("rows")), f"SELECT label, CAST(len(v) AS INTEGER) AS nchan, count(*) AS rows FROM {SPECTRA} GROUP BY 1, 2")
-add("tumbling_window", lambda s, d: rounded(vis(s, d).groupBy("spw", F.expr("tick div 21600000000").alias("bin")).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))), f"SELECT spw, tick // 21600000000 AS bin, round(avg(value), 6) AS mean, count(*) AS n FROM {VIS} GROUP BY 1, 2")
-add("sliding_window", lambda s, d: rounded(vis(s, d).select("spw", "value", F.explode(F.sequence(F.expr("tick div 21600000000 - 1"), F.expr("tick div 21600000000"))).alias("bin")).groupBy("spw", "bin").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))), f"SELECT spw, b - o AS bin, round(avg(value), 6) AS mean, count(*) AS n FROM (SELECT spw, value, tick // 21600000000 AS b FROM {VIS}), range(2) r(o) GROUP BY 1, 2")
+from . import calibration, images, statistics, tables  # noqa: E402,F401  (they add their queries)
+
 __all__ = ["add", "queries", "oracle_sql", "base"]
