@@ -145,7 +145,7 @@ def train(
             [pa.array([x.tobytes()], pa.binary()) for x in (at, m.weight[at], m.threshold, m.grades.astype(np.int64))], ["i", "w", "t", "g"]
         )
 
-    got = rows.mapInArrow(run, "i binary, w binary, t binary, g binary").collect()
+    got = rows.mapInArrow(T.tidily(run), "i binary, w binary, t binary, g binary").collect()
     w = np.zeros(1 << BITS)
     if not got or not got[0]["g"]:
         return Model(w, np.zeros(0), np.zeros(1, np.int64))
@@ -172,7 +172,7 @@ def grade(docs: DataFrame, model: Model, at_least: int, cutoff: float = 0.5) ->
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "expected_grade", "tail_probability", "selected"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, selected boolean")
+    return rows.mapInArrow(T.tidily(run), "doc_id long, expected_grade double, tail_probability double, selected boolean")
 
 
 def quality_grades(docs: DataFrame, labels: DataFrame, at_least: int = 1) -> DataFrame:

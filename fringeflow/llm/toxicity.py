@@ -102,7 +102,7 @@ def ftrl(rows: list[tuple[int, np.ndarray]], epochs: int, alpha: float, beta: fl
     for _ in range(epochs):
         for r in rng.permutation(len(rows)):
             y, f = rows[r]
-            i = np.append(f, bias)
+            i = np.append(f, bias).astype(np.int64)
             w = weights(i)
             p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
             g = p - y
@@ -142,16 +142,16 @@ def train(
         .limit(most_rows)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "label")
-    found = rows.mapInArrow(_extract, "doc_id long, label int, f binary")
+    found = rows.mapInArrow(T.tidily(_extract), "doc_id long, label int, f binary")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple[int, np.ndarray]] = {}
         for b in batches:
             for i, y, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                f = np.frombuffer(f.as_buffer(), np.uint32).astype(np.int64)
+                f = np.frombuffer(f.as_buffer(), np.uint32)  # in the batch's own buffer: no copy of it is made
                 if i not in seen or (len(f), f.tobytes()) > (len(seen[i][1]), seen[i][1].tobytes()):
                     seen[i] = (y, f)
-        rows = [seen[i] for i in sorted(seen)]
+        rows = [seen.pop(i) for i in sorted(seen)]
         picked = np.zeros(1 << BITS, bool)
         picked[ftrl(rows, epochs, alpha, beta, l1, l2, seed).index] = True
         m = ftrl([(y, f[picked[f]]) for y, f in rows], 2 * epochs, alpha / 2, beta, refit_l1, l2 / 10, seed + 1)
@@ -159,7 +159,7 @@ def train(
             [pa.array([m.index.astype(np.uint32).tobytes()]), pa.array([m.weight.tobytes()]), pa.array([m.bias])], ["i", "w", "b"]
         )
 
-    got = found.repartition(1).mapInArrow(fit, "i binary, w binary, b double").collect()
+    got = found.repartition(1).mapInArrow(T.tidily(fit), "i binary, w binary, b double").collect()
     if not got:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
     return Model(np.frombuffer(got[0]["i"], np.uint32).astype(np.int64), np.frombuffer(got[0]["w"]), got[0]["b"])
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 p = _scores(held.value, w, data, offs)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(p)], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(T.tidily(run), "doc_id long, score double")
 
 
 def held_out(column: str = "doc_id"):
@@ -218,4 +218,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, cutoff: float = 0.5, **how
                 keep[lo:hi] = _scores(held.value, w, data, offs) < cutoff
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(T.tidily(run), docs.schema)
