@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import arrow_batches
 from . import text as T
 
 U = np.uint64
@@ -38,8 +39,9 @@ class Encoder:
     """Encodes texts by their distinct words: each task asks the tokenizer once for a word it has not met.
 
     A text is cut at white space, and a last full stop or comma is cut from a word that ends in a Latin letter or an
-    ASCII digit; the tokenizer's own rules cut there too. Words are found by a hash and then compared byte for byte. Words of plain Latin letters skip its normaliser and patterns,
-    which do nothing to them once lower-cased. Texts with marks of special tokens go to the tokenizer whole.
+    ASCII digit; the tokenizer's own rules cut there too. Words are found by a hash and then compared byte for byte.
+    Words of plain Latin letters skip the tokenizer's normaliser and patterns, which do nothing to them once lower-cased,
+    and its spelling of bytes as characters, which is done in bulk. Texts with marks of special tokens go to it whole.
     """
 
     def __init__(self, path: str):
@@ -48,9 +50,7 @@ class Encoder:
 
         self.full = Tokenizer.from_file(path)
         self.plain = Tokenizer(self.full.model)
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.full.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
@@ -102,16 +102,16 @@ class Encoder:
     def _learn(self, raw: bytes, b: T.Bytes, s: np.ndarray, e: np.ndarray) -> int:
         """Ranks, from the returned one on, of spans, with their ids and their folded bytes."""
         first = len(self.sizes.values)
-        flat, sizes = self._encode([raw[x:y].decode("utf-8", "replace") for x, y in zip(s.tolist(), e.tolist())])
+        n = e - s
+        start = np.cumsum(n) - n
+        letters = b.data[np.repeat(s - start, n) + np.arange(int(n.sum()))]
+        flat, sizes = self._encode(raw, letters, s, n, start)
         self.at.add(self.at.values[-1] + np.cumsum(sizes))
         self.flat.add(flat)
-        n = e - s
         self.sizes.add(n.astype(np.int32))
         self.first.add(b.lane(s, n, 0))
-        kept = np.where(n <= T.SHORT, n, 0)
-        start = np.cumsum(kept) - kept
         self.place.add(len(self.pool.values) + start)
-        self.pool.add(b.data[np.repeat(s - start, kept) + np.arange(int(kept.sum()))])
+        self.pool.add(letters)
         return first
 
     def _same(self, b: T.Bytes, s: np.ndarray, n: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -145,40 +145,43 @@ class Encoder:
             rank[apart] = self._learn(raw, b, s[apart], e[apart]) + np.arange(len(apart))
         return rank
 
-    def _encode(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the strings, one after another, and their number."""
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # which strings, their ids, how many each
-        rest: list[int] = []
-        plain: list[int] = []
-        mark = {i: s[-1] for i, s in enumerate(strings) if s[-1] in ".," and len(s) > 1}
-        bare = [s[:-1] if i in mark else s for i, s in enumerate(strings)]
-        for i, s in enumerate(bare):
-            (plain if s.isalpha() and (s.isascii() or max(s) <= "ÿ") else rest).append(i)
-        for lo in range(0, len(plain), 4000):
-            some = plain[lo : lo + 4000]
-            line = " ".join([bare[i] for i in some]).lower()
-            ids = np.array(self.plain.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32)
+    def _encode(self, raw: bytes, letters: np.ndarray, s: np.ndarray, n: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after another, and their number. letters: the words' folded bytes, each word's from `start`."""
+        # words of a-z and of two-byte letters, the first byte 0xC3 (0x97 and 0xB7 are signs)
+        second = np.zeros(len(letters), bool)
+        second[1:] = letters[:-1] == 0xC3
+        good = _LOWER[letters] | (letters == 0xC3) | (second & (letters >= 0x80) & (letters != 0x97) & (letters != 0xB7))
+        easy = np.logical_and.reduceat(good, start)
+        lower = letters.copy()
+        lower[second & (letters >= 0x80) & (letters <= 0x9E)] += 0x20
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # which words, their ids, how many each
+        rest = [np.flatnonzero(~easy)]
+        plain = np.flatnonzero(easy)
+        for lo in range(0, len(plain), 20_000):
+            some = plain[lo : lo + 20_000]
+            k = n[some]
+            line = np.full(int(k.sum()) + len(some), 0x20, np.uint8)
+            step = np.arange(int(k.sum()))
+            line[step + np.repeat(np.arange(len(some)), k)] = lower[step + np.repeat(start[some] - (np.cumsum(k) - k), k)]
+            line[np.cumsum(k + 1)[LINE - 1 :: LINE] - 1] = 0x0A
+            lines = line.tobytes().decode("latin-1").translate(_SPELLING).split("\n")
+            ids = np.array([x for f in self.plain.encode_batch_fast(lines, add_special_tokens=False) for x in f.ids], np.uint32)
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(some):
-                parts.append((np.array(some), ids, np.diff(cut, prepend=0)))
+                parts.append((some, ids, np.diff(cut, prepend=0)))
             else:
-                rest += some
-        found = self.full.encode_batch_fast([strings[i] for i in rest], add_special_tokens=False)
-        sizes = np.array([len(e.ids) for e in found], np.int64)
-        parts.append((np.array(rest, np.int64), np.array([x for e in found for x in e.ids], np.uint32), sizes))
-        n = np.zeros(len(strings), np.int64)
+                rest.append(some)
+        slow = np.concatenate(rest)
+        found = self.full.encode_batch_fast([raw[x : x + y].decode("utf-8", "replace") for x, y in zip(s[slow].tolist(), n[slow].tolist())], add_special_tokens=False)
+        parts.append((slow, np.array([x for f in found for x in f.ids], np.uint32), np.array([len(f.ids) for f in found], np.int64)))
+        sizes = np.zeros(len(n), np.int64)
         for which, _, k in parts:
-            n[which] = k
-        slow = set(rest)
-        marked = np.array([i for i in mark if i not in slow], np.int64)
-        n[marked] += 1
-        start = np.cumsum(n) - n
-        out = np.zeros(int(n.sum()), np.uint32)
+            sizes[which] = k
+        at = np.cumsum(sizes) - sizes
+        out = np.zeros(int(sizes.sum()), np.uint32)
         for which, ids, k in parts:
-            out[np.repeat(start[which] - (np.cumsum(k) - k), k) + np.arange(len(ids))] = ids
-        ends = start + n - 1
-        out[ends[marked]] = [self.marks[mark[i]] for i in marked.tolist()]
-        return out, n
+            out[np.repeat(at[which] - (np.cumsum(k) - k), k) + np.arange(len(ids))] = ids
+        return out, sizes
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and their number."""
@@ -233,25 +236,36 @@ class _Grown:
 _ENCODERS: dict[str, Encoder | None] = {}
 _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
+_LOWER = np.zeros(256, bool)
+_LOWER[97:123] = True
+LINE = 500  # words given to the tokenizer at once
+# fixed values: characters by which byte-level vocabularies spell bytes that are no printable Latin-1 characters
+_SPELLING = {b: chr(290 + b - 128) for b in range(128, 161)} | {173: chr(323)}
 
 
-def repair(seq: np.ndarray, vocabulary: int, stop: int, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def repair(seq: np.ndarray, vocabulary: int, stop: int, per_round: int = 8192) -> tuple[np.ndarray, np.ndarray]:
     """The remaining sequence and the rules (pairs of symbols). `stop` is never part of a pair."""
     seq = seq.astype(np.uint32)
     limit = 65536 if vocabulary <= 60_000 else 1 << 20
-    shift = U(16) if limit == 65536 else U(20)
+    bits = 16 if limit == 65536 else 20
     kind = np.uint32 if limit == 65536 else U
+    none = np.iinfo(kind).max  # the code of no pair
     rules: list[np.ndarray] = []
     used = vocabulary
     while used < limit and len(seq) >= 2 * LEAST:
-        code = (seq[:-1].astype(kind) << kind(shift)) | seq[1:].astype(kind)
-        free = (seq[:-1] != stop) & (seq[1:] != stop)
-        ordered = np.sort(code[free])
-        if not len(ordered):
-            break
-        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        code = seq[:-1].astype(kind)
+        code <<= kind(bits)
+        code |= seq[1:]
+        ends = np.flatnonzero(seq == stop)
+        code[ends[ends < len(code)]] = none
+        code[ends[ends > 0] - 1] = none
+        ordered = np.sort(code)
+        edge = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+        edge = np.concatenate(([0], edge))
         times = np.diff(np.append(edge, len(ordered)))
         often = np.flatnonzero(times >= LEAST)
+        if len(often) and ordered[edge[often[-1]]] == none:
+            often = often[:-1]
         if not len(often):
             break
         often = often[np.argsort(-times[often], kind="stable")][: min(per_round, limit - used)]
@@ -263,21 +277,27 @@ def repair(seq: np.ndarray, vocabulary: int, stop: int, per_round: int = 4096) -
         table[_hash(pairs)] = np.arange(1, len(pairs) + 1)
         hit = table[_hash(code)]
         at = np.flatnonzero(hit)
-        at = at[(pairs[hit[at] - 1] == code[at]) & free[at]]
+        which = hit[at] - 1
+        same = pairs[which] == code[at]
+        at, which = at[same], which[same]
         run = np.concatenate(([True], at[1:] != at[:-1] + 1))
         i = np.arange(len(at))
-        at = at[(i - np.maximum.accumulate(np.where(run, i, 0))) % 2 == 0]
-        seq[at] = used + hit[at] - 1
+        other = (i - np.maximum.accumulate(np.where(run, i, 0))) % 2 == 0
+        at = at[other]
+        seq[at] = used + which[other]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules.append(np.stack((pairs >> kind(shift), pairs & kind((1 << int(shift)) - 1)), 1).astype(np.uint32))
+        rules.append(np.stack((pairs >> kind(bits), pairs & kind((1 << bits) - 1)), 1).astype(np.uint32))
         used += len(pairs)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
 def _hash(code: np.ndarray) -> np.ndarray:
-    return (code.astype(U) * U(0x9E3779B97F4A7C15) >> U(44)).astype(np.int64)
+    """A slot of 20 bits."""
+    if code.dtype == np.uint32:
+        return (code * np.uint32(0x9E3779B1)) >> np.uint32(12)
+    return (code * U(0x9E3779B97F4A7C15) >> U(44)).astype(np.int64)
 
 
 def expansions(rules: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
@@ -371,7 +391,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_write_run(tokenizer, end_id), SCHEMA).write.mode("overwrite").parquet(path)
+    with arrow_batches(docs.sparkSession, "8m"):
+        rows.mapInArrow(_write_run(tokenizer, end_id), SCHEMA).write.mode("overwrite").parquet(path)
 
 
 class Shard:
