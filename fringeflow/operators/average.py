@@ -229,10 +229,10 @@ COLUMNS = ("DATA", "CORRECTED", "RESIDUAL", "RESIDUAL_DATA")
 
 def weighted_column(which: str, data: Column, corrected: Column, model: Column) -> Column:
     """What the scatter is taken of: the data, the corrected data, or one of them less the model."""
-    known = {"DATA": data, "CORRECTED": corrected, "RESIDUAL": corrected - model, "RESIDUAL_DATA": data - model}
-    if which.upper() not in known:
+    if which.upper() not in COLUMNS:
         raise ValueError(f"{which!r} is none of {', '.join(COLUMNS)}")
-    return known[which.upper()]
+    of = corrected if which.upper() in ("CORRECTED", "RESIDUAL") else data
+    return of - model if which.upper().startswith("RESIDUAL") else of
 
 
 def weigh_by_rms(df: DataFrame, keys: list[str], value: str, flag: Column, about_zero: bool = False, least: int = 2) -> DataFrame:

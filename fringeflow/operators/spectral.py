@@ -176,23 +176,31 @@ def regrid(
 
     regular: the channels are equally spaced, and a channel is found by arithmetic instead of by a search of all.
     """
-    d = df.withColumn("_f", chan_freq)
-    n = F.size("_f")
-
-    def at(i: Column) -> Column:
-        f = F.lit(start) + i * step
-        if regular:
-            width = F.try_divide(F.get("_f", n - 1) - F.get("_f", F.lit(0)), n - 1)
-            guess = F.greatest(F.least(F.floor(F.try_divide(f - F.get("_f", F.lit(0)), width)), n.cast("long")), F.lit(-1)).cast("int")
-            # rounding may put a channel's own frequency one too low or too high
-            k = F.when(F.get("_f", guess + 1) <= f, guess + 1).when(F.get("_f", guess) > f, guess - 1).otherwise(F.coalesce(guess, F.lit(0)))
-        else:
-            k = F.size(F.filter("_f", lambda x: x <= f)) - 1
-        a, b = F.get("_f", k), F.get("_f", k + 1)
-        x, y = F.get(spectrum, k), F.get(spectrum, k + 1)
-        return F.when(a == f, x.cast("double")).when(k >= 0, x + (y - x) * (f - a) / (b - a))
-
-    return d.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(count - 1)), at).alias(spectrum))
+
+    def spread(f_: Column) -> Column:
+        """f_: the channels' frequencies, with their spacing and number, computed once a row."""
+        f0, n = f_["f"], f_["n"]
+
+        def at(i: Column) -> Column:
+            f = F.lit(start) + i * step
+            if regular:
+                guess = F.greatest(F.least(F.floor(F.try_divide(f - F.get(f0, F.lit(0)), f_["w"])), n.cast("long")), F.lit(-1)).cast("int")
+                # rounding may put a channel's own frequency one too low or too high
+                k = F.when(F.get(f0, guess + 1) <= f, guess + 1).when(F.get(f0, guess) > f, guess - 1).otherwise(F.coalesce(guess, F.lit(0)))
+            else:
+                k = F.size(F.filter(f0, lambda x: x <= f)) - 1
+            return held(k, lambda k: between(f, k))
+
+        def between(f: Column, k: Column) -> Column:
+            a, b = F.get(f0, k), F.get(f0, k + 1)
+            x, y = F.get(spectrum, k), F.get(spectrum, k + 1)
+            return F.when(a == f, x.cast("double")).when(k >= 0, x + (y - x) * (f - a) / (b - a))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), at)
+
+    first, last = F.get(chan_freq, F.lit(0)), F.get(chan_freq, F.size(chan_freq) - 1)
+    grid = F.struct(chan_freq.alias("f"), F.try_divide(last - first, F.size(chan_freq) - 1).alias("w"), F.size(chan_freq).alias("n"))
+    return df.select(*keys, held(grid, spread).alias(spectrum))
 
 
 def cvel(df: DataFrame, keys: list[str], velocity_step: float, velocity_start: float, count: int, rest: float, first: float, width: float, spectrum: str = "v") -> DataFrame:

@@ -79,8 +79,8 @@ add("image_gaussian_fit", lambda s, d: rounded(fit.fit_gaussians_2d(_gaussians(s
 
 # --- uv plane ---------------------------------------------------------------------------------------------------------
 _TRI = f"SELECT CAST(cu + i AS BIGINT) AS iu, CAST(cv + j AS BIGINT) AS iv, spw, re, im, weight, greatest(0, 1 - abs(cu + i - u4)) * greatest(0, 1 - abs(cv + j - v4)) AS k FROM (SELECT *, u / 4 AS u4, v / 4 AS v4, round(u / 4) AS cu, round(v / 4) AS cv FROM {CVIS} WHERE scan < 400), range(-1, 2) a(i), range(-1, 2) b(j)"
-add("grid_convolved", lambda s, d: rounded(uvgrid.grid_convolved(cvis(s, d).where("scan < 400"), F.col("u"), F.col("v"), 4.0, ["spw"], F.col("re"), F.col("im"), F.col("weight"), "triangle", 1), digits=4),
-    f"SELECT iu, iv, spw, round(sum(re * k * weight), 4) + 0.0 AS re, round(sum(im * k * weight), 4) + 0.0 AS im, round(sum(k * weight), 4) AS weight FROM ({_TRI}) WHERE k > 0 GROUP BY iu, iv, spw")
+add("grid_convolved", lambda s, d: rounded(uvgrid.grid_convolved(cvis(s, d).where("scan < 400"), F.col("u"), F.col("v"), 4.0, ["spw"], F.col("re"), F.col("im"), F.col("weight"), "triangle", 1), digits=9),
+    f"SELECT iu, iv, spw, round(sum(re * k * weight), 9) + 0.0 AS re, round(sum(im * k * weight), 9) + 0.0 AS im, round(sum(k * weight), 9) AS weight FROM ({_TRI}) WHERE k > 0 GROUP BY iu, iv, spw")
 
 
 def _degridded(s: SparkSession, d: str) -> DataFrame:
