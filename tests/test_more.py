@@ -33,7 +33,7 @@ def test_groups_with_null_keys(spark):
     assert sum(r.quack for r in flag.quack(df, "t", ["k"], 1.0).collect()) == 2
 
 
-def test_errors():
+def test_errors(spark):
     for call in (
         lambda: select.antennas("3&&&&7"), lambda: select.parse_channels("5~3", 10), lambda: select.parse_stokes("IZ"), lambda: headers.mode("x"), lambda: columns.min_match("s", ("sum", "stddev")),
         lambda: spectral.smoothing_kernel("cone", 3), lambda: flag.value_of("ABS(XX)ABS(YY)"), lambda: fit.parse_estimates("1, 2"), lambda: fit.parse_baselines("0, spline, 1, 3, 2"), lambda: asdm.read(None, "", "Nothing"),
