@@ -323,3 +323,72 @@ add("statistic_plug_in", lambda s, d: rounded(extend.plugged(vis(s, d), ["spw"],
 add("parallel_algorithm", lambda s, d: extend.dealt(s, _Cubes()), "SELECT i AS item, i * i * i AS cube FROM range(12) r(i)")
 add("task_decorator", lambda s, d: _counted(vis(s, d)), f"SELECT spw, count(*) AS n FROM {VIS} WHERE value > 50 GROUP BY spw")
 add("table_function", lambda s, d: extend.expanded(table(s, d, "part"), ["p_partkey"], "p_type", " ", "word"), "SELECT p_partkey, CAST(i AS INTEGER) AS place, string_split(p_type, ' ')[i + 1] AS word FROM part, range(5) r(i) WHERE i < len(string_split(p_type, ' '))")
+
+
+# --- order, texts, versions -------------------------------------------------------------------------------------------
+def _chunk_order(s: SparkSession, d: str) -> DataFrame:
+    """Rows of each partition in chunk order: how often a row comes before its predecessor, and in how many partitions a chunk is."""
+    from pyspark.sql import Window
+
+    v = tables.in_chunks(vis(s, d).select("spw", "ant", "tick"), ["spw", "ant", "tick"], 5)
+    v = v.withColumn("part", F.spark_partition_id()).withColumn("n", F.monotonically_increasing_id())
+    key = F.struct("spw", "ant", "tick")
+    w = Window.partitionBy("part").orderBy("n")
+    back = v.withColumn("back", F.lag(key).over(w) > key)
+    chunks = v.groupBy("spw", "ant").agg(F.count_distinct("part").alias("parts")).agg(F.max("parts").alias("parts"))
+    return back.agg(F.sum(F.coalesce("back", F.lit(False)).cast("long")).alias("out_of_order"), F.count("*").alias("n")).crossJoin(chunks)
+
+
+def _flag_versions(s: SparkSession, d: str) -> DataFrame:
+    from ..operators.flag import Versions
+
+    v = Versions(s, _place(s, "flags"))
+    df = vis(s, d).select("row_id", (F.col("value") > 70).alias("flag"))
+    v.save(df, "first")
+    v.save(df.withColumn("flag", F.col("row_id") % 3 == 0), "second")
+    v.rename("second", "third")
+    v.save(df, "fourth")
+    v.delete("fourth")
+    out = v.restore(df, "third", "or")
+    return out.withColumn("left_over", F.lit(",".join(v.names())))
+
+
+def _library(s: SparkSession, d: str) -> DataFrame:
+    rows = calibrate.parse_library("caltable='a.G' calwt=True tinterp='nearest' spwmap=[0, 0, 1] # gains\n\ncaltable=\"b.B\", field='3C'\n")
+    return s.createDataFrame([(r["caltable"], r.get("tinterp", "linear"), ",".join(map(str, r.get("spwmap", [-1]))), bool(r.get("calwt", False))) for r in rows], "caltable string, tinterp string, spwmap string, calwt boolean")
+
+
+def _scans(s: SparkSession, d: str) -> DataFrame:
+    found = tables.parse_scans("b0:1,3~5;b1:*;b0:9")
+    return s.createDataFrame([(b, x) for b, ids in found.items() for x in (ids or [None])], "block string, scan long")
+
+
+def _units(s: SparkSession, d: str) -> DataFrame:
+    from ..functions import units
+
+    rows = [(*units.parse("5.5 km/s"), units.compare("3m", "2cm"), units.compare("3m", "2s"), units.factor("kg.m2/s2", "J"))]
+    return s.createDataFrame(rows, "value double, unit string, alike boolean, unlike boolean, factor double")
+
+
+add("time_sort", lambda s, d: tables.in_time_order(fact(s, d), "t", "scan", "spw", "part", "ant").limit(40).select("t", "scan", "spw"), f"SELECT t, scan, spw FROM {FACT} ORDER BY t, scan, spw, part, ant LIMIT 40")
+add("chunk_sort", _chunk_order, f"SELECT 0::BIGINT AS out_of_order, count(*) AS n, 1::BIGINT AS parts FROM {VIS}")
+add("flag_version_files", _flag_versions, f"SELECT row_id, value > 70 OR row_id % 3 = 0 AS flag, 'first,third' AS left_over FROM {VIS}")
+add("calibration_library", _library, "SELECT * FROM (VALUES ('a.G', 'nearest', '0,0,1', true), ('b.B', 'linear', '-1', false)) t(caltable, tinterp, spwmap, calwt)")
+add("archive_scan_list", _scans, "SELECT * FROM (VALUES ('b0', 1::BIGINT), ('b0', 3), ('b0', 4), ('b0', 5), ('b0', 9), ('b1', NULL)) t(block, scan)")
+add("unit_texts", _units, "SELECT 5.5::DOUBLE AS value, 'km/s' AS unit, true AS alike, false AS unlike, 1.0::DOUBLE AS factor")
+add("multi_set_iteration", lambda s, d: extend.for_each_group(tables.reduce(DataFrame.unionByName, [vis(s, d).where(F.col("k") % 3 == i).select(F.lit(i).alias("ant"), "value") for i in range(3)]).withColumn("ant", F.col("ant").cast("long")), ["ant"], _spread, "ant long, n long, spread double").transform(rounded),
+    f"SELECT CAST(k % 3 AS BIGINT) AS ant, count(*) AS n, round(max(value) - min(value), 6) AS spread FROM {VIS} GROUP BY 1")
+add("value_providers", lambda s, d: rounded((lambda t: _complex(s, d).select("scan", "spw", *(t(a).alias(a) for a in ("amplitude", "phase", "real", "imaginary", "uvrange", "flag", "weight"))))(_provider)),
+    f"SELECT scan, spw, round(sqrt(re * re + im * im), 6) AS amplitude, round(atan2(im, re), 6) AS phase, round(re, 6) AS real, round(im, 6) AS imaginary, round(sqrt(u * u + v * v), 6) AS uvrange, flag::INT::DOUBLE AS flag, weight FROM (SELECT *, value / 1000 AS re, (weight - 25) * 2 AS im, weight - 25 AS u, ant % 40 - 20.0::DOUBLE AS v FROM {FACT})")
+
+
+def _complex(s: SparkSession, d: str) -> DataFrame:
+    from .statistics import cvis
+
+    return cvis(s, d)
+
+
+def _provider(axis: str):
+    from ..operators import stats
+
+    return stats.transform(axis)
