@@ -54,5 +54,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.col("n_chars"))
     for _, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, docs = docs, scratch.save(stage(spark, docs, sf_dir))
+        scratch.drop(before)
+    out = STAGES[-1][1](spark, docs, sf_dir)  # the store is written
+    scratch.drop(docs)
+    return out

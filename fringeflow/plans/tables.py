@@ -40,18 +40,13 @@ def _line_list(s: SparkSession, d: str) -> DataFrame:
 
 
 def _sqlite(s: SparkSession, d: str) -> DataFrame:
-    import os
-    import tempfile
-
-    # SQLite writes plain files only: this database is small and local, as its readers' path has to be
-    path = os.path.join(tempfile.mkdtemp(prefix="lines-"), "lines.db")
-    rows = [tuple(r) for r in table(s, d, "part").where("p_partkey <= 200").select("p_partkey", "p_brand", "p_retailprice").collect()]
-    with sqlite3.connect(path) as db:
-        db.execute("CREATE TABLE main (line_id INTEGER, species TEXT, frequency REAL)")
-        db.executemany("INSERT INTO main VALUES (?, ?, ?)", rows)
-    s.dataSource.register(sqlite.SqliteTable)
-    got = s.read.format("sqlitetable").option("path", path).option("table", "main").load()
-    return got.where("frequency > 905").groupBy("species").agg(F.count("*").alias("n"))
+    path = _place(s, "lines")
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE main (line_id INTEGER, species TEXT, frequency REAL)")
+    db.executemany("INSERT INTO main VALUES (?, ?, ?)", [tuple(r) for r in table(s, d, "part").where("p_partkey <= 200").select("p_partkey", "p_brand", "p_retailprice").collect()])
+    db.commit()
+    fitstables.write_bytes(s, f"{path}/lines.db", db.serialize())
+    return sqlite.read(s, path, "main", "species string, frequency double").where("frequency > 905").groupBy("species").agg(F.count("*").alias("n"))
 
 
 def _archive(s: SparkSession, d: str) -> DataFrame:

@@ -1,12 +1,16 @@
-"""SQLite tables as a Python data source: `spark.read.format("sqlitetable").option("path", p).option("table", t).load()`.
+"""SQLite tables. read() takes database files from any store that Spark reads, one task a file, held in its memory.
 
-Each task reads a range of row ids; the file has to be on a path that all executors see.
+The Python data source `spark.read.format("sqlitetable").option("path", p).option("table", t).load()` reads one file by
+ranges of row ids, a task each; that file has to be on a path that all executors see.
 """
 
 from __future__ import annotations
 
 import sqlite3
+from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 KINDS = {"INT": "bigint", "CHAR": "string", "TEXT": "string", "CLOB": "string", "REAL": "double", "FLOA": "double", "DOUB": "double", "BLOB": "binary"}
@@ -20,6 +24,25 @@ def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
+def read(spark: SparkSession, paths: str | list[str], table: str, schema: str, batch: int = 50_000) -> DataFrame:
+    """The columns of the schema of a table of each database file."""
+    columns = [c.strip().split()[0] for c in schema.split(",")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for raw in frame["content"]:
+                db = sqlite3.connect(":memory:")
+                try:
+                    db.deserialize(bytes(raw))
+                    found = db.execute(f"SELECT {', '.join(map(_quoted, columns))} FROM {_quoted(table)}")
+                    while rows := found.fetchmany(batch):
+                        yield pd.DataFrame(rows, columns=columns)
+                finally:
+                    db.close()
+
+    return spark.read.format("binaryFile").load(paths).select("content").mapInPandas(run, schema)
+
+
 class _Range(InputPartition):
     def __init__(self, lo: int, hi: int):
         self.lo, self.hi = lo, hi

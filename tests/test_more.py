@@ -2,6 +2,7 @@
 
 import logging
 import math
+import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from fringeflow import session
 from fringeflow.functions import columns
 from fringeflow.operators import average, calibrate, extend, fit, flag, image, search, select, spectral, stats, uvgrid
 from fringeflow.plans import sqlshim
-from fringeflow.sources import asdm, filler, headers, tables
+from fringeflow.sources import asdm, filler, headers, sqlite, tables
 from fringeflow.streaming import windows
 
 
@@ -99,6 +100,17 @@ def test_idle_batches(spark, tmp_path):
     assert got[:2] == [("a", 9000.0, 9020.0, 3, 3.0), ("a", 9500.0, 9510.0, 2, 2.0)] and set(got[2:]) <= {("b", 9005.0, 9005.0, 1, 2.0)}
 
 
+def test_database_by_ranges(spark, tmp_path):
+    with sqlite3.connect(tmp_path / "a.db") as db:
+        db.execute("CREATE TABLE t (a INTEGER, b TEXT, c REAL)")
+        db.executemany("INSERT INTO t VALUES (?, ?, ?)", [(i, f"x{i}", i / 2) for i in range(50)])
+        db.execute("CREATE TABLE empty (a INTEGER)")
+    spark.dataSource.register(sqlite.SqliteTable)
+    source = spark.read.format("sqlitetable").option("path", str(tmp_path / "a.db")).option("slices", "4")
+    assert sorted(map(tuple, source.option("table", "t").load().collect())) == [(i, f"x{i}", i / 2) for i in range(50)]
+    assert source.option("table", "empty").load().count() == 0
+
+
 def test_fillers_and_sinks(spark):
     class Twos:
         schema = "p int, x double"
