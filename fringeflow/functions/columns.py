@@ -329,3 +329,35 @@ def precipitable_water(vapour: Column, temperature: Column, scale_height: float
 def transmission(opacity: Column, elevation_angle: Column) -> Column:
     """Share of a signal that passes a flat atmosphere of a zenith opacity."""
     return F.exp(-opacity / F.sin(elevation_angle))
+
+
+# --- frames of velocity, ephemerides ------------------------------------------------------------------------------
+# fixed values: the sun's motion against the local standard of rest, m/s towards a J2000 direction (radians)
+SUN_MOTION = 20_000.0
+SUN_APEX = (math.radians(270.9595417), math.radians(30.0046667))
+
+
+def rest_velocity(lon: Column, lat: Column) -> Column:
+    """How fast a direction recedes from the local standard of rest less how fast it recedes from the sun, m/s."""
+    a, d = SUN_APEX
+    return SUN_MOTION * (F.sin(lat) * math.sin(d) + F.cos(lat) * math.cos(d) * F.cos(lon - a))
+
+
+def reframed(freq: Column, speed: Column) -> Column:
+    """A frequency in a frame that recedes from its source faster by a speed (m/s), relativistic."""
+    b = speed / C_M_S
+    return freq * F.sqrt((1 - b) / (1 + b))
+
+
+def geocentric(ra: Column, dec: Column, distance: Column, sidereal: Column, latitude: float, radius: float) -> tuple[Column, Column]:
+    """The direction from the earth's centre of a body seen from a place on it: radians, distance and radius in the same unit."""
+    c, s = radius * math.cos(latitude), radius * math.sin(latitude)
+    x = distance * F.cos(dec) * F.cos(ra) + c * F.cos(sidereal)
+    y = distance * F.cos(dec) * F.sin(ra) + c * F.sin(sidereal)
+    z = distance * F.sin(dec) + s
+    return F.pmod(F.atan2(y, x), F.lit(2 * math.pi)), F.atan2(z, F.hypot(x, y))
+
+
+def faraday_rotation(electrons: Column, field: Column, freq: Column) -> Column:
+    """Turn of a polarization angle (radians) by a column of electrons (1e16 m^-2) in a field along the sight (tesla)."""
+    return 2.631e-13 * electrons * 1e16 * field * F.pow(C_M_S / freq, 2)

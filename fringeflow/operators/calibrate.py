@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import Complex
+from ..functions.columns import C_M_S, Complex, polynomial
 
 MOST_COMPONENTS = 1000
 
@@ -440,3 +440,42 @@ def sky_gains(on: DataFrame, keys: list[str], time_col: str, value: str, interva
 def noise(vis: DataFrame, sigma: float, seed: int = 1) -> DataFrame:
     """Simulated thermal noise: independent normal terms on the real and imaginary parts, repeatable for the same partitions."""
     return vis.withColumn("re", F.col("re") + sigma * F.randn(seed)).withColumn("im", F.col("im") + sigma * F.randn(seed + 1))
+
+
+# --- terms in closed form -----------------------------------------------------------------------------------------
+def gain_curve(elevation_angle: Column, coefficients: list[float]) -> Column:
+    """Voltage gain by a polynomial of the zenith angle in degrees."""
+    return polynomial(90.0 - F.degrees(elevation_angle), coefficients)
+
+
+def opacity_gain(opacity: Column, elevation_angle: Column) -> Column:
+    """Voltage gain that a flat atmosphere of a zenith opacity leaves."""
+    return F.exp(-0.5 * opacity / F.sin(elevation_angle))
+
+
+def tsys_gain(tsys: Column) -> Column:
+    """Gain that makes correlation coefficients temperatures when divided out: one over the root."""
+    return F.when(tsys > 0, 1 / F.sqrt(tsys))
+
+
+def switched_power(total: Column, difference: Column, calibration: Column) -> tuple[Column, Column]:
+    """Gain and system temperature from the sum and the difference of powers with a noise source on and off."""
+    gain = F.when((difference > 0) & (calibration > 0), F.sqrt(difference / calibration))
+    return gain, total * calibration / (2 * difference)
+
+
+def radiometer_gains(df: DataFrame, keys: list[str], channels: list[str], coefficients: list[float], freq: float) -> DataFrame:
+    """Phase gains from water vapour radiometers: each channel's change of temperature from its key's mean, times how much
+    path (m) a kelvin of it is, summed over the channels and turned into phase at a frequency (Hz)."""
+    means = df.groupBy(*keys).agg(*(F.avg(c).alias(f"_{c}") for c in channels))
+    j = df.join(means, keys)
+    path = reduce(lambda a, b: a + b, (k * (F.col(c) - F.col(f"_{c}")) for c, k in zip(channels, coefficients, strict=True)))
+    phase = -2 * math.pi * freq / C_M_S * path
+    return j.withColumn("path", path).withColumn("g_re", F.cos(phase)).withColumn("g_im", F.sin(phase)).drop(*(f"_{c}" for c in channels))
+
+
+def plot_points(cal: DataFrame, x: str, y: str, series: list[str], flagged: bool = False) -> DataFrame:
+    """A calibration table as points of a plot: x a column, y amp, phase (degrees), real, imag or a column, by series."""
+    axis = {"amp": F.hypot("g_re", "g_im"), "phase": F.degrees(F.atan2("g_im", "g_re")), "real": F.col("g_re"), "imag": F.col("g_im")}.get(y)
+    d = cal if flagged else cal.where(~F.col("g_flag"))
+    return d.select(*series, F.col(x).alias("x"), (axis if axis is not None else F.col(y)).alias("y"))

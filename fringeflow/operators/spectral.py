@@ -220,3 +220,16 @@ def combine_windows(df: DataFrame, keys: list[str], freq: str, value: str, weigh
     chan = F.round((F.col(freq) - start) / step).cast("int")
     d = df.withColumn("chan", chan).where((F.col("chan") >= 0) & (F.col("chan") < count))
     return d.groupBy(*keys, "chan").agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("value"), F.sum(weight).alias("weight"))
+
+
+def scaled_between(v: Column, factors: list[tuple[float, float]]) -> Column:
+    """Spectra times a factor known at some channels (an atmosphere's transmission, say), linear between these and held beyond."""
+    nodes = sorted(factors)
+
+    def at(x: Column, i: Column) -> Column:
+        f = F.lit(float(nodes[0][1]))
+        for (a, p), (b, q) in zip(nodes, nodes[1:]):
+            f = F.when(i > a, F.when(i >= b, F.lit(float(q))).otherwise(p + (q - p) * (i - a) / (b - a))).otherwise(f)
+        return x * f
+
+    return F.transform(v, at)

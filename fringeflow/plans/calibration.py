@@ -7,9 +7,10 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions.columns import Complex
-from ..operators import calibrate, fit
-from .base import VIS, catalog, fact, vis
+from ..operators import calibrate, fit, spectral
+from .base import FACT, LONG, VIS, catalog, fact, spectra, vis
 from .registry import add, rounded
 from .statistics import CVIS, cvis
 
@@ -196,3 +197,39 @@ def _baselined(s: SparkSession, d: str) -> DataFrame:
 
 add("sd_baseline", _baselined, "SELECT p AS id, CAST(i AS INTEGER) AS chan, CASE WHEN i BETWEEN 40 AND 44 THEN 50.0::DOUBLE + p ELSE 0.0 END AS value FROM range(6) a(p), range(100) b(i)")
 add("line_catalogue_fit", lambda s, d: rounded(fit.line_fit(catalog(s, d), ["species"], F.col("el").cast("double"), F.col("frequency"))), "SELECT p_brand AS species, round(regr_slope(p_retailprice, p_size), 6) AS slope, round(regr_intercept(p_retailprice, p_size), 6) AS intercept, round(regr_r2(p_retailprice, p_size), 6) AS r2, count(*) AS n FROM part GROUP BY 1")
+
+
+# --- terms in closed form -------------------------------------------------------------------------------------------
+_TERMS = f"(SELECT scan, spw, value, weight, ant, radians(20 + weight) AS el FROM {FACT})"
+
+
+def _terms(s: SparkSession, d: str) -> DataFrame:
+    return fact(s, d).withColumn("el", F.radians(20 + F.col("weight")))
+
+
+add("gain_curves", lambda s, d: rounded(_terms(s, d).select("scan", "spw", calibrate.gain_curve(F.col("el"), [1.0, -0.002, 0.0001]).alias("curve"), calibrate.opacity_gain(F.lit(0.08), F.col("el")).alias("opacity"), calibrate.tsys_gain(F.col("weight") - 5).alias("tsys"))),
+    f"SELECT scan, spw, round(1 - 0.002 * (90 - degrees(el)) + 0.0001 * pow(90 - degrees(el), 2), 6) AS curve, round(exp(-0.04 / sin(el)), 6) AS opacity, round(CASE WHEN weight > 5 THEN 1 / sqrt(weight - 5) END, 6) AS tsys FROM {_TERMS}")
+add("switched_power", lambda s, d: rounded((lambda p: fact(s, d).select("scan", "spw", p[0].alias("gain"), (p[1] / math.pi).alias("tsys")))(calibrate.switched_power(F.col("value") / 1000, F.col("weight") / 10, F.lit(2.5)))), f"SELECT scan, spw, round(sqrt(weight / 10 / 2.5), 6) AS gain, round(value / 1000 * 2.5 / (2 * weight / 10) / pi(), 6) AS tsys FROM {FACT}")
+add("radiometer_gains", lambda s, d: rounded(calibrate.radiometer_gains(fact(s, d).select("scan", "spw", "ant", "part", F.col("weight").alias("t1"), (F.col("value") / 1000).alias("t2")), ["ant"], ["t1", "t2"], [1e-4, -2e-5], 9e10).select("scan", "spw", "part", (F.col("path") * 1000).alias("path"), "g_re", "g_im"), digits=5),
+    f"WITH p AS (SELECT scan, spw, part, 1e-4 * (weight - avg(weight) OVER (PARTITION BY ant)) - 2e-5 * (value / 1000 - avg(value / 1000) OVER (PARTITION BY ant)) AS p FROM {FACT}) SELECT scan, spw, part, round(p * 1000, 5) + 0.0 AS path, round(cos(-2 * pi() * 9e10 / 299792458.0 * p), 5) + 0.0 AS g_re, round(sin(-2 * pi() * 9e10 / 299792458.0 * p), 5) + 0.0 AS g_im FROM p")
+add("faraday_rotation", lambda s, d: rounded(fact(s, d).select("scan", "spw", C.faraday_rotation(F.col("weight"), F.lit(4e-5), F.col("spw") * 1.5e8).alias("turn"))), f"SELECT scan, spw, round(2.631e-13 * weight * 1e16 * 4e-5 * pow(299792458.0 / (spw * 1.5e8), 2), 6) AS turn FROM {FACT}")
+
+
+def _plotted(s: SparkSession, d: str) -> DataFrame:
+    g = vis(s, d).groupBy("spw", F.col("k").alias("ant")).agg((F.sum("value") / 100).alias("g_re"), (F.avg("value") / 10).alias("g_im")).withColumn("g_flag", F.col("ant") % 4 == 0)
+    return rounded(calibrate.plot_points(g, "ant", "amp", ["spw"]).union(calibrate.plot_points(g, "ant", "phase", ["spw"])).withColumn("x", F.col("x").cast("long")))
+
+
+add("plot_points", _plotted, f"WITH g AS (SELECT spw, k::BIGINT AS x, sum(value) / 100 AS a, avg(value) / 10 AS b FROM {VIS} WHERE k % 4 > 0 GROUP BY 1, 2) SELECT spw, x, round(sqrt(a * a + b * b), 6) AS y FROM g UNION ALL SELECT spw, x, round(degrees(atan2(b, a)), 6) FROM g")
+add("velocity_frames", lambda s, d: rounded(_sky_rows(s, d).select("scan", "spw", (C.rest_velocity(F.col("lon"), F.col("lat")) / 1000).alias("v"), (C.reframed(F.lit(1.0e6), C.rest_velocity(F.col("lon"), F.col("lat")))).alias("f")), digits=5),
+    f"WITH v AS (SELECT scan, spw, 20000 * (sin(lat) * sin(radians(30.0046667)) + cos(lat) * cos(radians(30.0046667)) * cos(lon - radians(270.9595417))) AS v FROM (SELECT scan, spw, radians(ant % 360) AS lon, radians(weight) AS lat FROM {FACT})) SELECT scan, spw, round(v / 1000, 5) + 0.0 AS v, round(1e6 * sqrt((1 - v / 299792458.0) / (1 + v / 299792458.0)), 5) AS f FROM v")
+add("geocentric_positions", lambda s, d: rounded((lambda p: _sky_rows(s, d).select("scan", "spw", p[0].alias("ra"), p[1].alias("dec")))(C.geocentric(F.col("lon"), F.col("lat"), F.col("spw") * 60.0, F.lit(1.1), 0.6, 1.0))),
+    f"WITH q AS (SELECT scan, spw, spw * 60.0 * cos(lat) * cos(lon) + cos(0.6) * cos(1.1) AS x, spw * 60.0 * cos(lat) * sin(lon) + cos(0.6) * sin(1.1) AS y, spw * 60.0 * sin(lat) + sin(0.6) AS z FROM (SELECT scan, spw, radians(ant % 360) AS lon, radians(weight) AS lat FROM {FACT})) SELECT scan, spw, round(atan2(y, x) - floor(atan2(y, x) / (2 * pi())) * 2 * pi(), 6) AS ra, round(atan2(z, sqrt(x * x + y * y)), 6) AS dec FROM q")
+
+
+def _sky_rows(s: SparkSession, d: str) -> DataFrame:
+    return fact(s, d).select("scan", "spw", F.radians(F.col("ant") % 360).alias("lon"), F.radians(F.col("weight")).alias("lat"))
+
+
+add("atmosphere_factors", lambda s, d: rounded(spectra(s, d).select("vec_id", F.posexplode(spectral.scaled_between(F.col("v"), [(8, 1.2), (24, 1.6), (40, 1.1)])).alias("chan", "value"))),
+    f"SELECT vec_id, CAST(chan AS INTEGER) AS chan, round(value * CASE WHEN chan <= 8 THEN 1.2 WHEN chan < 24 THEN 1.2 + 0.4 * (chan - 8) / 16 WHEN chan < 40 THEN 1.6 - 0.5 * (chan - 24) / 16 ELSE 1.1 END, 6) + 0.0 AS value FROM {LONG}")
