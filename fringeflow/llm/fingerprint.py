@@ -25,6 +25,7 @@ TOGETHER = 16  # slots of which one row takes care
 _random = random.Random(7)
 SALTS = [_random.getrandbits(62) for _ in range(TOGETHER)]
 BLANK = r"[\x20\x09-\x0D]+"
+CHARACTERS = 8_000_000  # of the texts of one task
 
 
 def signatures(terms: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,54 +67,83 @@ def term_rows(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     return words.groupBy(*keys, "h").agg(F.count("*").cast("int").alias("n"))
 
 
-def neighbours(ids: DataFrame, bits: int = 12) -> DataFrame:
-    """(doc_id, next_id, prev_id) in ascending order, the last followed by the first.
+KEY = ["k_known", "k_id", "k_text"]  # whether there is an id, the id, a hash of the text
 
-    Ids are ordered inside blocks of 2**bits values, and then the first and last id of each block.
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.isNotNull().alias("k_known"), F.coalesce(doc_id, F.lit(0)).cast("long").alias("k_id"), F.xxhash64(text).alias("k_text"), text.alias("text"))
+
+
+def neighbours(ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds next and prev (structs of KEY and n) to rows (KEY, n, c), unique and in ascending order, the last one followed by the first.
+
+    Rows are dealt by ranges of their order and saved; inside a range a window tells, and of every range the first and
+    last rows are carried to its neighbours: a table of one row a range, however the ids lie.
     """
-    b = ids.select("doc_id", F.shiftright("doc_id", bits).alias("_b"))
-    w = Window.partitionBy("_b").orderBy("doc_id")
-    inner = b.withColumn("next_id", F.lead("doc_id").over(w)).withColumn("prev_id", F.lag("doc_id").over(w))
-    blocks = b.groupBy("_b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    order, whole = Window.orderBy("_b"), Window.partitionBy()
-    blocks = blocks.select(
-        "_b",
-        F.coalesce(F.lead("lo").over(order), F.min("lo").over(whole)).alias("_after"),
-        F.coalesce(F.lag("hi").over(order), F.max("hi").over(whole)).alias("_before"),
-    )
-    return inner.join(blocks, "_b").select("doc_id", F.coalesce("next_id", "_after").alias("next_id"), F.coalesce("prev_id", "_before").alias("prev_id"))
-
-
-def _measured(docs: DataFrame) -> DataFrame:
-    """doc_id, next_id, n_chars, edited_sha256, own and edit (signatures) of every id of docs."""
-    texts = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
-    sizes = texts.select("doc_id", F.length("text").alias("n"))
-    near = neighbours(sizes.select("doc_id"))
-    asked = near.join(sizes.select(F.col("doc_id").alias("prev_id"), F.expr("n div 2").cast("int").alias("take")), "prev_id").select("doc_id", "prev_id", "take")
-    heads = texts.join(asked, "doc_id").select(F.col("prev_id").alias("doc_id"), F.col("doc_id").alias("next_id"), F.expr("substring(text, 1, take)").alias("head"))
-    both = texts.join(heads, "doc_id").select(
-        "doc_id", "next_id", "text", F.expr("concat(substring(text, 1, length(text) - cast(length(text) div 2 as int)), head)").alias("edited")
+    me = F.struct(*KEY, "n")
+    dealt = scratch.save(ids.repartitionByRange(*KEY).withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("part").orderBy(*KEY)
+    inner = dealt.withColumn("next", F.lead(me).over(inside)).withColumn("prev", F.lag(me).over(inside))
+    ends = dealt.groupBy("part").agg(F.min(me).alias("lo"), F.max(me).alias("hi"))
+    order, whole = Window.orderBy("part"), Window.partitionBy()
+    ends = ends.select(
+        "part",
+        F.coalesce(F.lead("lo").over(order), F.min("lo").over(whole)).alias("after"),
+        F.coalesce(F.lag("hi").over(order), F.max("hi").over(whole)).alias("before"),
     )
-    told = both.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
-    parts = both.select("doc_id", F.posexplode(F.array("text", "edited")).alias("kind", "t"))
-    sig = signatures(term_rows(parts, ["doc_id", "kind"], "t"), ["doc_id", "kind"])
-    pair = sig.groupBy("doc_id").agg(F.max(F.when(F.col("kind") == 0, F.col("sig"))).alias("own"), F.max(F.when(F.col("kind") == 1, F.col("sig"))).alias("edit"))
-    return told.join(pair, "doc_id", "left")
+    return inner.join(F.broadcast(ends), "part").select(*KEY, "n", "c", F.coalesce("next", "after").alias("next"), F.coalesce("prev", "before").alias("prev"))
+
+
+def _measured(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """KEY, c (equal rows), next, n_chars, own (signature), and of the last of the equal rows sha and edit, of the others
+    inner_sha and inner_edit."""
+    texts = _keyed(docs)
+    ids = texts.select(*KEY, F.length("text").alias("n")).groupBy(*KEY).agg(F.first("n").alias("n"), F.count("*").alias("c"))
+    near = scratch.save(neighbours(ids, scratch))
+    chars = near.agg(F.sum("n")).first()[0] or 0
+    # what a task holds grows with its texts' words, so tasks are cut by the number of characters
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + chars // CHARACTERS)
+    # the texts are shuffled once; equal rows are one from here on
+    one = F.row_number().over(Window.partitionBy(*KEY).orderBy("k_id"))
+    rows = texts.repartition(parts, *KEY).withColumn("copy", one).where("copy = 1").drop("copy").join(near, KEY)
+    heads = rows.select(*(F.col(f"prev.{k}").alias(k) for k in KEY), F.expr("substring(text, 1, cast(prev.n div 2 as int))").alias("head"))
+    both = rows.join(heads.repartition(parts, *KEY), KEY).withColumn("half", F.expr("cast(n div 2 as int)"))
+    kept = F.expr("substring(text, 1, n - half)")
+    # of rows that repeat each is followed by the next copy, and the last copy by the next text
+    inner = F.when(F.col("c") > 1, F.concat(kept, F.expr("substring(text, 1, half)")))
+    both = both.select(*KEY, "c", "next", "n", "text", F.concat(kept, F.col("head")).alias("edited"), inner.alias("inner"))
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    told = both.select(*KEY, "c", "next", F.col("n").cast("long").alias("n_chars"), sha("edited").alias("sha"), sha("inner").alias("inner_sha"))
+    parted = both.select(*KEY, F.posexplode(F.array("text", "edited", "inner")).alias("kind", "t")).where("t is not null")
+    sig = signatures(term_rows(parted, [*KEY, "kind"], "t"), [*KEY, "kind"])
+    pair = sig.groupBy(*KEY).agg(*(F.max(F.when(F.col("kind") == i, F.col("sig"))).alias(n) for i, n in enumerate(("own", "edit", "inner_edit"))))
+    return told.join(pair, KEY, "left")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every id of docs.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of docs.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many, or all, of the next
-    document's, the last document being followed by the first. A null text is empty; its fingerprint is the empty
-    string. Rows that repeat an id are one document, with the greatest of their texts. Rows without an id are left out.
+    document's, in ascending order of ids, the last document being followed by the first; a single document follows
+    itself. A null text is empty; its fingerprint is the empty string. Rows without an id come first; rows that share an
+    id follow one another by a hash of their texts, and equal rows each other. An empty table gives no rows. Other
+    columns are not read.
     """
     # saved once, with what the texts are still needed for: it is read for a document and for the one before it
     scratch = Scratch(docs.sparkSession, "fingerprints")
-    rows = scratch.save(_measured(docs))
+    rows = scratch.save(_measured(docs, scratch))
     scratch.tidy()  # the shuffled texts
-    following = rows.select(F.col("doc_id").alias("next_id"), F.col("own").alias("following"))
-    return rows.join(following, "next_id", "left").select(
-        "doc_id", "n_chars", "edited_sha256", _hex(F.col("own")).alias("fingerprint"), _hex(F.col("edit")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edit")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),
-    )
+    following = rows.select(*(F.col(c).alias("n_" + c) for c in KEY), F.col("own").alias("following"))
+    met = rows.select("*", *(F.col(f"next.{c}").alias("n_" + c) for c in KEY)).join(following, ["n_" + c for c in KEY], "left")
+
+    def shown(sha: str, edit: str, near_next: Column) -> tuple:
+        return (
+            F.when(F.col("k_known"), F.col("k_id")).alias("doc_id"), "n_chars", F.col(sha).alias("edited_sha256"), _hex(F.col("own")).alias("fingerprint"),
+            _hex(F.col(edit)).alias("edited_fingerprint"), likeness(F.col("own"), F.col(edit)).alias("near_edited"), near_next.alias("near_next"),
+        )
+
+    last = met.select(*shown("sha", "edit", likeness(F.col("own"), F.col("following"))))
+    others = rows.where("c > 1").withColumn("again", F.explode(F.sequence(F.lit(2), F.col("c").cast("int"))))
+    return last.union(others.select(*shown("inner_sha", "inner_edit", F.lit(1.0))))
