@@ -164,7 +164,7 @@ class Encoder:
             step = np.arange(int(k.sum()))
             line[step + np.repeat(np.arange(len(some)), k)] = lower[step + np.repeat(start[some] - (np.cumsum(k) - k), k)]
             line[np.cumsum(k + 1)[LINE - 1 :: LINE] - 1] = 0x0A
-            lines = line.tobytes().decode("latin-1").translate(_SPELLING).split("\n")
+            lines = _SPELLING[line].tobytes().decode("utf-16-le").split("\n")
             ids = np.array([x for f in self.plain.encode_batch_fast(lines, add_special_tokens=False) for x in f.ids], np.uint32)
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(some):
@@ -183,19 +183,31 @@ class Encoder:
             out[np.repeat(at[which] - (np.cumsum(k) - k), k) + np.arange(len(ids))] = ids
         return out, sizes
 
-    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after another, and their number."""
+    def encode(self, data: np.ndarray, offs: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and their number; after each text the end id, if there is one."""
+        ids, sizes, done = self._ids(data, offs, end_id)
+        if end_id is None or done:
+            return ids, sizes
+        sizes = sizes + 1
+        out = np.full(int(sizes.sum()), end_id, np.uint32)
+        body = np.ones(len(out), bool)
+        body[np.cumsum(sizes) - 1] = False
+        out[body] = ids
+        return out, sizes
+
+    def _ids(self, data: np.ndarray, offs: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Ids and their number, and whether the end ids are among them: they are where every text has a word."""
         raw = data.tobytes()
         if b"<|" in raw:
             o = offs.tolist()
             found = [e.ids for e in self.full.encode_batch([raw[a:b].decode("utf-8", "replace") for a, b in zip(o, o[1:])], add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            return np.fromiter((x for y in found for x in y), np.uint32, int(sizes.sum())), sizes
+            return np.fromiter((x for y in found for x in y), np.uint32, int(sizes.sum())), sizes, False
         if self.known > 1 << (TABLE_BITS - 1) or len(self.flat.values) + len(self.pool.values) // 4 > MOST_HELD:
             self.reset()
         start, end, counts = T.bounds(data, offs)
         if not len(start):
-            return np.zeros(0, np.uint32), np.zeros(len(counts), np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(counts), np.int64), False
         last = data[end - 1]
         before = data[np.maximum(end - 2, 0)]
         # before the mark an ASCII letter or digit, or a letter of two bytes, the first 0xC3 (0x97 and 0xB7 are signs)
@@ -204,15 +216,25 @@ class Encoder:
         found = self.ranks(raw, T.Bytes(data), start, end - cut)
         marks = np.where(cut, np.where(last == 0x2E, self.marks["."], self.marks[","]), 0).astype(np.uint32)
         at = self.at.values
-        lens = at[found + 1] - at[found]
-        # a place after each word's ids for its mark, where it has one
-        total = np.cumsum(lens + cut)
-        where = np.repeat(at[found] - (total - lens - cut), lens + cut)
+        of = np.concatenate(([0], np.cumsum(counts)))
+        ended = end_id is not None and bool(counts.all())
+        # places after each word's ids for its mark and for the end id, where it has them
+        more = cut.astype(np.int64)
+        if ended:
+            more[of[1:] - 1] += 1
+        lens = at[found + 1] - at[found] + more
+        total = np.cumsum(lens)
+        where = np.repeat(at[found] - (total - lens), lens)
         where += np.arange(len(where))
-        where[total[cut] - 1] = 0
+        first = total[cut] - more[cut]
+        where[first] = 0
+        if ended:
+            where[total[of[1:] - 1] - 1] = 0
         ids = self.flat.values[where] if len(self.flat.values) else np.zeros(len(where), np.uint32)
-        ids[total[cut] - 1] = marks[cut]
-        return ids, np.diff(np.concatenate(([0], total))[np.concatenate(([0], np.cumsum(counts)))])
+        ids[first] = marks[cut]
+        if ended:
+            ids[total[of[1:] - 1] - 1] = end_id
+        return ids, np.diff(np.concatenate(([0], total))[of]), ended
 
 
 class _Grown:
@@ -240,7 +262,8 @@ _LOWER = np.zeros(256, bool)
 _LOWER[97:123] = True
 LINE = 500  # words given to the tokenizer at once
 # fixed values: characters by which byte-level vocabularies spell bytes that are no printable Latin-1 characters
-_SPELLING = {b: chr(290 + b - 128) for b in range(128, 161)} | {173: chr(323)}
+_SPELLING = np.arange(256, dtype="<u2")
+_SPELLING[128:161], _SPELLING[173] = np.arange(290, 323), 323
 
 
 def repair(seq: np.ndarray, vocabulary: int, stop: int, per_round: int = 8192) -> tuple[np.ndarray, np.ndarray]:
@@ -362,13 +385,7 @@ def _write_run(path: str, end_id: int):
         for batch in batches:
             col = batch.column(0)
             for lo, hi, data, offs in T.pieces(batch.column(1)):
-                tok, n = encoder.encode(data, offs)
-                # the end id after each text
-                n = n + 1
-                seq = np.full(int(n.sum()), end_id, np.uint32)
-                body = np.ones(len(seq), bool)
-                body[np.cumsum(n) - 1] = False
-                seq[body] = tok
+                seq, n = encoder.encode(data, offs, end_id)
                 own = col.slice(lo, hi - lo)
                 known.append(np.asarray(own.is_valid()))
                 ids.append(own.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
