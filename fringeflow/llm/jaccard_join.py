@@ -43,6 +43,7 @@ BLOCKS = 64
 BITS = (26, 30)  # log2 of the bits of the filter of texts to compare: 8 MB, and up to 128 MB for 2 ** 26 classes and more
 HOT = 14
 DEALT = 2000
+FEW = 500_000  # buckets, of 24 bytes each, up to which their table is broadcast
 SMALL = 8  # a bucket of so many texts yields all pairs at once
 ROUNDS = (8, 128)  # members of a large bucket that the others meet before the unlimited round
 PER_PIVOT = 2000
@@ -528,7 +529,10 @@ def _groups(docs: DataFrame, shingle: int, threshold: tuple[int, int], id_col: s
         roots = merge(roots, verifier.links(met))
         open_ = _label(large.drop("label"), roots, "key", "label")
         split = open_.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.min_by("label", "rank").alias("lead"), F.count("*").alias("many")).where("a <> z")
-        large = scratch.save(open_.join(split.select("bucket", "lead", "many"), "bucket"))
+        split = scratch.save(split.select("bucket", "lead", "many"))
+        # a few buckets go to where the members are, so that one of a third of all rows is not dealt to one task
+        large = scratch.save(open_.join(F.broadcast(split) if split.count() <= FEW else split, "bucket"))
+        scratch.drop(split)
         if before is not None:
             scratch.drop(before)
         before = large
