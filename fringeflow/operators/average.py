@@ -19,15 +19,21 @@ def with_groups(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFra
     return df.join(g, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()), F.lit(True))).drop(*named.values())
 
 
-def with_time_bin(df: DataFrame, time_col: str, bounds: list[str], width: float, name: str = "bin") -> DataFrame:
-    """Bins that start anew at each boundary group's first time."""
+def with_time_bin(df: DataFrame, time_col: str, bounds: list[str], width: float, name: str = "bin", many: bool = False) -> DataFrame:
+    """Bins that start anew at each boundary group's first time. many: the groups are many and short, so a window over
+    them deals the rows as an aggregate by group and bin needs them anyway: one shuffle. Else grouped minima are joined back."""
+    if many:
+        start = F.min(time_col).over(Window.partitionBy(*bounds))
+        return df.withColumn(name, F.floor((F.col(time_col) - start) / width).cast("long"))
     d = with_groups(df, bounds, _start=F.min(time_col))
     return d.withColumn(name, F.floor((F.col(time_col) - F.col("_start")) / width).cast("long")).drop("_start")
 
 
-def time_average(df: DataFrame, time_col: str, bounds: list[str], keys: list[str], width: float, value: str, weight: Column, flag: Column | None = None) -> DataFrame:
-    """Weighted mean per boundary group, key and bin; where all is flagged, the flagged mean, flagged."""
-    d = with_time_bin(df, time_col, bounds, width)
+def time_average(
+    df: DataFrame, time_col: str, bounds: list[str], keys: list[str], width: float, value: str, weight: Column, flag: Column | None = None, many: bool = False
+) -> DataFrame:
+    """Weighted mean per boundary group, key and bin; where all is flagged, the flagged mean, flagged. many: as in with_time_bin()."""
+    d = with_time_bin(df, time_col, bounds, width, many=many)
     good = ~flag if flag is not None else F.lit(True)
     some = F.max(good)
     v, w = F.col(value), weight

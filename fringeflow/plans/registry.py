@@ -170,8 +170,10 @@ for _how, _sql in (("or", "a OR b"), ("and", "a AND b"), ("replace", "b")):
     add(f"flag_version_{_how}", lambda s, d, h=_how: vis(s, d).select("row_id", (F.col("value") > 70).alias("a")).join(vis(s, d).select("row_id", (F.col("k") > 5).alias("b")), "row_id").select("row_id", flag.merge(F.col("a"), F.col("b"), h).alias("flag")), f"SELECT row_id, {_sql} AS flag FROM (SELECT row_id, value > 70 AS a, k > 5 AS b FROM {VIS})")
 
 # --- averages and weights -----------------------------------------------------------------------------------------
-add("time_average_scan", lambda s, d: rounded(average.time_average(fact(s, d), "t", ["scan"], ["spw"], 604800.0, "value", F.col("weight"), F.col("flag")), digits=4),
+add("time_average_scan", lambda s, d: rounded(average.time_average(fact(s, d), "t", ["scan"], ["spw"], 604800.0, "value", F.col("weight"), F.col("flag"), many=True), digits=4),
     f"WITH b AS (SELECT *, CAST(floor((t - min(t) OVER (PARTITION BY scan)) / 604800.0) AS BIGINT) AS bin FROM {FACT}) SELECT scan, spw, bin, count(*) AS n, round(CASE WHEN bool_or(NOT flag) THEN sum(value * weight) FILTER (WHERE NOT flag) / sum(weight) FILTER (WHERE NOT flag) ELSE sum(value * weight) / sum(weight) END, 4) AS value, round(sum(weight) FILTER (WHERE NOT flag), 4) AS weight, NOT bool_or(NOT flag) AS flag, round(avg(t), 4) AS time FROM b GROUP BY scan, spw, bin")
+add("time_average_window", lambda s, d: rounded(average.time_average(fact(s, d), "t", ["spw"], ["ant"], 6048000.0, "value", F.col("weight"), F.col("flag")), digits=4),
+    f"WITH b AS (SELECT *, CAST(floor((t - min(t) OVER (PARTITION BY spw)) / 6048000.0) AS BIGINT) AS bin FROM {FACT}) SELECT spw, ant, bin, count(*) AS n, round(CASE WHEN bool_or(NOT flag) THEN sum(value * weight) FILTER (WHERE NOT flag) / sum(weight) FILTER (WHERE NOT flag) ELSE sum(value * weight) / sum(weight) END, 4) AS value, round(sum(weight) FILTER (WHERE NOT flag), 4) AS weight, NOT bool_or(NOT flag) AS flag, round(avg(t), 4) AS time FROM b GROUP BY spw, ant, bin")
 add("channel_average", lambda s, d: rounded(average.channel_average(long(s, d), ["vec_id"], "chan", 8, "value")), f"SELECT vec_id, CAST(chan // 8 AS INTEGER) AS bin, round(avg(value), 6) AS value, count(*) AS n FROM {LONG} GROUP BY 1, 2")
 add("sigma_weight", lambda s, d: rounded(fact(s, d).select("scan", "spw", C.weight_of_sigma(F.col("weight") - 1).alias("weight"), C.sigma_of_weight(F.col("weight") - 1).alias("sigma"))), f"SELECT scan, spw, round(CASE WHEN weight - 1 > 1e-38 THEN 1 / pow(weight - 1, 2) ELSE 0 END, 6)::DOUBLE AS weight, round(CASE WHEN weight - 1 > 0 THEN 1 / sqrt(weight - 1) ELSE -1 END, 6)::DOUBLE AS sigma FROM {FACT}")
 add("statwt_block", lambda s, d: rounded(average.weigh_by_scatter(fact(s, d).withColumn("im", F.col("value") / 2), ["ant", "spw"], "value", "im", "weight", 2, "flag").select("scan", "spw", (F.col("weight") * 1e6).alias("w"), "weight_flag"), digits=4),
