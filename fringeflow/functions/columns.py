@@ -270,8 +270,9 @@ def to_frame(lon: Column, lat: Column, source: str, target: str) -> tuple[Column
 
 
 def azimuth(hour_angle: Column, dec: Column, latitude: float) -> Column:
-    """From north through east, radians."""
-    return F.pmod(F.atan2(-F.sin(hour_angle) * F.cos(dec), F.sin(dec) * math.cos(latitude) - F.cos(dec) * F.cos(hour_angle) * math.sin(latitude)), F.lit(2 * math.pi))
+    """From north through east, radians. A hair west of north is a whole turn: pmod would make it 0."""
+    a = F.atan2(-F.sin(hour_angle) * F.cos(dec), F.sin(dec) * math.cos(latitude) - F.cos(dec) * F.cos(hour_angle) * math.sin(latitude))
+    return a - F.floor(a / (2 * math.pi)) * (2 * math.pi)
 
 
 def project(kind: str, lon: Column, lat: Column, lon0: float, lat0: float) -> tuple[Column, Column]:
