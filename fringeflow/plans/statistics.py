@@ -90,7 +90,7 @@ for _name, _zero, _sql in (("mean", False, "var_pop(value) FILTER (WHERE NOT fla
     add(f"weights_by_rms_{_name}", lambda s, d, z=_zero: rounded(average.weigh_by_rms(fact(s, d), ["ant", "spw"], "value", F.col("flag"), z).select("scan", "spw", "npts", (F.col("weight") * 1e9).alias("w"), "weight_flag"), digits=4),
         f"WITH g AS (SELECT ant, spw, count(*) FILTER (WHERE NOT flag) AS npts, {_sql} AS var FROM {FACT} GROUP BY ant, spw) SELECT scan, f.spw, npts, round(CASE WHEN npts >= 2 AND var > 0 THEN 1 / var ELSE 0 END * 1e9, 4)::DOUBLE AS w, NOT (npts >= 2 AND coalesce(var > 0, false)) OR flag AS weight_flag FROM {FACT} f JOIN g USING (ant, spw)")
 for _mode, _sql in (("ones", "1.0"), ("nyq", "2 * weight * spw"), ("sigma", "CASE WHEN weight - 20 > 0 THEN 1 / pow(weight - 20, 2) ELSE 0 END"), ("tsys", "2 * weight * spw / pow(CASE WHEN ant % 3 > 0 THEN 50.0 + ant END, 2)")):
-    add(f"initial_weights_{_mode}", lambda s, d, m=_mode: rounded(average.initial_weights(fact(s, d), m, F.col("weight"), F.col("spw"), F.col("weight") - 20, s.range(200).where("id % 3 > 0").select(F.col("id").alias("ant"), (50.0 + F.col("id")).alias("tsys")), ["ant"]).select("scan", "spw", "weight")),
+    add(f"initial_weights_{_mode}", lambda s, d, m=_mode: rounded(average.initial_weights(fact(s, d), m, F.col("weight"), F.col("spw"), F.col("weight") - 20, fact(s, d).select("ant").distinct().where("ant % 3 > 0").select("ant", (50.0 + F.col("ant")).alias("tsys")), ["ant"]).select("scan", "spw", "weight")),
         f"SELECT scan, spw, round({_sql}, 6)::DOUBLE AS weight FROM {FACT}")
 
 

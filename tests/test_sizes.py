@@ -26,3 +26,8 @@ def check(spark, folder, name, **tables):
 def test_azimuth_a_hair_west_of_north(spark, tmp_path):
     got = check(spark, tmp_path, "azimuth_elevation", lineitem="SELECT * REPLACE (180 + l_suppkey % 2 AS l_suppkey) FROM small LIMIT 500")
     assert (got.az > 6.28).any()
+
+
+def test_system_temperatures_of_all_antennas(spark, tmp_path):
+    got = check(spark, tmp_path, "initial_weights_tsys", lineitem="SELECT * REPLACE (l_suppkey * 397 AS l_suppkey) FROM small LIMIT 500")
+    assert got.weight.notna().sum() > 250
