@@ -15,33 +15,30 @@ from ..functions.columns import C_M_S, Complex, polynomial
 MOST_COMPONENTS = 1000
 
 
-def _carried(u: DataFrame, keys: list[str], width: float | None) -> tuple[DataFrame, Column, Column]:
-    """Of rows (keys, _t, _s, _side) with samples on side 0 (_s) and rows on side 1: the latest sample at or before each
-    row and the earliest one at or after it.
+def _carried(samples: DataFrame, rows: DataFrame, keys: list[str], width: float | None) -> DataFrame:
+    """The rows (keys, _t, _row), each with the latest sample (keys, _t, _s) at or before it as _a and the earliest one at
+    or after it as _b.
 
-    With a width the rows of a key are dealt by blocks of time, so one hot key is many tasks; each block gets the last
-    sample before it and the first one after it from a table of one row a key and block.
+    Both frames grow from the start of their sort: one that ends at the last row is computed anew for each row. With a
+    width the rows of a key are dealt by blocks of time, so one hot key is many tasks; each block with rows gets the last
+    sample before it and the first one after it as two more samples, so nothing is joined.
     """
-    part = [*keys]
+    part, side, at = [*keys], F.lit(0).alias("_side"), F.lit(0).alias("_at")
     if width is not None:
-        u = u.withColumn("_block", F.floor(F.col("_t") / width))
+        block = F.floor(F.col("_t") / width).alias("_block")
+        samples, rows = samples.select("*", block), rows.select("*", block)
         part.append("_block")
-    before = Window.partitionBy(*part).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(*part).orderBy(F.col("_t").asc(), F.col("_side").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    a, b = F.last("_s", ignorenulls=True).over(before), F.first("_s", ignorenulls=True).over(after)
-    if width is None:
-        return u, a, b
-    sample = F.when(F.col("_side") == 0, F.struct("_t", "_s"))
-    edges = u.groupBy(*part).agg(F.max_by("_s", F.when(F.col("_side") == 0, F.col("_t"))).alias("_last"), F.min(sample.getField("_t")).alias("_n"), F.min_by("_s", F.when(F.col("_side") == 0, F.col("_t"))).alias("_first"))
-    blocks = Window.partitionBy(*keys).orderBy("_block")
-    earlier, later = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(1, Window.unboundedFollowing)
-    has = F.col("_n").isNotNull()
-    edges = edges.select(
-        *part, F.last(F.when(has, F.col("_last")), ignorenulls=True).over(earlier).alias("_before"), F.first(F.when(has, F.col("_first")), ignorenulls=True).over(later).alias("_after")
-    )
-    named = edges.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(part)})
-    u = u.join(named, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(part)))).drop(*(f"_k{i}" for i in range(len(part))))
-    return u, F.coalesce(a, F.col("_before")), F.coalesce(b, F.col("_after"))
+    u = samples.select("*", side, at).unionByName(rows.select("*", F.lit(1).alias("_side"), at), allowMissingColumns=True)
+    if width is not None:
+        own = samples.groupBy(*part).agg(F.min_by("_s", "_t").alias("_first"), F.max_by("_s", "_t").alias("_last"))
+        both = own.unionByName(rows.select(*part).distinct().withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+        edges = both.groupBy(*part).agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("_first", "_last", "_asked")))
+        earlier, later = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_block"), F.desc("_block")))
+        found = F.array(F.struct(F.lit(-1).alias("at"), F.last("_last", ignorenulls=True).over(earlier).alias("s")), F.struct(F.lit(1).alias("at"), F.last("_first", ignorenulls=True).over(later).alias("s")))
+        edges = edges.select(*part, "_asked", found.alias("_found")).where("_asked").select(*part, F.explode("_found").alias("_e"))
+        u = u.unionByName(edges.where("_e.s IS NOT NULL").select(*part, F.col("_e.s").alias("_s"), side, F.col("_e.at").alias("_at")), allowMissingColumns=True)
+    before, after = (Window.partitionBy(*part).orderBy(*o, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow) for o in ((F.asc("_at"), F.asc("_t")), (F.desc("_at"), F.desc("_t"))))
+    return u.withColumn("_a", F.last("_s", ignorenulls=True).over(before)).withColumn("_b", F.last("_s", ignorenulls=True).over(after)).where("_side = 1")
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], time_col: str, values: list[str], how: str = "linear", width: float | None = None) -> DataFrame:
@@ -53,11 +50,10 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], time_col: str, valu
     keys with more rows than a task should have; the result is the same.
     """
     carried = [f"_{v}" for v in values]
-    r = right.select(*keys, F.col(time_col).alias("_t"), F.struct(F.col(time_col).alias("t"), *(F.col(v).alias(c) for v, c in zip(values, carried))).alias("_s"), F.lit(0).alias("_side"))
+    r = right.select(*keys, F.col(time_col).alias("_t"), F.struct(F.col(time_col).alias("t"), *(F.col(v).alias(c) for v, c in zip(values, carried))).alias("_s"))
     cols = [c for c in left.columns if c not in keys]
-    lft = left.select(*keys, F.col(time_col).alias("_t"), F.struct(*cols).alias("_row"), F.lit(1).alias("_side"))
-    u, a, b = _carried(r.unionByName(lft, allowMissingColumns=True), keys, width)
-    u = u.withColumn("_a", a).withColumn("_b", b).where("_side = 1")
+    lft = left.select(*keys, F.col(time_col).alias("_t"), F.struct(*cols).alias("_row"))
+    u = _carried(r, lft, keys, width)
     out = []
     for v, c in zip(values, carried):
         a, b = F.col(f"_a.{c}"), F.col(f"_b.{c}")
@@ -74,11 +70,10 @@ def assign_interval(points: DataFrame, spans: DataFrame, time_col: str, pad: flo
     """Each point gets the span (span, lo, hi) whose padded bounds hold it; before the first it is the first, in gaps and
     after the last the latest begun. Spans do not overlap; there is one row each, sorted with the points inside blocks of
     `width` of time, to which the latest earlier span is carried."""
-    s = spans.select((F.col("lo") - pad).alias("_t"), F.struct("span").alias("_s"), F.lit(0).alias("_side"))
-    p = points.select(F.col(time_col).alias("_t"), F.struct(*points.columns).alias("_row"), F.lit(1).alias("_side"))
+    s = spans.select((F.col("lo") - pad).alias("_t"), F.struct("span").alias("_s"))
+    p = points.select(F.col(time_col).alias("_t"), F.struct(*points.columns).alias("_row"))
     first = spans.agg(F.min_by("span", "lo").alias("_first"))  # one row
-    u, a, _ = _carried(s.unionByName(p, allowMissingColumns=True), [], width)
-    u = u.withColumn("_a", a).where("_side = 1")
+    u = _carried(s, p, [], width)
     return u.crossJoin(F.broadcast(first)).select("_row.*", F.coalesce(F.col("_a.span"), F.col("_first")).alias("span"))
 
 
@@ -284,8 +279,9 @@ def matched(vis: DataFrame, cal: DataFrame, keys: list[str], a: str, b: str, val
 
 
 def apply_tables(vis: DataFrame, tables: list[dict], a: str, b: str, time_col: str = "time", mode: str = "calflag", calwt: bool = False) -> DataFrame:
-    """Several calibration tables after one another. Each is {table, keys, interp, spwmap, calwt}: interp none for constant
-    solutions, else nearest or linear in time, per antenna and key; spwmap as in map_spw().
+    """Several calibration tables after one another. Each is {table, keys, interp, spwmap, calwt, width}: interp none for
+    constant solutions, else nearest or linear in time, per antenna and key; spwmap as in map_spw(). width deals the rows
+    of an antenna and key by blocks of time, as in asof().
 
     Modes: calflag calibrates and flags what has no solution; calflagstrict also flags what a table does not know; calonly
     leaves flags alone; flagonly leaves data alone; trial changes nothing. Adds c_re, c_im, c_flag, and scales weight.
@@ -304,7 +300,7 @@ def apply_tables(vis: DataFrame, tables: list[dict], a: str, b: str, time_col: s
             names = {"g_re": f"_r{i}", "g_im": f"_i{i}"}
             if t.get("interp"):
                 good = cal.where(~F.col("g_flag")).select(*on, F.col("ant").alias(c), F.col(time_col), *(F.col(k).alias(n) for k, n in names.items()))
-                out = asof(out, good, [*on, c], time_col, list(names.values()), t["interp"])
+                out = asof(out, good, [*on, c], time_col, list(names.values()), t["interp"], t.get("width"))
             else:
                 s = cal.where(~F.col("g_flag")).select(*on, F.col("ant").alias(c), *(F.col(k).alias(n) for k, n in names.items()))
                 out = out.join(s, [*on, c], "left")

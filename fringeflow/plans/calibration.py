@@ -112,7 +112,7 @@ def _applied(mode: str):
         fixed = ants.crossJoin(s.range(2).select(F.col("id").cast("int").alias("spw"))).select("spw", "ant", (1 + F.col("ant") / 10 + F.col("spw")).alias("g_re"), F.lit(0.0).alias("g_im"), (F.col("ant") == 4).alias("g_flag"))
         times = s.range(31).select((1704067200.0 + F.col("id") * 86400).alias("time"), (1 + F.col("id") * 0.01).alias("g_re"))
         moving = ants.crossJoin(times).select("ant", "time", (F.col("g_re") + F.col("ant") * 0.1).alias("g_re"), F.lit(0.0).alias("g_im"), F.lit(False).alias("g_flag"))
-        tables = [{"table": fixed, "keys": ["spw"], "spwmap": [0, 1, 0], "calwt": True}, {"table": moving, "keys": [], "interp": "linear"}]
+        tables = [{"table": fixed, "keys": ["spw"], "spwmap": [0, 1, 0], "calwt": True}, {"table": moving, "keys": [], "interp": "linear", "width": 86400.0}]
         out = calibrate.apply_tables(v, tables, "a1", "a2", mode=mode)
         keep = [c for c in ("c_re", "c_im", "c_flag") if c in out.columns]
         return rounded(out.select("row_id", "weight", *keep), digits=5)

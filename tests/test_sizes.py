@@ -31,3 +31,14 @@ def test_azimuth_a_hair_west_of_north(spark, tmp_path):
 def test_system_temperatures_of_all_antennas(spark, tmp_path):
     got = check(spark, tmp_path, "initial_weights_tsys", lineitem="SELECT * REPLACE (l_suppkey * 397 AS l_suppkey) FROM small LIMIT 500")
     assert got.weight.notna().sum() > 250
+
+
+DAYS = "SELECT * REPLACE (event_id + c * 1000000 AS event_id, ts + to_days(CAST(c AS INTEGER)) AS ts) FROM small, range(3) r(c) WHERE event_id % 7 <> 3"
+
+
+@pytest.mark.parametrize("name", ["applycal_calflag"])
+def test_neighbours_in_time_in_one_pass(spark, tmp_path, name):
+    check(spark, tmp_path, name, events=DAYS)
+    plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()  # Spark computes such a frame anew for each row
+    assert "_block" in plan  # few keys are many tasks
