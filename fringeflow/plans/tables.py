@@ -158,7 +158,7 @@ add("drop_tables", _dropped, "SELECT unnest(['a1', 'a2']) AS name")
 add("history_listing", _history, "SELECT unnest(['split', 'clip']) AS task, unnest(['field=''a'', width=4', 'limit=2.5']) AS call")
 add("in_memory_subset", lambda s, d: tables.subset(fact(s, d), F.col("spw") == 2, ["ant", "scan"], "value").groupBy("ant").agg(F.count("*").alias("n"), F.round(F.sum("data"), 4).alias("data")), f"SELECT ant, count(*) AS n, round(sum(value), 4) AS data FROM {FACT} WHERE spw = 2 GROUP BY 1")
 add("list_shapes", lambda s, d: tables.shapes(spectra(s, d), ["label"], "v"), f"SELECT label, CAST(len(v) AS INTEGER) AS nchan, count(*) AS rows FROM {SPECTRA} GROUP BY 1, 2")
-add("ephemeris_positions", lambda s, d: rounded(tables.positions(s.range(400).select(F.lit(1).alias("body"), (1704067200.0 + F.col("id") * 7200).alias("t"), (F.col("id") * 0.5).alias("ra"), (10 - F.col("id") * 0.01).alias("dec")), "t", ["body"], ["ra", "dec"], vis(s, d).select("row_id", F.lit(1).alias("body"), "t")).select("row_id", "ra", "dec")),
+add("ephemeris_positions", lambda s, d: rounded(tables.positions(s.range(400).select(F.lit(1).alias("body"), (1704067200.0 + F.col("id") * 7200).alias("t"), (F.col("id") * 0.5).alias("ra"), (10 - F.col("id") * 0.01).alias("dec")), "t", ["body"], ["ra", "dec"], vis(s, d).select("row_id", F.lit(1).alias("body"), "t"), 86400.0).select("row_id", "ra", "dec")),
     f"SELECT row_id, round(least(greatest((t - 1704067200.0) / 7200, 0), 399) * 0.5, 6) AS ra, round(10 - least(greatest((t - 1704067200.0) / 7200, 0), 399) * 0.01, 6) AS dec FROM {VIS}")
 
 # --- rows, keys, groups -------------------------------------------------------------------------------------------

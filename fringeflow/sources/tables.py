@@ -186,8 +186,9 @@ def not_finite(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum(F.isnan(value).cast("long")).alias("nans"), F.count("*").alias("n"))
 
 
-def positions(df: DataFrame, time_col: str, keys: list[str], columns: list[str], at: DataFrame) -> DataFrame:
-    """Columns of a table of places in time (an ephemeris, a pointing table) at the times of another, linear between its rows."""
+def positions(df: DataFrame, time_col: str, keys: list[str], columns: list[str], at: DataFrame, width: float | None = None) -> DataFrame:
+    """Columns of a table of places in time (an ephemeris, a pointing table) at the times of another, linear between its
+    rows. width deals the rows of a key by blocks of time, as in asof()."""
     from ..operators.calibrate import asof
 
-    return asof(at, df, keys, time_col, columns, "linear")
+    return asof(at, df, keys, time_col, columns, "linear", width)

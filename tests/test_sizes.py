@@ -36,7 +36,7 @@ def test_system_temperatures_of_all_antennas(spark, tmp_path):
 DAYS = "SELECT * REPLACE (event_id + c * 1000000 AS event_id, ts + to_days(CAST(c AS INTEGER)) AS ts) FROM small, range(3) r(c) WHERE event_id % 7 <> 3"
 
 
-@pytest.mark.parametrize("name", ["applycal_calflag", "applycal_calonly", "applycal_flagonly"])
+@pytest.mark.parametrize("name", ["applycal_calflag", "applycal_calonly", "applycal_flagonly", "ephemeris_positions"])
 def test_neighbours_in_time_in_one_pass(spark, tmp_path, name):
     check(spark, tmp_path, name, events=DAYS)
     plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
