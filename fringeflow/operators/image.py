@@ -187,11 +187,17 @@ def statistic_image(df: DataFrame, step: int, half: int, keys: list[str], value:
 
 
 def sources(df: DataFrame, keys: list[str], cutoff: float, most: int) -> DataFrame:
-    """The brightest local maxima of 3 by 3 pixels above a cutoff."""
+    """The brightest local maxima of 3 by 3 pixels above a cutoff, of an image of one row a pixel.
+
+    A pixel's value and its neighbours' come from one reading: sums computed twice may differ in their last bits, and a
+    maximum would not be the maximum of its own neighbourhood.
+    """
     spread = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     e = df.select(*keys, "x", "y", "value", F.explode(spread).alias("o"))
-    top = e.groupBy(*keys, (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y")).agg(F.max("value").alias("near"))
-    return df.join(top, [*keys, "x", "y"]).where((F.col("value") >= F.col("near")) & (F.col("value") > cutoff)).select(*keys, "x", "y", "value").orderBy(F.desc("value"), *keys, "x", "y").limit(most)
+    own = F.when((F.col("o.i") == 0) & (F.col("o.j") == 0), F.col("value"))
+    top = e.groupBy(*keys, (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y")).agg(F.max(own).alias("own"), F.max("value").alias("near"))
+    found = top.where((F.col("own") >= F.col("near")) & (F.col("own") > cutoff)).select(*keys, "x", "y", F.col("own").alias("value"))
+    return found.orderBy(F.desc("value"), *keys, "x", "y").limit(most)
 
 
 def pv_slice(df: DataFrame, start: tuple[float, float], end: tuple[float, float], width: float, chan: str, value: str) -> DataFrame:

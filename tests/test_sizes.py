@@ -1,11 +1,14 @@
 """Queries against their SQL twins on tables whose keys or sizes the fixed ones do not have."""
 
 import os
+import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_queries import SF, rows
 
+from fringeflow.operators import image
 from fringeflow.plans import registry
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -42,3 +45,10 @@ def test_neighbours_in_time_in_one_pass(spark, tmp_path, name):
     plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "unboundedfollowing" not in plan.lower()  # Spark computes such a frame anew for each row
     assert "_block" in plan  # few keys are many tasks
+
+
+def test_sources_of_an_image_whose_sums_vary(spark):
+    hair = F.udf(lambda v: v + random.random() * 1e-9, "double").asNondeterministic()  # as sums in another order do
+    pixels = spark.range(40 * 25).select(F.expr("id div 25").alias("chan"), F.expr("int(id % 5)").alias("x"), F.expr("int(id div 5 % 5)").alias("y"))
+    got = image.sources(pixels.withColumn("value", hair(F.when((F.col("x") == 2) & (F.col("y") == 2), 9.0).otherwise(1.0))), ["chan"], 5.0, 100)
+    assert sorted((r.chan, r.x, r.y) for r in got.collect()) == [(c, 2, 2) for c in range(40)]
