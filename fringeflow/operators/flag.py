@@ -127,10 +127,28 @@ def time_freq_crop(df: DataFrame, keys: list[str], time_col: str, chan: str, val
 
 
 def shadow(antennas: DataFrame, tolerance: float = 0.0) -> DataFrame:
-    """(time, ant) of antennas that another one, nearer the source, overlaps: rows (time, ant, u, v, w, diameter)."""
-    b = antennas.select("time", *(F.col(c).alias("o_" + c) for c in ("ant", "u", "v", "w", "diameter")))
-    near = F.hypot(F.col("u") - F.col("o_u"), F.col("v") - F.col("o_v")) < (F.col("diameter") + F.col("o_diameter")) / 2 - tolerance
-    return antennas.join(b, "time").where((F.col("ant") != F.col("o_ant")) & near & (F.col("w") < F.col("o_w"))).select("time", "ant").distinct()
+    """(time, ant) of antennas that another one, nearer the source, overlaps: rows (time, ant, u, v, w, diameter).
+
+    Antennas are sorted into square cells whose diagonal is the farthest that two can overlap. Each is held against the
+    one of its cell nearest the source, which settles nearly all where many share a cell; only the rest are joined to the
+    antennas of the 25 cells about, and of these only to cells that hold a nearer one.
+    """
+    farthest = antennas.agg((F.max("diameter") - tolerance).alias("_far"))  # one row
+    cell = lambda c: F.floor(F.least(F.greatest(F.col(c) / (F.col("_far") / math.sqrt(2)), F.lit(-1e15)), F.lit(1e15)))
+    at, one = ["time", "_x", "_y"], ["ant", "u", "v", "w", "diameter"]
+    d = antennas.select("time", *one).crossJoin(F.broadcast(farthest)).where("_far > 0").select("time", *one, cell("u").alias("_x"), cell("v").alias("_y"))
+
+    def overlaps(o) -> Column:
+        near = F.hypot(F.col("u") - o("u"), F.col("v") - o("v")) < (F.col("diameter") + o("diameter")) / 2 - tolerance
+        return F.coalesce((F.col("ant") != o("ant")) & near & (F.col("w") < o("w")), F.lit(False))
+
+    first = Window.partitionBy(*at).orderBy(F.desc("w")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = d.withColumn("_o", F.first(F.struct(*one)).over(first)).withColumn("_hit", overlaps(lambda c: F.col(f"_o.{c}"))).drop("_o")
+    about = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)))
+    rest = held.where(~F.col("_hit")).select("*", F.explode(about).alias("_n")).select("time", *one, (F.col("_x") + F.col("_n.i")).alias("_x"), (F.col("_y") + F.col("_n.j")).alias("_y"))
+    rest = rest.join(d.groupBy(*at).agg(F.max("w").alias("_top")), at).where("_top > w").drop("_top")
+    found = rest.join(d.select(*at, *(F.col(c).alias("o_" + c) for c in one)), at).where(overlaps(lambda c: F.col("o_" + c)))
+    return held.where("_hit").select("time", "ant").unionByName(found.select("time", "ant")).distinct()
 
 
 def uv_bin_population(df: DataFrame, uv: Column, amp: Column, nu: int, na: int, uv_max: float, amp_max: float, least: int) -> DataFrame:

@@ -164,7 +164,7 @@ add("flag_rflag", lambda s, d: flag.rflag(vis(s, d), "value", ["ant", "spw"], ["
 add("rflag_threshold_merge", lambda s, d: rounded(flag.rflag_thresholds(vis(s, d).groupBy("spw", "k").agg(F.stddev_samp("value").alias("threshold")), ["spw"])), f"SELECT spw, round(median(x), 6) AS threshold FROM (SELECT spw, k, stddev_samp(value) AS x FROM {VIS} GROUP BY spw, k) GROUP BY spw")
 add("flag_uv_population", lambda s, d: flag.uv_bin_population(fact(s, d), F.col("weight"), F.col("value"), 10, 10, 51.0, 120000.0, 200).groupBy("thin").agg(F.count("*").alias("n")),
     f"WITH c AS (SELECT least(floor(weight / 51.0 * 10), 9) AS a, least(floor(value / 120000.0 * 10), 9) AS b FROM {FACT}), n AS (SELECT a, b, count(*) AS p FROM c GROUP BY a, b) SELECT p < 200 AS thin, CAST(sum(p) AS BIGINT) AS n FROM n GROUP BY 1")
-add("flag_shadow", lambda s, d: flag.shadow(fact(s, d).select((F.col("scan") % 500).alias("time"), F.col("part").alias("ant"), F.col("weight").alias("u"), (F.col("value") / 2000).alias("v"), F.col("part").cast("double").alias("w"), F.lit(2.0).alias("diameter")).distinct()).groupBy("time").agg(F.count("*").alias("n")),
+add("flag_shadow", lambda s, d: flag.shadow(fact(s, d).select((F.col("scan") % 500).alias("time"), F.col("part").alias("ant"), F.col("weight").alias("u"), (F.col("value") / 2000).alias("v"), F.col("part").cast("double").alias("w"), F.lit(2.0).alias("diameter"))).groupBy("time").agg(F.count("*").alias("n")),
     f"WITH a AS (SELECT DISTINCT scan % 500 AS time, part AS ant, weight AS u, value / 2000 AS v FROM {FACT}) SELECT time, count(*) AS n FROM (SELECT DISTINCT a.time, a.ant FROM a JOIN a b ON a.time = b.time AND a.ant < b.ant AND sqrt(pow(a.u - b.u, 2) + pow(a.v - b.v, 2)) < 2.0) GROUP BY time")
 for _how, _sql in (("or", "a OR b"), ("and", "a AND b"), ("replace", "b")):
     add(f"flag_version_{_how}", lambda s, d, h=_how: vis(s, d).select("row_id", (F.col("value") > 70).alias("a")).join(vis(s, d).select("row_id", (F.col("k") > 5).alias("b")), "row_id").select("row_id", flag.merge(F.col("a"), F.col("b"), h).alias("flag")), f"SELECT row_id, {_sql} AS flag FROM (SELECT row_id, value > 70 AS a, k > 5 AS b FROM {VIS})")

@@ -1,5 +1,6 @@
 """Queries against their SQL twins on tables whose keys or sizes the fixed ones do not have."""
 
+import math
 import os
 import random
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import SF, rows
 
-from fringeflow.operators import image
+from fringeflow.operators import flag, image
 from fringeflow.plans import registry
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -52,3 +53,18 @@ def test_sources_of_an_image_whose_sums_vary(spark):
     pixels = spark.range(40 * 25).select(F.expr("id div 25").alias("chan"), F.expr("int(id % 5)").alias("x"), F.expr("int(id div 5 % 5)").alias("y"))
     got = image.sources(pixels.withColumn("value", hair(F.when((F.col("x") == 2) & (F.col("y") == 2), 9.0).otherwise(1.0))), ["chan"], 5.0, 100)
     assert sorted((r.chan, r.x, r.y) for r in got.collect()) == [(c, 2, 2) for c in range(40)]
+
+
+def test_shadows_by_cells(spark, tmp_path):
+    rng = random.Random(5)
+    some = lambda f: None if rng.random() < 0.03 else f
+    data = [(i % 3, some(i // 4), some(rng.uniform(-40, 40)), some(rng.choice([rng.uniform(-40, 40), 1e300, float("inf")])), some(float(rng.randrange(40))), some(rng.choice([1.0, 2.5, 6.0]))) for i in range(900)]
+    df = spark.createDataFrame(data, "time int, ant int, u double, v double, w double, diameter double")
+    for tolerance in (0.0, 1.5, 7.0):
+        full = [r for r in data if None not in r]
+        want = {a[:2] for a in full for b in full if a[0] == b[0] and a[1] != b[1] and a[4] < b[4] and math.hypot(a[2] - b[2], a[3] - b[3]) < (a[5] + b[5]) / 2 - tolerance}
+        assert len(want) > 50 or tolerance
+        got = [tuple(r) for r in flag.shadow(df, tolerance).collect()]
+        assert sorted(got) == sorted(want)
+    check(spark, tmp_path, "flag_shadow", lineitem="SELECT * REPLACE (l_orderkey % 3 AS l_orderkey) FROM small LIMIT 2000")
+    assert "_x" in registry.queries()["flag_shadow"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
