@@ -66,6 +66,47 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], time_col: str, valu
     return u.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in cols), *out)
 
 
+def _spans(samples: DataFrame, keys: list[str], time_col: str, values: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One row a key (its first and last sample with their times, the levels of its spans), and the spans from a sample to the
+    next one, each in the blocks it meets. A span of level n is longer than half of 2^n, the size of its blocks, so at most
+    three spans of a key and level share a block, however the samples lie, and no span is in more than three."""
+    order = Window.partitionBy(*keys).orderBy("_lo")
+    s = samples.where(F.col(time_col).isNotNull()).select(*keys, F.col(time_col).alias("_lo"), F.struct(*values).alias("_s"))
+    s = s.select("*", F.lead("_lo").over(order).alias("_hi"), F.lead("_s").over(order).alias("_n"))
+    s = s.withColumn("_level", F.when(F.col("_hi") > F.col("_lo"), F.ceil(F.log2((F.col("_hi") - F.col("_lo")).cast("double"))).cast("int")))
+    ends = s.groupBy(*keys).agg(F.min("_lo").alias("_from"), F.max("_lo").alias("_to"), F.min_by("_s", "_lo").alias("_first"), F.max_by("_s", "_lo").alias("_last"), F.collect_set("_level").alias("_levels"))
+    blocks = F.sequence(*(F.floor(F.col(c) / F.pow(F.lit(2.0), "_level")) for c in ("_lo", "_hi")))
+    return ends, s.where("_level IS NOT NULL").select("*", F.explode(blocks).alias("_block"))
+
+
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time_col: str, values: list[str], how: str = "linear") -> DataFrame:
+    """nearest or linear values as by asof(), by equi-joins of a row's key and then of its blocks of time, one block a level
+    of its key, with the samples. No row is sorted, and none is dealt where the samples are few enough for Spark to send them
+    to all tasks. A row without a time takes the last sample."""
+    t, level = F.col(time_col), F.col("_level")
+    ends, spans = _spans(right, keys, time_col, values)
+    inside = (t >= F.col("_from")) & (t < F.col("_to"))
+    out = left.join(ends, keys, "left").select("*", F.explode_outer(F.when(inside, F.col("_levels"))).alias("_level")).withColumn("_block", F.floor(t / F.pow(F.lit(2.0), level)))
+    on = [*keys, "_level", "_block"]
+    spans = spans.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(on)})
+    same = reduce(lambda x, y: x & y, (out[k] == F.col(f"_k{i}") for i, k in enumerate(on)))
+    out = out.join(spans, same & (t >= F.col("_lo")) & (t < F.col("_hi")), "left").where(F.col("_lo").isNotNull() | level.isNull())
+    before, hit = t < F.col("_from"), t == F.col("_lo")
+    at = F.when(level.isNotNull(), F.col("_lo")).when(~F.coalesce(before, F.lit(False)), F.col("_to"))
+    bt = F.when(level.isNotNull(), F.when(hit, F.col("_lo")).otherwise(F.col("_hi"))).when(before, F.col("_from"))
+    da, db = t - at, bt - t
+    got = []
+    for v in values:
+        a = F.when(level.isNotNull(), F.col(f"_s.{v}")).otherwise(F.col(f"_last.{v}"))
+        b = F.when(level.isNotNull(), F.when(hit, F.col(f"_s.{v}")).otherwise(F.col(f"_n.{v}"))).otherwise(F.col(f"_first.{v}"))
+        x = {
+            "nearest": F.when(at.isNull(), b).when(bt.isNull() | (da <= db), a).otherwise(b),
+            "linear": F.when(at.isNull(), b).when(bt.isNull() | (da + db == 0), a).otherwise(a + (b - a) * da / (da + db)),
+        }[how]
+        got.append(x.alias(v))
+    return out.select(*left.columns, *got)
+
+
 def assign_interval(points: DataFrame, spans: DataFrame, time_col: str, pad: float = 1e-5, width: float = 3600.0) -> DataFrame:
     """Each point gets the span (span, lo, hi) whose padded bounds hold it; before the first it is the first, in gaps and
     after the last the latest begun. Spans do not overlap; there is one row each, sorted with the points inside blocks of
@@ -279,9 +320,8 @@ def matched(vis: DataFrame, cal: DataFrame, keys: list[str], a: str, b: str, val
 
 
 def apply_tables(vis: DataFrame, tables: list[dict], a: str, b: str, time_col: str = "time", mode: str = "calflag", calwt: bool = False) -> DataFrame:
-    """Several calibration tables after one another. Each is {table, keys, interp, spwmap, calwt, width}: interp none for
-    constant solutions, else nearest or linear in time, per antenna and key; spwmap as in map_spw(). width deals the rows
-    of an antenna and key by blocks of time, as in asof().
+    """Several calibration tables after one another. Each is {table, keys, interp, spwmap, calwt}: interp none for constant
+    solutions, else nearest or linear in time, per antenna and key, as by asof_join(); spwmap as in map_spw().
 
     Modes: calflag calibrates and flags what has no solution; calflagstrict also flags what a table does not know; calonly
     leaves flags alone; flagonly leaves data alone; trial changes nothing. Adds c_re, c_im, c_flag, and scales weight.
@@ -300,7 +340,7 @@ def apply_tables(vis: DataFrame, tables: list[dict], a: str, b: str, time_col: s
             names = {"g_re": f"_r{i}", "g_im": f"_i{i}"}
             if t.get("interp"):
                 good = cal.where(~F.col("g_flag")).select(*on, F.col("ant").alias(c), F.col(time_col), *(F.col(k).alias(n) for k, n in names.items()))
-                out = asof(out, good, [*on, c], time_col, list(names.values()), t["interp"], t.get("width"))
+                out = asof_join(out, good, [*on, c], time_col, list(names.values()), t["interp"])
             else:
                 s = cal.where(~F.col("g_flag")).select(*on, F.col("ant").alias(c), *(F.col(k).alias(n) for k, n in names.items()))
                 out = out.join(s, [*on, c], "left")

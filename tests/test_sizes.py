@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import SF, rows
 
-from fringeflow.operators import flag, image
+from fringeflow.operators import calibrate, flag, image
 from fringeflow.plans import registry
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -48,6 +48,36 @@ def test_neighbours_in_time_in_one_pass(spark, tmp_path, name):
     assert "_block" in plan  # few keys are many tasks
 
 
+TIMELESS = "SELECT * REPLACE (CASE WHEN event_id % 9 = 1 THEN NULL ELSE ts + to_days(CAST(event_id % 3 AS INTEGER)) END AS ts) FROM small"
+
+
+@pytest.mark.parametrize("name", ["applycal_calonly"])
+def test_rows_meet_solutions_in_one_reading(spark, tmp_path, name):
+    check(spark, tmp_path, name, events=TIMELESS)
+    plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1
+    assert "Sort" not in plan and "last(" not in plan  # no window carries samples to sorted rows
+
+
+def test_samples_in_clusters(spark):
+    rng = random.Random(3)
+    times = {k: sorted({0.0} | {1.7e9 + c * 5e3 + rng.random() * 10**w for c in range(6) for w in (-3, 1, 3) for _ in range(15)}) for k in range(3)} | {3: [7.0]}
+    samples = {(k, t): rng.choice([None, rng.random()]) for k, ts in times.items() for t in ts}
+    cal = spark.createDataFrame([(k, t, g) for (k, t), g in samples.items()], "ant int, time double, g double")
+    some = [t for ts in times.values() for t in ts]
+    data = [(i, rng.choice([0, 1, 2, 3, 4, None]), rng.choice([None, rng.choice(some), rng.choice(some) + rng.random() * 10 ** rng.randint(-3, 9) - 1])) for i in range(3000)]
+    df = spark.createDataFrame(data, "id int, ant int, time double")
+    timed = df.where("ant IS NOT NULL AND time IS NOT NULL")
+    for how in ("nearest", "linear"):
+        got = {r.id: r.g for r in calibrate.asof_join(df, cal, ["ant"], "time", ["g"], how).collect()}
+        assert len(got) == len(data)
+        assert {r.id: r.g for r in calibrate.asof(timed, cal, ["ant"], "time", ["g"], how).collect()}.items() <= got.items()
+        assert all(got[i] == (samples[k, times[k][-1]] if k in times else None) for i, k, t in data if t is None or k is None)
+    spans = calibrate._spans(cal, ["ant"], "time", ["g"])[1]
+    assert spans.groupBy("ant", "_level", "_block").count().agg(F.max("count")).first()[0] <= 3
+    assert spans.count() <= 3 * len(samples)
+
+
 def test_sources_of_an_image_whose_sums_vary(spark):
     hair = F.udf(lambda v: v + random.random() * 1e-9, "double").asNondeterministic()  # as sums in another order do
     pixels = spark.range(40 * 25).select(F.expr("id div 25").alias("chan"), F.expr("int(id % 5)").alias("x"), F.expr("int(id div 5 % 5)").alias("y"))
