@@ -69,9 +69,10 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], time_col: str, valu
 def _spans(samples: DataFrame, keys: list[str], time_col: str, values: list[str]) -> tuple[DataFrame, DataFrame]:
     """One row a key (its first and last sample with their times, the levels of its spans), and the spans from a sample to the
     next one, each in the blocks it meets. A span of level n is longer than half of 2^n, the size of its blocks, so at most
-    three spans of a key and level share a block, however the samples lie, and no span is in more than three."""
+    three spans of a key and level share a block, however the samples lie, and no span is in more than three. Values go by their
+    place, so Spark sees that two antennas ask for the same table."""
     order = Window.partitionBy(*keys).orderBy("_lo")
-    s = samples.where(F.col(time_col).isNotNull()).select(*keys, F.col(time_col).alias("_lo"), F.struct(*values).alias("_s"))
+    s = samples.where(F.col(time_col).isNotNull()).select(*keys, F.col(time_col).alias("_lo"), F.struct(*(F.col(v).alias(f"_{i}") for i, v in enumerate(values))).alias("_s"))
     s = s.select("*", F.lead("_lo").over(order).alias("_hi"), F.lead("_s").over(order).alias("_n"))
     s = s.withColumn("_level", F.when(F.col("_hi") > F.col("_lo"), F.ceil(F.log2((F.col("_hi") - F.col("_lo")).cast("double"))).cast("int")))
     ends = s.groupBy(*keys).agg(F.min("_lo").alias("_from"), F.max("_lo").alias("_to"), F.min_by("_s", "_lo").alias("_first"), F.max_by("_s", "_lo").alias("_last"), F.collect_set("_level").alias("_levels"))
@@ -96,9 +97,9 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time_col: str,
     bt = F.when(level.isNotNull(), F.when(hit, F.col("_lo")).otherwise(F.col("_hi"))).when(before, F.col("_from"))
     da, db = t - at, bt - t
     got = []
-    for v in values:
-        a = F.when(level.isNotNull(), F.col(f"_s.{v}")).otherwise(F.col(f"_last.{v}"))
-        b = F.when(level.isNotNull(), F.when(hit, F.col(f"_s.{v}")).otherwise(F.col(f"_n.{v}"))).otherwise(F.col(f"_first.{v}"))
+    for i, v in enumerate(values):
+        a = F.when(level.isNotNull(), F.col(f"_s._{i}")).otherwise(F.col(f"_last._{i}"))
+        b = F.when(level.isNotNull(), F.when(hit, F.col(f"_s._{i}")).otherwise(F.col(f"_n._{i}"))).otherwise(F.col(f"_first._{i}"))
         x = {
             "nearest": F.when(at.isNull(), b).when(bt.isNull() | (da <= db), a).otherwise(b),
             "linear": F.when(at.isNull(), b).when(bt.isNull() | (da + db == 0), a).otherwise(a + (b - a) * da / (da + db)),

@@ -51,7 +51,7 @@ def test_neighbours_in_time_in_one_pass(spark, tmp_path, name):
 TIMELESS = "SELECT * REPLACE (CASE WHEN event_id % 9 = 1 THEN NULL ELSE ts + to_days(CAST(event_id % 3 AS INTEGER)) END AS ts) FROM small"
 
 
-@pytest.mark.parametrize("name", ["applycal_calonly"])
+@pytest.mark.parametrize("name", ["applycal_calonly", "applycal_flagonly"])
 def test_rows_meet_solutions_in_one_reading(spark, tmp_path, name):
     check(spark, tmp_path, name, events=TIMELESS)
     plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
@@ -59,6 +59,15 @@ def test_rows_meet_solutions_in_one_reading(spark, tmp_path, name):
     assert "Sort" not in plan and "last(" not in plan  # no window carries samples to sorted rows
 
 
+def test_two_antennas_share_solutions(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = registry.queries()["applycal_flagonly"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Window [") == 2  # the ends and the spans of one table
+
+
 def test_samples_in_clusters(spark):
     rng = random.Random(3)
     times = {k: sorted({0.0} | {1.7e9 + c * 5e3 + rng.random() * 10**w for c in range(6) for w in (-3, 1, 3) for _ in range(15)}) for k in range(3)} | {3: [7.0]}
