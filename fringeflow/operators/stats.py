@@ -13,15 +13,58 @@ from ..functions.columns import XMADM, min_match
 from ..session import Scratch
 
 
+QUARTILES = {"median": 0.5, "firstquartile": 0.25, "thirdquartile": 0.75}
+
+
 def _quantile(v: Column, share: float, accuracy: int | None) -> Column:
     return F.percentile(v, share) if accuracy is None else F.percentile_approx(v, share, accuracy)
 
 
-def statistics(df: DataFrame, value: Column, keys: list[str], flag: Column | None = None, quantiles: bool = True, accuracy: int | None = None) -> DataFrame:
+def _beside(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """df with what its group's one row has, null keys too. The groups are few and broadcast."""
+    g = groups.withColumnsRenamed({k: f"_{k}_of" for k in keys})
+    return df.join(F.broadcast(g), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}_of")) for k in keys), F.lit(True)), how).drop(*(f"_{k}_of" for k in keys))
+
+
+def exact_quantiles(df: DataFrame, value: str, keys: list[str], shares: dict[str, float], sketch: int = 2000) -> DataFrame:
+    """Exact quantiles, as those of percentile(), of few groups of any size; groups without a value have no row.
+
+    A sketch of each group gives an interval about each quantile, one reading counts the values below it and up to its end,
+    and only the values inside are sorted, about 6 / sketch of a group for each quantile. An interval that proves not to hold
+    its quantile reaches to the group's extreme instead, so that no result rests on the sketch.
+    """
+    v, each = F.col(value), range(len(shares))
+    good = df.select(*keys, value).where(v.isNotNull())
+    near = [min(max(q + d / sketch, 0.0), 1.0) for q in shares.values() for d in (-2, 2)]
+    s = good.groupBy(*keys).agg(F.count(v).alias("_n"), F.min(v).alias("_min"), F.max(v).alias("_max"), F.percentile_approx(v, near, sketch).alias("_near"))
+    s = s.select(*keys, "_n", "_min", "_max", *(F.col("_near")[2 * i + j].alias(f"_{end}{i}") for i in each for j, end in enumerate(("lo", "hi"))))
+    lo, hi, below, upto = ([F.col(f"_{c}{i}") for i in each] for c in ("lo", "hi", "below", "upto"))
+    counts = (c for i in each for c in (F.count_if(v < lo[i]).alias(f"_below{i}"), F.count_if(v <= hi[i]).alias(f"_upto{i}")))
+    c = _beside(good, s, keys).groupBy(*keys, *(x for x in s.columns if x not in keys)).agg(*counts)
+    place = [F.lit(float(q)) * (F.col("_n") - 1) for q in shares.values()]
+    left, right = [F.floor(p) for p in place], [F.ceil(p) for p in place]
+    starts, ends = [below[i] <= left[i] for i in each], [upto[i] > right[i] for i in each]
+    c = c.select(
+        *keys, "_n", *(F.when(starts[i], lo[i]).otherwise(F.col("_min")).alias(f"_lo{i}") for i in each), *(F.when(ends[i], hi[i]).otherwise(F.col("_max")).alias(f"_hi{i}") for i in each),
+        *(F.when(starts[i], below[i]).otherwise(0).alias(f"_below{i}") for i in each),
+    )
+    inside = [v.between(lo[i], hi[i]) for i in each]
+    held = _beside(good, c, keys).where(reduce(lambda a, b: a | b, inside)).groupBy(*c.columns, value).agg(F.count("*").alias("_m"))
+    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # the values inside
+    run = held.select(*keys, "_n", value, *(F.when(inside[i], below[i] + F.sum(F.when(inside[i], F.col("_m"))).over(w)).alias(f"_upto{i}") for i in each))
+    ranks = (F.min(F.when(upto[i] > r[i], v)).alias(f"_{end}{i}") for i in each for end, r in (("lo", left), ("hi", right)))
+    between = lambda i: F.when(lo[i] == hi[i], lo[i]).otherwise((right[i] - place[i]) * lo[i] + (place[i] - left[i]) * hi[i])
+    return run.groupBy(*keys, "_n").agg(*ranks).select(*keys, *(between(i).alias(n) for i, n in enumerate(shares)))
+
+
+def statistics(
+    df: DataFrame, value: Column, keys: list[str], flag: Column | None = None, quantiles: bool = True, accuracy: int | None = None, few: bool = False
+) -> DataFrame:
     """npts, min, max, sum, sumsq, mean, variance (sample), stddev, rms and quartiles of unflagged values per group.
 
     A group whose values are all flagged keeps its row with npts 0. Exact quartiles hold a group's distinct values in one
-    task; with an accuracy they come from a sketch of that size, off by at most 1 / accuracy in rank.
+    task; with an accuracy they come from a sketch of that size, off by at most 1 / accuracy in rank. few: the groups are few
+    and may be large, so exact quartiles come from exact_quantiles().
     """
     v = value.cast("double")
     v = F.when(~flag, v) if flag is not None else v
@@ -29,8 +72,10 @@ def statistics(df: DataFrame, value: Column, keys: list[str], flag: Column | Non
         F.count(v).alias("npts"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"), F.sum(v * v).alias("sumsq"), F.avg(v).alias("mean"),
         F.var_samp(v).alias("variance"), F.stddev_samp(v).alias("stddev"), F.sqrt(F.avg(v * v)).alias("rms"),
     ]
+    if quantiles and few and accuracy is None:
+        return _beside(df.groupBy(*keys).agg(*aggs), exact_quantiles(df.select(*keys, v.alias("_v")), "_v", keys, QUARTILES), keys, "left")
     if quantiles:
-        aggs += [_quantile(v, q, accuracy).alias(n) for n, q in (("median", 0.5), ("firstquartile", 0.25), ("thirdquartile", 0.75))]
+        aggs += [_quantile(v, q, accuracy).alias(n) for n, q in QUARTILES.items()]
     return df.groupBy(*keys).agg(*aggs)
 
 
@@ -254,9 +299,9 @@ def array_statistics(df: DataFrame, column: str, keys: list[str], flag: str | No
     return statistics(e, F.col(f"_e.{column}"), [*keys, "index"], F.col(f"_e.{flag}") if flag else None, quantiles=False)
 
 
-def calibration_statistics(df: DataFrame, axis: str, keys: list[str]) -> DataFrame:
-    """The same of a calibration table, with its names: var, and quartile for the distance of the quartiles."""
-    s = statistics(df, transform(axis), keys)
+def calibration_statistics(df: DataFrame, axis: str, keys: list[str], few: bool = False) -> DataFrame:
+    """The same of a calibration table, with its names: var, and quartile for the distance of the quartiles. few: as in statistics()."""
+    s = statistics(df, transform(axis), keys, few=few)
     return s.withColumnRenamed("variance", "var").withColumn("quartile", F.col("thirdquartile") - F.col("firstquartile")).drop("firstquartile", "thirdquartile")
 
 

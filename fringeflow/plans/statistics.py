@@ -36,7 +36,7 @@ add("visstat_averaged", lambda s, d: rounded(stats.visibility_statistics(cvis(s,
 add("visstat_accuracy", lambda s, d: stats.statistics(vis(s, d).where("row_id < 900"), F.col("value"), [], accuracy=10_000).select("npts", (F.abs(F.col("median") - 50) < 500).alias("fine")), f"SELECT count(*) AS npts, true AS fine FROM {VIS} WHERE row_id < 900")
 add("array_statistics", lambda s, d: rounded(stats.array_statistics(spectra(s, d).withColumn("f", F.transform("v", lambda x: x < -1)), "v", ["label"], "f").select("label", "index", "npts", "mean", "max")),
     f"SELECT label, CAST(chan AS INTEGER) AS index, count(*) FILTER (WHERE value >= -1) AS npts, round(avg(value) FILTER (WHERE value >= -1), 6) AS mean, round(max(value) FILTER (WHERE value >= -1), 6) AS max FROM {LONG} GROUP BY 1, 2")
-add("calstat_names", lambda s, d: rounded(stats.calibration_statistics(cvis(s, d), "amp", ["spw"]).select("spw", "npts", "mean", F.round("var", 2).alias("var"), "median", "quartile"), digits=4),
+add("calstat_names", lambda s, d: rounded(stats.calibration_statistics(cvis(s, d), "amp", ["spw"], few=True).select("spw", "npts", "mean", F.round("var", 2).alias("var"), "median", "quartile"), digits=4),
     f"SELECT spw, count(*) AS npts, round(avg(x), 4) AS mean, round(var_samp(x), 2) AS var, round(median(x), 4) AS median, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 4) AS quartile FROM (SELECT spw, {_AXES['amp']} AS x FROM {CVIS}) GROUP BY spw")
 add("image_stats_included", lambda s, d: rounded(stats.image_statistics(cube(s, d), "value", ["x", "y"], ["chan"], include=(30000.0, 60000.0)).select("chan", "npts", "mean", "max", "max_x", "max_y"), digits=3),
     f"SELECT chan, count(*) AS npts, round(avg(value), 3) AS mean, round(max(value), 3) AS max, arg_max(x, (value, -x, -y)) AS max_x, arg_max(y, (value, -x, -y)) AS max_y FROM {CUBE} WHERE value BETWEEN 30000 AND 60000 GROUP BY chan")

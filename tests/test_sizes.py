@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import SF, rows
 
-from fringeflow.operators import calibrate, flag, image
+from fringeflow.operators import calibrate, flag, image, stats
 from fringeflow.plans import registry
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -107,3 +107,32 @@ def test_shadows_by_cells(spark, tmp_path):
         assert sorted(got) == sorted(want)
     check(spark, tmp_path, "flag_shadow", lineitem="SELECT * REPLACE (l_orderkey % 3 AS l_orderkey) FROM small LIMIT 2000")
     assert "_x" in registry.queries()["flag_shadow"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def plan_of(spark, folder, name):
+    return registry.queries()[name](spark, str(folder))._jdf.queryExecution().optimizedPlan().toString()
+
+
+PRICES = "SELECT * REPLACE (l_extendedprice + c * 0.37 + l_partkey / 1e4 AS l_extendedprice) FROM small, range(5) r(c)"
+
+
+@pytest.mark.parametrize("name", ["calstat_names"])
+def test_quartiles_without_tables_of_values(spark, tmp_path, name):
+    check(spark, tmp_path, name, lineitem=PRICES)
+    assert " percentile(" not in plan_of(spark, tmp_path, name)  # it holds a group's distinct values in one task
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(7)
+    of = {"uniform": rng.random, "tied": lambda: rng.choice([-1.0, 0.0, 2.5]), "far": lambda: rng.choice([1, -1]) * 10 ** rng.uniform(-300, 300), "odd": lambda: rng.choice([None, math.nan, math.inf, 1.0, -0.0, 0.0])}
+    data = [(k, f()) for k, f in of.items() for _ in range(3000)] + [(None, float(i)) for i in range(4)] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(5)
+    shares = {"least": 0.0, "a": 0.25, "m": 0.5, "b": 0.9, "most": 1.0}
+    text = lambda rows: sorted(str([x + 0.0 if isinstance(x, float) else x for x in r]) for r in rows)
+    for keys in (["k"], []):
+        want = df.where("v IS NOT NULL").groupBy(*keys).agg(*(F.percentile("v", q).alias(n) for n, q in shares.items())).collect()
+        for sketch in (1, 2000):  # the first finds nothing, so that whole groups are sorted
+            assert text(stats.exact_quantiles(df, "v", keys, shares, sketch).collect()) == text(want)
+    both = [stats.statistics(df.where("k IS NULL OR k <> 'far'"), F.col("v"), ["k"], F.col("k") == "tied", few=few).select("k", "npts", "min", *stats.QUARTILES).collect() for few in (False, True)]
+    assert text(both[0]) == text(both[1]) and len(both[0]) == 6
+    assert stats.statistics(df.where("false"), F.col("v"), [], few=True).collect() == stats.statistics(df.where("false"), F.col("v"), []).collect()
