@@ -268,10 +268,11 @@ def transform(axis: str) -> Column:
 
 def visibility_statistics(
     df: DataFrame, axis: str, keys: list[str] | None = None, use_flags: bool = True, flag: str = "flag", average: list[str] | None = None, time_col: str = "time", bin_width: float | None = None,
-    max_uv: float | None = None, quantiles: bool = True,
+    max_uv: float | None = None, quantiles: bool = True, few: bool = False,
 ) -> DataFrame:
     """Statistics of an axis per group, with the median deviation. average: complex means are taken first over the rows
-    that agree in these columns (and in the time bin, where a width is given); max_uv leaves out longer baselines."""
+    that agree in these columns (and in the time bin, where a width is given); max_uv leaves out longer baselines; few: as
+    in statistics(), for the median deviation too."""
     keys = keys or []
     if max_uv is not None:
         df = df.where(F.hypot("u", "v") <= max_uv)
@@ -284,6 +285,11 @@ def visibility_statistics(
         df = good.groupBy(*by).agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
         use_flags = False
     value = transform(axis)
+    if quantiles and few:
+        d = df.select(*keys, (F.when(~F.col(flag), value) if use_flags else value).alias("_v"))
+        q = exact_quantiles(d, "_v", keys, QUARTILES)
+        off = _beside(d, q.select(*keys, "median"), keys).select(*keys, F.abs(F.col("_v") - F.col("median")).alias("_off"))
+        return _beside(_beside(statistics(d, F.col("_v"), keys, quantiles=False), q, keys, "left"), exact_quantiles(off, "_off", keys, {"medabsdevmed": 0.5}), keys, "left")
     out = statistics(df, value, keys, F.col(flag) if use_flags else None, quantiles)
     if not quantiles:
         return out

@@ -116,7 +116,7 @@ def plan_of(spark, folder, name):
 PRICES = "SELECT * REPLACE (l_extendedprice + c * 0.37 + l_partkey / 1e4 AS l_extendedprice) FROM small, range(5) r(c)"
 
 
-@pytest.mark.parametrize("name", ["calstat_names"])
+@pytest.mark.parametrize("name", ["calstat_names", "visstat_phase"])
 def test_quartiles_without_tables_of_values(spark, tmp_path, name):
     check(spark, tmp_path, name, lineitem=PRICES)
     assert " percentile(" not in plan_of(spark, tmp_path, name)  # it holds a group's distinct values in one task
@@ -136,3 +136,7 @@ def test_exact_quantiles(spark):
     both = [stats.statistics(df.where("k IS NULL OR k <> 'far'"), F.col("v"), ["k"], F.col("k") == "tied", few=few).select("k", "npts", "min", *stats.QUARTILES).collect() for few in (False, True)]
     assert text(both[0]) == text(both[1]) and len(both[0]) == 6
     assert stats.statistics(df.where("false"), F.col("v"), [], few=True).collect() == stats.statistics(df.where("false"), F.col("v"), []).collect()
+    where = df.select(F.col("k"), F.col("v").alias("re"), (F.col("k") == "tied").alias("flag")).where("k NOT IN ('far', 'odd')")
+    for keys in (["k"], []):
+        both = [stats.visibility_statistics(where, "real", keys, few=few).select(*keys, "npts", *stats.QUARTILES, "medabsdevmed").collect() for few in (False, True)]
+        assert text(both[0]) == text(both[1])
